@@ -35,7 +35,7 @@ from tallyforge.llm.common import ARROW_ROWS, durable, workers_find_us
 
 END_ID, FIRST_RULE = 2, 50_257
 SHARD_IDS, ROUNDS, RULES, MIN_PAIR = 1 << 20, 3, 5000, 16
-CACHE_PIECES, RANGE_ROWS = 600_000, 8192
+CACHE_PIECES, RANGE_ROWS = 1_000_000, 8192
 NULL_ID = -(1 << 63)
 
 
@@ -51,18 +51,24 @@ class Encoder:
         self.first: dict[str, bytes] = {}  # pieces at the start of a line
         self.rest: dict[str, bytes] = {}  # pieces after a space, without it
         self.line = self._whole(["\n"])[0]
+        self.marks = dict(zip(".,", self._whole([".", ","])))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(ids)}I", *ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for ids in (e.ids,)]
 
     def _learn(self, table: dict[str, bytes], pieces: set[str], before: str) -> None:
-        new = sorted(pieces - table.keys())
+        new = pieces - table.keys()
         if len(table) + len(new) > CACHE_PIECES:
             table.clear()
-            new = sorted(pieces)
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
+            new = pieces
+        # a full stop or comma right after a letter is a piece of its own for the tokenizer
+        ends = [x for x in new if len(x) > 1 and x[-1] in self.marks and x[-2].isalpha()]
+        plain = list((new.difference(ends) | {x[:-1] for x in ends}) - table.keys())
+        for k in range(0, len(plain), 4096):
+            part = plain[k : k + 4096]
             table.update(zip(part, self._whole([before + x for x in part])))
+        for x in ends:
+            table[x] = table[x[:-1]] + self.marks[x[-1]]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         split: list[list[list[str]] | None] = []
