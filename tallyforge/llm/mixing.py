@@ -31,6 +31,8 @@ MAX_LEAVES, RANGES, SORT_ROWS = 100_000, 4096, 20_000
 
 def allocate(leaves: dict[tuple, int], weights: dict[tuple, float], budget: int, epochs: int) -> dict[tuple, int]:
     """Tokens of each leaf. leaves: path -> tokens at hand. weights: path or its prefix -> weight among its siblings (default 1)."""
+    if not leaves:
+        return {}
     children: dict[tuple, set] = defaultdict(set)
     room: dict[tuple, float] = defaultdict(float)
     for path, tokens in leaves.items():

@@ -1,0 +1,231 @@
+"""Corpus operators against brute-force versions, and their edge cases."""
+
+import hashlib
+import os
+import unicodedata
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tallyforge.llm import fingerprint, licenses, mixing, packing, quality, secrets, simhash, substring, tokens, toxicity
+from tallyforge.llm.entries import tokenizer_path
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, __canon string, fp string"
+WORDS = "the of and river stone cloud winter garden letter window market silver copper forest".split()
+
+
+def prose(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join(WORDS[i] + str(i * seed % 97) for i in rng.integers(0, len(WORDS), n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    long = prose(1, 300)
+    rows = [(1, long), (2, long), (3, prose(2, 120)), (4, None), (5, ""), (6, "  \n\t "), (7, "two words"), (8, "word " * 3000), (None, "no id"), (None, None), (9, prose(3, 40) + " " + " ".join(long.split()[100:180])), (3, prose(2, 120)), (10, "ＡＢＣ  Straße x"), (11, "abc strasse x")]
+    return spark.createDataFrame([(i, t, "en" if (i or 0) % 2 else None, f"src{(i or 0) % 3}" if i != 7 else None, None, "clash", "clash") for i, t in rows], SCHEMA)
+
+
+def test_simhash(spark, docs):
+    def brute(text):
+        w = (text or "").encode().lower().split()
+        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    for r in docs.collect():
+        assert simhash.fingerprint(r.text) == brute(r.text)
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(1 << 62), 1 << 62, 40)
+    vals = list({int(b) ^ sum(1 << int(k) for k in rng.integers(0, 63, rng.integers(0, 4))) for b in base for _ in range(8)})
+    near = [[i for i, y in enumerate(vals) if ((x ^ y) & ((1 << 64) - 1)).bit_count() <= 2] for x in vals]
+    root = list(range(len(vals)))
+    for _ in range(len(vals)):
+        nxt = [min(root[j] for j in n) for n in near]
+        if nxt == root:
+            break
+        root = nxt
+    fps = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "doc_id bigint, fp bigint")
+    want = {vals[i]: root[i] for i in range(len(vals))}
+    got = {r.fp: r.component_id for r in simhash.classes(fps).collect()}
+    assert got == want
+    few = simhash.links(fps.select("fp"), 2, small=1)  # every bucket goes the way of large ones
+    roots = {r.node: r.root for r in simhash.components(few).collect()}
+    assert {frozenset(v for v in vals if roots.get(v, v) == x) for x in set(roots.values())} == {frozenset(v for v in vals if want[v] == w) for w in {want[vals[i]] for i in range(len(vals)) if len(near[i]) > 1}}
+    assert simhash.keep_one(docs).count() == docs.count() - 4  # 2 (copy of 1), 5 and 6 (with 4), the repeated 3
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_threshold_choice():
+    cost, t = simhash.choose_thresholds([[0, 5, 9, 20], [0, 1, 2, 3], [0, 100, 200, 300]], 2)
+    assert t == [-1, 2, -1] and cost == 3
+
+
+def test_quality_matches_counts(docs):
+    by = {r.doc_id: r for r in quality.judge(docs).collect() if r.doc_id}
+    assert (by[8].n_words, by[8].n_repeat_words, by[8].base_failed) == (3000, 3000, True)
+    assert by[1].n_words == 300 and by[4].n_words == 0 and by[4].base_failed and by[1].kept
+    assert quality.judge(docs.limit(0)).count() == 0
+
+
+def test_fingerprints(docs):
+    canon = lambda t: " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold()).split())
+    half = lambda c: f"{xxhash.xxh64_intdigest(c.encode(), 42):016x}"
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0), reverse=True)
+    got = fingerprint.edited_pairs(docs).collect()
+    assert len(got) == len(rows)
+    texts = [r.text or "" for r in rows]
+    print_of = lambda t: half(canon(t)) + half("\u0001" + canon(t))
+    want = set()
+    for i, t in enumerate(texts):
+        k, nxt = len(t) // 3, texts[(i + 1) % len(texts)]
+        e = t[: len(t) - k] + nxt[:k]
+        if rows[i].doc_id not in (None, 1):  # before rows of null ids the next one is a tie
+            want.add((rows[i].doc_id, len(t), hashlib.sha256(e.encode()).hexdigest(), print_of(t), print_of(e), float(canon(t) == canon(e))))
+    assert {(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited) for r in got if r.doc_id not in (None, 1)} == want
+    g = {r.doc_id: r for r in fingerprint.group(docs).collect()}
+    assert g[2].class_id == 1 and g[11].class_id == 10 and g[6].class_id == 4
+
+
+def test_packing(docs):
+    def brute(items, cap):
+        bins, out = [], []
+        for n, s, c in items:
+            fit = [(b[0], k) for k, b in enumerate(bins) if b[0] >= n and (s is None or s not in b[1]) and (c is None or c not in b[2])]
+            k = min(fit)[1] if fit else len(bins)
+            if not fit:
+                bins.append([cap, set(), set()])
+            out.append((k, cap - bins[k][0]))
+            bins[k][0] -= n
+            bins[k][1].add(s)
+            bins[k][2].add(c)
+        return out
+
+    rng = np.random.default_rng(2)
+    items = sorted(((int(n), [None, "a", "b", "c"][s], int(c) if c else None) for n, s, c in zip(rng.integers(0, 100, 400), rng.integers(0, 4, 400), rng.integers(0, 30, 400))), key=lambda x: -x[0])
+    assert packing.pack_shard(items, 100) == brute(items, 100)
+    out = packing.pack(docs, capacity=256).collect()
+    words = {}
+    for r in docs.collect():
+        words[r.doc_id] = words.get(r.doc_id, 0) + len((r.text or "").encode().split())
+    assert {d: sum(r.n_tokens for r in out if r.doc_id == d) for d in words} == words
+    load = {}
+    for r in out:
+        load[r.shard, r.bin] = load.get((r.shard, r.bin), 0) + r.n_tokens
+    assert max(load.values()) <= 256
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_mixing(spark, docs):
+    assert mixing.allocate({("a", "x"): 10, ("a", "y"): 100, ("b", "x"): 100}, {}, 100, 1) == {("a", "x"): 10, ("a", "y"): 40, ("b", "x"): 50}
+    assert mixing.allocate({("a", "x"): 10, ("a", "y"): 10, ("b", "x"): 100}, {("b",): 3.0}, 1000, 1) == {("a", "x"): 10, ("a", "y"): 10, ("b", "x"): 100}
+    many = spark.range(5000).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 7 as int)) as text", "concat('s', id % 3) as source")
+    old = mixing.SORT_ROWS
+    try:
+        for rows in (20_000, 1):  # the running sum, and refinement down to the last bit
+            mixing.SORT_ROWS = rows
+            got = mixing.mix(many, ["source"], {("s0",): 3.0}, 0.9, 2).selectExpr("doc_id", "source", "epoch", "__tokens").collect()
+            all_ = many.selectExpr("doc_id", "source", "size(split(trim(text), ' ')) as t", *[f"xxhash64(7, {e}, doc_id, xxhash64(text)) as h{e}" for e in (0, 1)]).collect()
+            have = {}
+            for r in all_:
+                have[r.source,] = have.get((r.source,), 0) + r.t
+            want = set()
+            for leaf, left in mixing.allocate(have, {("s0",): 3.0}, int(sum(have.values()) * 0.9), 2).items():
+                for e in (0, 1):
+                    for r in sorted((r for r in all_ if r.source == leaf[0]), key=lambda r: r[3 + e]):
+                        if r.t > left:
+                            left = -1
+                        if left >= 0:
+                            want.add((r.doc_id, e))
+                            left -= r.t
+            assert {(r.doc_id, r.epoch) for r in got} == want
+    finally:
+        mixing.SORT_ROWS = old
+    assert mixing.mix(docs, ["lang", "source"], {}, 1.0).count() == docs.count()
+    assert mixing.mix(docs.limit(0), ["lang", "source"], {}, 0.5).count() == 0
+
+
+def test_tokens(docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    got = {(r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.read_back(tokens.write(docs, tokenizer_path())).collect()}
+    ids = [(r.doc_id, t.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in docs.collect()]
+    assert got == {(d, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in ids}
+    rng = np.random.default_rng(4)
+    blobs = [np.append(rng.integers(3, 30, n), 2).astype("<u4").tobytes() for n in (0, 1, 5000, 40, 3000)]
+    shard = tokens.Shard(tokens.pack_shard([1, None, 3, 4, 5], blobs, 9))
+    assert [shard.document(k).astype("<u4").tobytes() for k in range(5)] == blobs and shard.before == 9 and len(shard.rules) and len(shard.symbols) < 8046
+    enc, pool = tokens.Encoder(tokenizer_path()), ["a", "the.", "x,", "x..", " ", "\n", "\t", "é.", "1.", "'s", "<|endoftext|>", " ", "\x1c"]
+    for _ in range(1500):
+        s = "".join(pool[i] for i in rng.integers(0, len(pool), rng.integers(0, 10)))
+        assert np.frombuffer(enc.batch([s])[0], "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
+
+
+def test_secrets(docs):
+    key = "AKIA" + "A1B2C3D4E5F6G7H8"
+    text = f"x {key} pass Password: 'abc123' token=short then {'ab12' * 6} end"
+    a, b, c, base, spans = secrets.find(text)
+    assert (a, b, c) == (1, 1, 1) and spans.startswith(base.split(",")[0])
+    lone = "user=alice said hello to the world"
+    assert secrets.find(lone)[4] == ""
+    linked = "user=alice pw Zx9+kLmN0pQrStUvWxYz12 at https://db.example.com/x"
+    assert [s.split(":")[0] for s in secrets.find(linked)[4].split(",")] == ["link_id", "link_secret", "link_endpoint"]
+    assert secrets.redact(linked) == "[SECRET] pw [SECRET] at [SECRET]" and secrets.find(None) == (0, 0, 0, "", "")
+    assert secrets.scan(docs).count() == docs.count()
+
+
+def test_licenses(docs):
+    c = licenses.compile_rules()
+    assert licenses.recognise("Intro text. Licensed under the Apache License, Version 2.0.\nYou may obtain a copy of the License at\nReleased under the MIT License.", c)[1] == ["Apache-2.0", "MIT"]
+    assert licenses.recognise(None, c) == ([], []) and licenses.scan(docs).count() == docs.count()
+
+
+def test_passages(docs):
+    rng = np.random.default_rng(1)
+    for n in (3, 46, 300):
+        h = rng.integers(0, 1 << 40, n).astype(np.uint64) << np.uint64(22)
+        assert sorted(zip(*(x.tolist() for x in substring.compact_windows(h, 5))), key=lambda w: w[1]) == substring.brute_windows(h, 5)
+    got = {(r.doc_id, r.match_doc_id): r for r in substring.passages(docs).collect()}
+    assert set(got) == {(2, 1), (9, 1), (9, 2)} and all(r.class_id == 1 for r in got.values())
+    assert got[9, 1].match_start == 100 and got[9, 1].match_end == 180
+
+
+def test_toxicity_learns(spark):
+    bad = ["zorgle", "vextrum", "quibnak"]
+    rows = []
+    for i in range(1500):
+        w = prose(i, 60).split()
+        if i % 5 == 0:
+            w[10:10] = [bad[i % 3]]
+            w[40:40] = [bad[(i + 1) % 3]]
+        rows.append((i, " ".join(w), int(i % 5 == 0)))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    got = toxicity.classify(d, d.select("doc_id", "toxic")).join(d, "doc_id").where("held_out").collect()
+    assert np.mean([r.predicted == r.toxic for r in got]) > 0.9
+    assert toxicity.classify(d.limit(0), d.limit(0).select("doc_id", "toxic")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_pipeline(spark):
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = docs
+    for name, stage in P.STAGES[:-1]:
+        out = P.durable(stage(spark, kept, sf), name)
+        assert out.columns == docs.columns and out.schema == docs.schema
+        before, after = {r.doc_id for r in kept.select("doc_id").collect()}, [r.doc_id for r in out.select("doc_id").collect()]
+        assert set(after) <= before and len(after) == len(set(after))
+        if name == "secrets":
+            assert set(after) == before and all(secrets.find(r.text)[4] == "" for r in out.collect())
+        if name == "near_duplicates":
+            classes = {r.component_id for r in simhash.near_duplicates(kept).collect()}
+            assert set(after) == classes
+        kept = out
+    packed = P.STAGES[-1][1](spark, kept, sf)
+    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in kept.collect()}
+    assert packed.select(F.sum("n_tokens")).first()[0] == sum(len(r.text.encode().split()) for r in kept.collect())
