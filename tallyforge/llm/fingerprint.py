@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows aimed at for a bucket of neighbouring ids, and the most buckets (the small table of bucket ends is broadcast).
-BUCKET_ROWS, MOST_BUCKETS = 4000, 100_000
+BUCKET_ROWS, MOST_BUCKETS, SLOTS = 4000, 100_000, 1 << 18
 
 
 def _icu(kind: str, method: str, x: Column) -> Column:
@@ -47,7 +47,13 @@ def exact_classes(docs: DataFrame) -> DataFrame:
     """fingerprint, collided, class_id (smallest doc_id), n_copies: one row per bucket; texts only move for buckets of two or more."""
     hashed = docs.select("doc_id", "text").withColumn("__canon", canonical(F.col("text"))).select("doc_id", "__canon", wide_hash(F.col("__canon")).alias("fingerprint"))
     sizes = hashed.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("class_id"))
-    ends = hashed.join(sizes.where("n_copies > 1").select("fingerprint"), "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("__canon").alias("lo"), F.max("__canon").alias("hi"))
+    shared = sizes.where("n_copies > 1").select("fingerprint")
+    # a bitmap of the shared fingerprints, of at most SLOTS rows of 64 bits at any scale, lets most other texts stay where they are
+    slot = F.xxhash64("fingerprint").bitwiseAND(F.lit(SLOTS - 1))
+    bit = F.expr(f"cast(shiftrightunsigned(xxhash64(fingerprint), {SLOTS.bit_length() - 1}) & 63 as int)")
+    bits = shared.groupBy(slot.alias("__slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("__bits"))
+    maybe = hashed.withColumn("__slot", slot).withColumn("__bit", bit).join(F.broadcast(bits), "__slot").where("shiftrightunsigned(__bits, __bit) & 1 = 1").select("fingerprint", "__canon")
+    ends = maybe.join(shared, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("__canon").alias("lo"), F.max("__canon").alias("hi"))
     return sizes.join(ends.where("lo <> hi").select("fingerprint", F.lit(True).alias("collided")), "fingerprint", "left").select("fingerprint", F.coalesce("collided", F.lit(False)).alias("collided"), "class_id", "n_copies")
 
 
