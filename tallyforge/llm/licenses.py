@@ -64,7 +64,7 @@ def recognise(text: str | None, compiled: tuple) -> tuple[list[str], list[str]]:
     known, rules, heads = compiled
     ids: list[str] = []
     for sentence in BREAK.split(text or ""):
-        head = OTHER.split(sentence[:24].lower().lstrip(), 1) if sentence else [""]
+        head = OTHER.split(sentence.lstrip()[:24].lower(), maxsplit=1) if sentence else [""]
         found = known.get(normalise(sentence), "?") if head[0] in heads or head[0] == "" else "?"
         if found != "?" or sentence.strip() and (not ids or ids[-1] != "?"):
             ids.append(found)

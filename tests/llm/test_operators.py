@@ -180,6 +180,7 @@ def test_secrets(docs):
 def test_licenses(docs):
     c = licenses.compile_rules()
     assert licenses.recognise("Intro text. Licensed under the Apache License, Version 2.0.\nYou may obtain a copy of the License at\nReleased under the MIT License.", c)[1] == ["Apache-2.0", "MIT"]
+    assert licenses.recognise(" " * 30 + "Released under the MIT License.", c)[1] == ["MIT"]  # indented
     assert licenses.recognise(None, c) == ([], []) and licenses.scan(docs).count() == docs.count()
 
 
