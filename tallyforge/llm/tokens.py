@@ -2,7 +2,8 @@
 
 Encoding. Texts are encoded whole with a public tokenizer of the tokenizers library. A byte-level BPE never joins across a
 single space (which starts a piece) or a lone line end, so texts made of such pieces are put together from the ids of
-their pieces, each encoded once by the library and kept in a bounded table; all other texts are encoded in one go.
+their pieces, each encoded once by the library and kept in a bounded table. Arrow splits such texts and gives each chunk's distinct pieces;
+numpy gathers their ids. All other texts are encoded in one go.
 
 Order. Documents are dealt out by ranges of doc_id and sorted within a range. A shard is a run of whole documents of about
 SHARD_IDS ids within one range, stored as one binary record:
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,12 +37,14 @@ from tallyforge.llm.common import ARROW_ROWS, durable, workers_find_us
 
 END_ID, FIRST_RULE = 2, 50_257
 SHARD_IDS, ROUNDS, RULES, MIN_PAIR = 1 << 20, 3, 5000, 16
-CACHE_PIECES, RANGE_ROWS = 1_000_000, 8192
+CACHE_PIECES, CACHE_CHARS, LEARN_PIECES, RANGE_ROWS, CHUNK_BYTES = 1_000_000, 16_000_000, 4096, 8192, 8 << 20
+#: White space other than single spaces and lone line ends inside a text.
+OTHER_SPACE = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
 NULL_ID = -(1 << 63)
 
 
 class Encoder:
-    """text -> bytes of little-endian uint32 ids."""
+    """Texts -> arrays of uint32 ids, each with the end id."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,56 +52,65 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}  # pieces at the start of a line
-        self.rest: dict[str, bytes] = {}  # pieces after a space, without it
-        self.line = self._whole(["\n"])[0]
-        self.marks = dict(zip(".,", self._whole([".", ","])))
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(ids)}I", *ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for ids in (e.ids,)]
-
-    def _learn(self, table: dict[str, bytes], pieces: set[str], before: str) -> None:
-        new = pieces - table.keys()
-        if len(table) + len(new) > CACHE_PIECES:
-            table.clear()
-            new = pieces
-        # a full stop or comma right after a letter is a piece of its own for the tokenizer
-        ends = [x for x in new if len(x) > 1 and x[-1] in self.marks and x[-2].isalpha()]
-        plain = list((new.difference(ends) | {x[:-1] for x in ends}) - table.keys())
-        for k in range(0, len(plain), 4096):
-            part = plain[k : k + 4096]
-            table.update(zip(part, self._whole([before + x for x in part])))
-        for x in ends:
-            table[x] = table[x[:-1]] + self.marks[x[-1]]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        split: list[list[list[str]] | None] = []
-        first, rest = set(), set()
-        for t in texts:
-            lines = None
-            if t and not any(s in t for s in self.special):
-                lines = [line.split(" ") for line in t.split("\n")]
-                if any(parts != line.split() for parts, line in zip(lines, t.split("\n"))):  # other white space than single spaces and lone line ends
-                    lines = None
-            split.append(lines)
-            for parts in lines or ():
-                first.add(parts[0])
-                rest.update(parts[1:])
-        self._learn(self.first, first, "")
-        self._learn(self.rest, rest, " ")
-        out, one, more, end = [], self.first, self.rest.__getitem__, self.line
-        for t, lines in zip(texts, split):
-            if lines is None:
-                out.append(self._whole([t])[0] if t else b"")
-                continue
-            ids = []
-            for parts in lines:
-                ids.append(one[parts[0]])
-                ids.extend(map(more, parts[1:]))
-                ids.append(end)
-            ids.pop()
-            out.append(b"".join(ids))
-        return out
+        self.line = self._whole("\n")
+        names = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(names.values()) + 1, bool)  # ids that start with the byte of a space or a line end
+        self.begins[[i for name, i in names.items() if name[0] in "\u0120\u010a"]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.chars = 0
+        self.table: dict[str, int] = {}  # piece -> its row in starts and sizes
+        self.starts, self.sizes, self.pool = (np.zeros(0, t) for t in (np.int64, np.int64, np.uint32))
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Pieces are put one after the other in one text; each begins with a space or line end and has no other, so its ids can be told apart."""
+        sizes, pool = [self.sizes], [self.pool]
+        for k in range(0, len(pieces), LEARN_PIECES):
+            part = [x if x[0] == "\n" else " " + x for x in pieces[k : k + LEARN_PIECES]]
+            ids = self._whole("".join(part))
+            size = np.diff(np.append(np.flatnonzero(self.begins[ids]), len(ids)))
+            if len(size) != len(part):
+                each = [self._whole(x) for x in part]
+                ids, size = np.concatenate(each), np.array([len(x) for x in each])
+            sizes.append(size)
+            pool.append(ids)
+        self.chars += sum(map(len, pieces))
+        self.table.update(zip(pieces, range(len(self.table), len(self.table) + len(pieces))))
+        self.sizes, self.pool = np.concatenate(sizes), np.concatenate(pool)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _pieced(self, texts: pa.Array) -> list[np.ndarray]:
+        """Every word is a piece; the first of a line takes the line end before it. A text's first piece has one too many: its place goes to the end id of the text before."""
+        lines = pc.replace_substring(pc.binary_join_element_wise("\n", texts, ""), "\n", " \n")
+        split = pc.split_pattern(pc.utf8_slice_codeunits(lines, 1), " ")
+        words = split.flatten().dictionary_encode()
+        pieces = words.dictionary.to_pylist()
+        if len(self.table) + len(pieces) > CACHE_PIECES or self.chars > CACHE_CHARS:
+            self._forget()
+        new = [x for x in pieces if x not in self.table]
+        if new:
+            self._learn(new)
+        row = np.fromiter(map(self.table.__getitem__, pieces), np.int64, len(pieces))[words.indices.to_numpy()]
+        size = self.sizes[row]
+        stop = np.cumsum(size)
+        ids = self.pool[np.repeat(self.starts[row] - stop + size, size) + np.arange(stop[-1])]
+        first = (stop - size)[split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()]
+        ids[first] = END_ID
+        return np.split(np.append(ids[1:], np.uint32(END_ID)), first[1:])
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        if not len(texts):
+            return []
+        whole = pc.or_(pc.equal(texts, ""), pc.match_substring_regex(texts, OTHER_SPACE))
+        for x in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, x))
+        rest = texts.filter(pc.invert(whole))
+        pieced = iter(self._pieced(rest) if len(rest) else ())
+        return [np.append(self._whole(texts[k].as_py()), np.uint32(END_ID)) if w else next(pieced) for k, w in enumerate(whole.to_pylist())]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -173,12 +186,12 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.nd
     return out
 
 
-def pack_shard(doc_ids: list[int | None], ids: list[bytes], before: int) -> bytes:
-    counts = np.array([len(x) // 4 for x in ids], "<u4")
-    symbols, rules = compress(np.frombuffer(b"".join(ids), "<u4"))
+def pack_shard(doc_ids: list[int | None], ids: list[np.ndarray], before: int) -> bytes:
+    counts = np.array([len(x) for x in ids], "<u4")
+    symbols, rules = compress(np.concatenate(ids))
     ends = np.flatnonzero(symbols == END_ID) + 1
     if len(ends) != len(ids):  # the end id also stands inside a text: count its places in each document
-        inside = np.cumsum([np.count_nonzero(np.frombuffer(x, "<u4") == END_ID) for x in ids])
+        inside = np.cumsum([np.count_nonzero(x == END_ID) for x in ids])
         ends = ends[inside - 1]
     widths = np.diff(np.concatenate([[0], ends])).astype("<u4")
     wide = 4 if len(symbols) and symbols.max() >= 1 << 16 else 2
@@ -214,6 +227,18 @@ class Shard:
         return expand(self.symbols, self.rules, self.lengths)
 
 
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], pa.Array]]:
+    """Ids and texts of batches put together until they hold CHUNK_BYTES, so that a chunk's words repeat."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        kept.append(b)
+        if sum(x.nbytes for x in kept) >= CHUNK_BYTES:
+            yield [k for x in kept for k in x.column(0).to_pylist()], pa.concat_arrays([x.column(1) for x in kept])
+            kept = []
+    if kept:
+        yield [k for x in kept for k in x.column(0).to_pylist()], pa.concat_arrays([x.column(1) for x in kept])
+
+
 def write(docs: DataFrame, path: str) -> DataFrame:
     """Encode docs and write the shard records; returns the table written: part, seq, record."""
     spark = docs.sparkSession
@@ -221,7 +246,6 @@ def write(docs: DataFrame, path: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_ROWS))
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    end = struct.pack("<I", END_ID)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc = TaskContext.get().partitionId(), encoder(path)
@@ -230,11 +254,11 @@ def write(docs: DataFrame, path: str) -> DataFrame:
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([pack_shard(keys, ids, before)], pa.binary())], names=["part", "seq", "record"])
 
-        for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), enc.batch(b.column(1).to_pylist())):
+        for doc_ids, texts in chunks(batches):
+            for k, x in zip(doc_ids, enc.batch(texts)):
                 keys.append(k)
-                ids.append(x + end)
-                size += len(x) // 4 + 1
+                ids.append(x)
+                size += len(x)
                 if size >= SHARD_IDS:
                     yield flush()
                     before, seq = before + size, seq + 1
