@@ -37,8 +37,9 @@ from tallyforge.llm.common import ARROW_ROWS, durable, workers_find_us
 
 END_ID, FIRST_RULE = 2, 50_257
 SHARD_IDS, ROUNDS, RULES, MIN_PAIR = 1 << 20, 3, 5000, 16
-CACHE_PIECES, CACHE_CHARS, LEARN_PIECES, RANGE_ROWS, CHUNK_BYTES = 1_000_000, 16_000_000, 4096, 8192, 8 << 20
-#: White space other than single spaces and lone line ends inside a text.
+CACHE_PIECES, CACHE_BYTES, LEARN_PIECES, RANGE_ROWS, CHUNK_BYTES = 2_000_000, 64 << 20, 4096, 8192, 8 << 20
+#: Latin letters (of every Unicode version) before a last full stop or comma; white space other than single spaces and lone line ends inside a text.
+LETTER_MARK = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17f}][.,]\z"
 OTHER_SPACE = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
 NULL_ID = -(1 << 63)
 
@@ -52,25 +53,49 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line = self._whole("\n")
+        self.marks = self._whole(".")[0], self._whole(",")[0]
         names = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(names.values()) + 1, bool)  # ids that start with the byte of a space or a line end
         self.begins[[i for name, i in names.items() if name[0] in "\u0120\u010a"]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.chars = 0
-        self.table: dict[str, int] = {}  # piece -> its row in starts and sizes
+        self.table = pa.array([], pa.string())  # pieces; their ids are sizes[row] entries of pool, from starts[row] on
         self.starts, self.sizes, self.pool = (np.zeros(0, t) for t in (np.int64, np.int64, np.uint32))
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _add(self, pieces: pa.Array, sizes: list[np.ndarray], ids: list[np.ndarray]) -> None:
+        self.table = pa.concat_arrays([self.table, pieces])
+        self.sizes, self.pool = np.concatenate([self.sizes, *sizes]), np.concatenate([self.pool, *ids])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _rows(self, pieces: pa.Array) -> pa.Array:
+        return pc.index_in(pieces, value_set=self.table)
+
+    def _ids(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a sequence of pieces, and where each piece ends."""
+        size = self.sizes[row]
+        stop = np.cumsum(size)
+        return self.pool[np.repeat(self.starts[row] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)], stop
+
+    def _learn(self, pieces: pa.Array) -> None:
+        """Add new pieces to the table. A full stop or comma after a letter is a piece of its own for the tokenizer: what stands before is learnt alone."""
+        marked = pc.match_substring_regex(pieces, LETTER_MARK)
+        ends = pieces.filter(marked)
+        bare = pc.utf8_slice_codeunits(ends, 0, -1)
+        plain = pc.unique(pa.concat_arrays([pieces.filter(pc.invert(marked)), bare]))
+        self._encode(plain.filter(pc.is_null(self._rows(plain))))
+        ids, stop = self._ids(self._rows(bare).to_numpy())
+        marks = np.where(pc.ends_with(ends, ".").to_numpy(zero_copy_only=False), *self.marks)
+        self._add(ends, [np.diff(stop, prepend=0) + 1], [np.insert(ids, stop, marks).astype(np.uint32)])
+
+    def _encode(self, pieces: pa.Array) -> None:
         """Pieces are put one after the other in one text; each begins with a space or line end and has no other, so its ids can be told apart."""
-        sizes, pool = [self.sizes], [self.pool]
+        sizes, pool = [], []
         for k in range(0, len(pieces), LEARN_PIECES):
-            part = [x if x[0] == "\n" else " " + x for x in pieces[k : k + LEARN_PIECES]]
+            part = [x if x[:1] == "\n" else " " + x for x in pieces[k : k + LEARN_PIECES].to_pylist()]
             ids = self._whole("".join(part))
             size = np.diff(np.append(np.flatnonzero(self.begins[ids]), len(ids)))
             if len(size) != len(part):
@@ -78,27 +103,23 @@ class Encoder:
                 ids, size = np.concatenate(each), np.array([len(x) for x in each])
             sizes.append(size)
             pool.append(ids)
-        self.chars += sum(map(len, pieces))
-        self.table.update(zip(pieces, range(len(self.table), len(self.table) + len(pieces))))
-        self.sizes, self.pool = np.concatenate(sizes), np.concatenate(pool)
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        self._add(pieces, sizes, pool)
 
     def _pieced(self, texts: pa.Array) -> list[np.ndarray]:
         """Every word is a piece; the first of a line takes the line end before it. A text's first piece has one too many: its place goes to the end id of the text before."""
         lines = pc.replace_substring(pc.binary_join_element_wise("\n", texts, ""), "\n", " \n")
         split = pc.split_pattern(pc.utf8_slice_codeunits(lines, 1), " ")
         words = split.flatten().dictionary_encode()
-        pieces = words.dictionary.to_pylist()
-        if len(self.table) + len(pieces) > CACHE_PIECES or self.chars > CACHE_CHARS:
+        pieces = words.dictionary
+        if len(self.table) + len(pieces) > CACHE_PIECES or self.table.nbytes > CACHE_BYTES:
             self._forget()
-        new = [x for x in pieces if x not in self.table]
-        if new:
-            self._learn(new)
-        row = np.fromiter(map(self.table.__getitem__, pieces), np.int64, len(pieces))[words.indices.to_numpy()]
-        size = self.sizes[row]
-        stop = np.cumsum(size)
-        ids = self.pool[np.repeat(self.starts[row] - stop + size, size) + np.arange(stop[-1])]
-        first = (stop - size)[split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()]
+        row = self._rows(pieces)
+        if row.null_count:
+            self._learn(pieces.filter(pc.is_null(row)))
+            row = self._rows(pieces)
+        row = row.to_numpy()[words.indices.to_numpy()]
+        ids, stop = self._ids(row)
+        first = (stop - self.sizes[row])[split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()]
         ids[first] = END_ID
         return np.split(np.append(ids[1:], np.uint32(END_ID)), first[1:])
 
