@@ -37,7 +37,7 @@ from tallyforge.llm.common import ARROW_ROWS, durable, workers_find_us
 
 END_ID, FIRST_RULE = 2, 50_257
 SHARD_IDS, ROUNDS, RULES, MIN_PAIR = 1 << 20, 3, 5000, 16
-CACHE_PIECES, CACHE_BYTES, LEARN_PIECES, RANGE_ROWS, CHUNK_BYTES = 2_000_000, 64 << 20, 4096, 8192, 8 << 20
+CACHE_PIECES, CACHE_BYTES, LEARN_PIECES, RANGE_ROWS, CHUNK_BYTES = 300_000, 64 << 20, 4096, 8192, 8 << 20
 #: Latin letters (of every Unicode version) before a last full stop or comma; white space other than single spaces and lone line ends inside a text.
 LETTER_MARK = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17f}][.,]\z"
 OTHER_SPACE = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
@@ -71,6 +71,12 @@ class Encoder:
         self.sizes, self.pool = np.concatenate([self.sizes, *sizes]), np.concatenate([self.pool, *ids])
         self.starts = np.cumsum(self.sizes) - self.sizes
 
+    def _keep(self, old: int, rows: np.ndarray) -> None:
+        """Of what came after the first old pieces, only these rows stay: most words that a chunk holds once do not come again."""
+        ids, sizes, added = self._ids(rows)[0], self.sizes[rows], self.table.take(pa.array(rows))
+        self.table, self.sizes, self.pool = self.table[:old], self.sizes[:old], self.pool[: self.sizes[:old].sum()]
+        self._add(added, [sizes], [ids])
+
     def _rows(self, pieces: pa.Array) -> pa.Array:
         return pc.index_in(pieces, value_set=self.table)
 
@@ -111,8 +117,9 @@ class Encoder:
         split = pc.split_pattern(pc.utf8_slice_codeunits(lines, 1), " ")
         words = split.flatten().dictionary_encode()
         pieces = words.dictionary
-        if len(self.table) + len(pieces) > CACHE_PIECES or self.table.nbytes > CACHE_BYTES:
+        if len(self.table) > CACHE_PIECES or self.table.nbytes > CACHE_BYTES:
             self._forget()
+        old = len(self.table)
         row = self._rows(pieces)
         if row.null_count:
             self._learn(pieces.filter(pc.is_null(row)))
@@ -121,6 +128,7 @@ class Encoder:
         ids, stop = self._ids(row)
         first = (stop - self.sizes[row])[split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()]
         ids[first] = END_ID
+        self._keep(old, old + np.flatnonzero(np.bincount(row, minlength=len(self.table))[old:] > 1))
         return np.split(np.append(ids[1:], np.uint32(END_ID)), first[1:])
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
