@@ -85,11 +85,10 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     own = F.struct(F.col("__bucket").alias("at"), F.lit(False).alias("guest"))
     also = F.struct(F.col("__before").alias("at"), F.lit(True).alias("guest"))
     dealt = placed.withColumn("__to", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("__first")), F.array(own, also)).otherwise(F.array(own))))
-    w = W.partitionBy("__to.at").orderBy(F.asc("__to.guest"), F.desc_nulls_last("doc_id"), F.asc("__tie"))
-    out = dealt.withColumn("__tie", F.xxhash64(*columns))
-    for c in columns:
-        out = out.withColumn(f"next_{c}", F.lead(c).over(w))
-    return out.where("not __to.guest").drop("__bucket", "__first", "__before", "__to", "__tie")
+    # plain columns for the window, so that all of its values come from one shuffle
+    w = W.partitionBy("__at").orderBy(F.asc("__guest"), F.desc_nulls_last("doc_id"), F.asc("__tie"))
+    flat = dealt.select(*docs.columns, F.col("__to.at").alias("__at"), F.col("__to.guest").alias("__guest"), F.xxhash64(*columns).alias("__tie"))
+    return flat.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns)).where("not __guest").drop("__at", "__guest", "__tie")
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
