@@ -196,6 +196,21 @@ def test_passages(docs):
     assert got[9, 1].match_start == 100 and got[9, 1].match_end == 180
 
 
+def test_passages_of_large_groups(spark):
+    """Exact copies are linked although smaller doc_ids hold only parts or edited forms of the passage."""
+    texts, copies = [], []
+    for k in range(8):
+        p = prose(11 + k, 60).split()
+        for q in (p[:40], p[20:], p[:46] + ["x"] * 14, ["y"] * 14 + p[14:], *[p] * 20):
+            copies.append((len(texts), k, q is p))
+            texts.append(" ".join([*prose(1000 + len(texts), 60).split(), *q, *prose(3000 + len(texts), 60).split()]))
+    got = substring.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    classes = {r.doc_id: r.class_id for r in got} | {r.match_doc_id: r.class_id for r in got}
+    for k in range(8):
+        own = {classes.get(i) for i, j, whole in copies if j == k and whole}
+        assert len(own) == 1 and own != {None}
+
+
 def test_toxicity_learns(spark):
     bad = ["zorgle", "vextrum", "quibnak"]
     rows = []
