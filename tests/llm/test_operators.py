@@ -211,6 +211,23 @@ def test_passages_of_large_groups(spark):
         assert len(own) == 1 and own != {None}
 
 
+def test_verify_follows_edits():
+    rng = np.random.default_rng(3)
+    words = lambda n: [b"w%d" % i for i in rng.integers(0, 1 << 40, n)]
+    for n, edit in ((50, 25), (60, 45), (50, 2), (50, 47)):
+        p = words(n)
+        q = [*p[:edit], b"other", *p[edit + 1 :]]
+        x, y = (substring.shingles([*words(40), *z, *words(40)]) for z in (p, q))
+        for seed in ([(41, 41)] if edit > 10 else []) + ([(40 + edit + 2,) * 2] if edit < n - 10 else []):  # on one side of the edit only
+            assert len(got := substring.verify([seed], x, y)) == 1
+            assert got[0][1] - got[0][0] >= 50
+    p = words(60)
+    q = [*p[:20], b"other", *p[21:]]
+    many = [w for _ in range(6) for w in [*p, *words(70)]]
+    x, y = substring.shingles(many), substring.shingles(q)
+    assert [g[0] for g in substring.verify([(130 * k + 25, 25) for k in range(6)], x, y)] == [130 * k for k in range(6)]
+
+
 def test_toxicity_learns(spark):
     bad = ["zorgle", "vextrum", "quibnak"]
     rows = []
