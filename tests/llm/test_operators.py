@@ -228,6 +228,22 @@ def test_verify_follows_edits():
     assert [g[0] for g in substring.verify([(130 * k + 25, 25) for k in range(6)], x, y)] == [130 * k for k in range(6)]
 
 
+def test_near_passages_are_found():
+    """Of 50-word passages whose middle word is edited (similarity 0.80), at least 97 % are linked."""
+    rng = np.random.default_rng(8)
+    words = lambda n: [b"w%d" % i for i in rng.integers(0, 1 << 40, n)]
+    found = 0
+    for _ in range(1000):
+        p = words(50)
+        x, y = (substring.shingles([*words(100), *z, *words(100)]) for z in (p, [*p[:25], b"other", *p[26:]]))
+        hits = []
+        for f in range(substring.HASHES):
+            a, b = ({int(h[c]): (int(c), int(le), int(r)) for le, c, r in zip(*substring.compact_windows(h))} for h in (substring.mixed(z, f) for z in (x, y)))
+            hits += [(f, *a[k], *b[k]) for k in a if k in b]
+        found += bool(substring.verify(substring.joined_intervals(hits, substring.WIDTH), x, y))
+    assert found >= 970
+
+
 def test_toxicity_learns(spark):
     bad = ["zorgle", "vextrum", "quibnak"]
     rows = []
