@@ -32,9 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import append_columns, arrow_map, components, discard, durable, workers_find_us
+from tallyforge.llm.substring import jaccard, shingles, words_of
 
 SHINGLE, SEED, DISTANCE, SMALL = 3, 42, 2, 96
 ROW_COST, PAIR_COST = 1.0, 0.05
+#: Near copies by words: runs of five, Jaccard similarity, min-hash bands (rows of each); a pair at 0.8 shares a band with 0.9998.
+SIMILARITY, BANDS, ROWS = 0.8, 16, 4
+_MIX = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.int64).astype(np.uint64) | np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -222,13 +226,76 @@ def classes(fingerprints: DataFrame, tau: int = DISTANCE) -> DataFrame:
     return rooted.join(best, "root").select("fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, tau: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (signed long), component_id for every row of docs."""
+def near_duplicates(docs: DataFrame, tau: int | None = None, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (signed long), component_id for every row of docs. With tau, fp is the SimHash and classes are those of
+    fingerprints within tau bits; without, fp is a hash of the words and classes are those of alike()."""
+    if tau is None:
+        rows, found = alike(docs)
+        return rows.join(found, "fp").select("doc_id", "fp", "component_id")
     fps = durable(with_fingerprints(docs.select("doc_id", "text"), "fp", shingle).select("doc_id", "fp"), "simhash")
     return fps.join(classes(fps, tau), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, tau: int = DISTANCE) -> DataFrame:
+def bands(text: str | None) -> tuple[int, list[int]]:
+    """A hash of the words, and the min-hash bands of their shingles of five (none for fewer words)."""
+    words = words_of(text)
+    x = np.unique(shingles(words))
+    fp = xxhash.xxh64_intdigest(b" ".join(words), SEED)
+    if not len(x):
+        return signed(fp), []
+    low = np.full(BANDS * ROWS, ~np.uint64(0))
+    for k in range(0, len(x), 1024):
+        low = np.minimum(low, (x[k : k + 1024, None] * _MIX[0] + _MIX[1]).min(axis=0))
+    keys = np.zeros(BANDS, np.uint64)
+    for column in low.reshape(BANDS, ROWS).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return signed(fp), keys.view(np.int64).tolist()
+
+
+def alike(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, component_id): classes linked by a Jaccard similarity of five-word shingles of at
+    least `similarity`, verified on the texts. Equal words are one fp. Documents that share a min-hash band are compared, all of
+    a small bucket; a larger one is split by the next band, and what stays large is compared with its first fp only."""
+    fields = [("fp", pa.int64(), "bigint"), ("keys", pa.list_(pa.int64()), "array<bigint>")]
+    rows = durable(append_columns(docs.select("doc_id", "text"), lambda texts: list(zip(*map(bands, texts))) or [[], []], fields).drop("text"), "bands")
+    reps = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "words")
+    keyed = reps.select("fp", "keys", F.posexplode("keys").alias("k", "v")).select("fp", "k", "v", F.element_at("keys", (F.col("k") + 1) % BANDS + 1).alias("w"))
+
+    def sized(df: DataFrame, by: list[str]) -> DataFrame:
+        return df.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a")).where("n > 1"), by)
+
+    def pairs(df: DataFrame, by: list[str]) -> DataFrame:
+        groups = df.where(F.col("n") <= small).groupBy(*by).agg(F.sort_array(F.collect_set("fp")).alias("s"))
+        tails = groups.select("s", F.posexplode("s").alias("i", "a")).select("a", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("b"))
+        return tails.union(df.where(F.col("n") > small).select("a", F.col("fp").alias("b")).where("a <> b"))
+
+    live = durable(sized(keyed, ["k", "v"]), "buckets")
+    split = sized(live.where(F.col("n") > small).select("fp", "k", "v", "w"), ["k", "v", "w"])
+    found = durable(pairs(live, ["k", "v"]).union(pairs(split, ["k", "v", "w"])).distinct(), "candidates")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("first"), "text").join(reps.select("fp", "first"), "first")
+    one = found.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a")
+    both = one.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+
+    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made: dict = {}
+
+        def tokens(fp: int, text: str | None) -> np.ndarray | None:  # a repeated doc_id may bring other texts
+            if (fp, text) not in made:
+                words = words_of(text)
+                made[fp, text] = shingles(words) if signed(xxhash.xxh64_intdigest(b" ".join(words), SEED)) == fp else None
+            return made[fp, text]
+
+        out = [(a, b) for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4))) if (x := tokens(a, ta)) is not None and (y := tokens(b, tb)) is not None and jaccard(x, y) >= similarity]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    roots = durable(components(arrow_map(both, verify, "a bigint, b bigint")), "roots")
+    rooted = reps.join(roots, reps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.select("doc_id", "fp"), rooted.join(best, "root").select("fp", "component_id")
+
+
+def keep_one(docs: DataFrame, tau: int | None = None) -> DataFrame:
     """One row of each class, the one of the smallest doc_id, with the columns of docs. Rows with a null doc_id stay as they are."""
     known = docs.where("doc_id is not null")
     found = near_duplicates(known, tau)
@@ -239,4 +306,4 @@ def keep_one(docs: DataFrame, tau: int = DISTANCE) -> DataFrame:
     return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
-__all__ = ["classes", "discard", "fingerprint", "keep_one", "near_duplicates", "with_fingerprints"]
+__all__ = ["alike", "classes", "discard", "fingerprint", "keep_one", "near_duplicates", "with_fingerprints"]

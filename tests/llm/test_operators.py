@@ -244,6 +244,24 @@ def test_near_passages_are_found():
     assert found >= 970
 
 
+def test_near_copies_by_words(spark):
+    """Near copies with scattered edits are one class; texts that share less are not."""
+    rng = np.random.default_rng(6)
+    texts, want = [], []
+    for k in range(40):
+        p = [f"w{i}" for i in rng.integers(0, 10**9, 400)]
+        near, far = list(p), list(p)
+        for i in range(12, 400, 60):
+            near[i] = f"near{k}"
+        for i in range(5, 400, 10):
+            far[i] = f"far{k}"
+        want += [3 * k, 3 * k, 3 * k + 2]
+        texts += [" ".join(p), " ".join(near), " ".join(far)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(d).collect()} == dict(enumerate(want))
+    assert simhash.keep_one(d).count() == 80
+
+
 def test_toxicity_learns(spark):
     bad = ["zorgle", "vextrum", "quibnak"]
     rows = []
