@@ -5,7 +5,7 @@ Base spans, leftmost and non-overlapping per kind, whose failing matches are dro
   access  AKIA[A-Z0-9]+ of 20 or more characters
   hex     [0-9a-f]+ of 24 or more characters
 Added spans come from linking. Weak parts are looked for in each scope: access identifiers (a named id such as `user=`,
-`client_id:`, or an AKIA/ASIA key of any length from 8), secrets (bare tokens of 20 to 128 characters which mix at least
+`client_id:`, or an AKIA/ASIA key of any length from 8), secrets (bare tokens of 20 or more characters which mix at least
 three of lower, upper, digit and symbol; or a base span) and endpoints (URLs with a scheme, host:port, and bare cloud
 hosts). Scopes are intervals of SCOPE characters on both sides of each access identifier. An interval join (sorted starts,
 binary search) finds the parts whose intervals meet a scope; a weak part is reported (kinds link_id, link_secret,
@@ -33,8 +33,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 HINT = re.compile(r"(?i:passw|secret|token|api_?key)", re.ASCII)
 
-WEAK_ID = re.compile(r"""\b(?i:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})|\b(?:AKIA|ASIA)[A-Z0-9]{4,}""", re.ASCII)
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])")
+WEAK_ID = re.compile(r"""\b(?i:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})|\b(?:AKIA|ASIA)[A-Z0-9]{4,}""", re.ASCII)
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b|\b[a-z0-9.-]+\.(?:amazonaws\.com|windows\.net|googleapis\.com)\b")
 KINDS = ("assign", "access", "hex", "link_id", "link_secret", "link_endpoint")
 SCOPE = 200

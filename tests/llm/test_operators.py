@@ -179,6 +179,14 @@ def test_secrets(docs):
     assert secrets.scan(docs).count() == docs.count()
 
 
+def test_long_secrets():
+    key, name = "Zx9+kLmN0pQrStUvWxYz12" * 8, "svc." * 30
+    text = f"user={name} pw {key} at https://db.example.com/x"
+    at = text.index(key)
+    assert secrets.find(text)[4].split(",")[:2] == [f"link_id:0:{5 + len(name)}", f"link_secret:{at}:{at + len(key)}"]
+    assert secrets.redact(text) == "[SECRET] pw [SECRET] at [SECRET]"
+
+
 def test_licenses(docs):
     c = licenses.compile_rules()
     assert licenses.recognise("Intro text. Licensed under the Apache License, Version 2.0.\nYou may obtain a copy of the License at\nReleased under the MIT License.", c)[1] == ["Apache-2.0", "MIT"]
