@@ -2,7 +2,8 @@
 
 A text is cut into sentences at line ends and after `.`, `!`, `?` followed by white space; a sentence is normalised (A-Z
 lower-cased, every run of other than a-z and 0-9 made one space, ends trimmed; a full stop inside a version number stays a
-separator). Known normalised sentences map to sentence identifiers; the text's identifiers, in order, are matched against
+separator). A known sentence may be wrapped over several lines (up to a blank one). SPDX lines count with
+their own identifiers. Known normalised sentences map to sentence identifiers; the text's identifiers, in order, are matched against
 rules, each an ordered sequence of identifiers that must stand next to each other, tested in the given order at each place;
 the longest rule that matches at a place wins, and matching goes on behind it.
 
@@ -32,7 +33,24 @@ SENTENCES = {
     "Licensed under CC BY-NC 4.0": "cc-by-nc-4.0-notice",
     "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd-grant",
     "All rights reserved": "all-rights-reserved",
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License": "apache-2.0-notice",
+    "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0": "apache-copy",
+    "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0": "apache-copy",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions": "mit-grant",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software": "mit-condition",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": "bsd-grant",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0": "mpl-2.0-notice",
 }
+#: The notices of the GNU licences, in their usual wordings.
+SENTENCES |= {
+    f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version": f"{short}-{version if '.' in version else version + '.0'}-notice"
+    for short, name, versions in (("gpl", "General Public License", ("2", "3")), ("lgpl", "Lesser General Public License", ("2.1", "3")), ("agpl", "Affero General Public License", ("3",)))
+    for version in versions
+    for what in ("program", "library", "file")
+}
+SENTENCES |= {f"This work is licensed under {a}Creative Commons Attribution{kind} 4.0 International{end}": f"{short}-4.0-notice" for kind, short in (("", "cc-by"), ("-ShareAlike", "cc-by-sa"), ("-NonCommercial", "cc-by-nc")) for a in ("a ", "the ", "") for end in ("", " License")}
 #: Licences by ordered sequences of sentence identifiers.
 RULES = (
     ("Apache-2.0", ("apache-2.0-notice", "apache-copy")),
@@ -45,31 +63,64 @@ RULES = (
     ("CC-BY-NC-4.0", ("cc-by-nc-4.0-notice",)),
     ("BSD", ("all-rights-reserved", "bsd-grant")),
     ("BSD", ("bsd-grant",)),
+    ("ISC", ("isc-grant",)),
+    ("MPL-2.0", ("mpl-2.0-notice",)),
+    *((x, (f"{x.lower()}-notice",)) for x in ("GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC-BY-4.0", "CC-BY-SA-4.0")),
 )
+SPDX = re.compile(r"(?i:SPDX-License-Identifier):[ \t]*([A-Za-z0-9.+() \t-]*)")
 BREAK = re.compile(r"\n|(?<=[.!?])\s+")
 OTHER = re.compile(r"[^a-z0-9]+")
+#: What stands before a line's first word in comments.
+BLANKS = " \t\r\f\v*#/;-%!<>\"'"
 
 
 def normalise(sentence: str) -> str:
     return OTHER.sub(" ", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in sentence)).strip()
 
 
-def compile_rules(sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> tuple[dict[str, str], tuple, set[str]]:
+def compile_rules(sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> tuple[dict[str, str], tuple, set[str], set[str]]:
     known = {normalise(s): i for s, i in sentences.items()}
-    return known, tuple(sorted(rules, key=lambda r: -len(r[1]))), {k.split(" ")[0] for k in known}
+    starts = {" ".join(w[:n]) for w in map(str.split, known) for n in range(1, len(w) + 1)}
+    return known, tuple(sorted(rules, key=lambda r: -len(r[1]))), {k.split(" ")[0] for k in known}, starts
+
+
+def spdx(sentence: str) -> list[str]:
+    """The identifiers of an SPDX line."""
+    m = SPDX.search(sentence)
+    words = m[1].replace("(", " ").replace(")", " ").split() if m else []
+    return [f"spdx:{w.rstrip('.')}" for k, w in enumerate(words) if w not in ("AND", "OR", "WITH") and (k == 0 or words[k - 1] in ("AND", "OR"))]
 
 
 def recognise(text: str | None, compiled: tuple) -> tuple[list[str], list[str]]:
     """(identifiers in order, with "?" for runs of unknown sentences; licences in order)."""
-    known, rules, heads = compiled
+    known, rules, heads, starts = compiled
     ids: list[str] = []
-    for sentence in BREAK.split(text or ""):
-        head = OTHER.split(sentence.lstrip()[:24].lower(), maxsplit=1) if sentence else [""]
-        found = known.get(normalise(sentence), "?") if head[0] in heads or head[0] == "" else "?"
-        if found != "?" or sentence.strip() and (not ids or ids[-1] != "?"):
-            ids.append(found)
+    sentences = BREAK.split(text or "")
+    k = 0
+    while k < len(sentences):
+        sentence = sentences[k]
+        head = OTHER.split(sentence.lstrip(BLANKS)[:24].lower(), maxsplit=1) if sentence else [""]
+        k += 1
+        found = ["?"]
+        if head[0] in heads or head[0] == "":
+            # a wrapped sentence goes on in the next lines: the longest known one counts
+            whole, n = normalise(sentence), k
+            while whole in starts:
+                if whole in known:
+                    found, k = [known[whole]], n
+                if n == len(sentences) or not (more := normalise(sentences[n])):
+                    break
+                whole, n = f"{whole} {more}", n + 1
+        if found == ["?"] and "SPDX" in sentence.upper():
+            found = spdx(sentence) or found
+        if found != ["?"] or sentence.strip() and (not ids or ids[-1] != "?"):
+            ids += found
     out, at = [], 0
     while at < len(ids):
+        if ids[at].startswith("spdx:"):
+            out.append(ids[at][5:])
+            at += 1
+            continue
         for name, seq in rules:
             if tuple(ids[at : at + len(seq)]) == seq:
                 out.append(name)

@@ -194,6 +194,31 @@ def test_licenses(docs):
     assert licenses.recognise(None, c) == ([], []) and licenses.scan(docs).count() == docs.count()
 
 
+def test_real_licenses():
+    c = licenses.compile_rules()
+    mit = """MIT License\n\nCopyright (c) 2020 A. Author\n
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:\n
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.\n"""
+    gpl = """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version 2 of the License, or
+# (at your option) any later version."""
+    apache = """ * Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"""
+    bsd = """Copyright 2020 A. Author\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code"""
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL"
+    spdx = "// SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0)\nint x;"
+    got = [licenses.recognise(t, c)[1] for t in (mit, gpl, gpl.replace("version 2", "version 3"), apache, bsd, mpl, spdx)]
+    assert got == [["MIT"], ["GPL-2.0"], ["GPL-3.0"], ["Apache-2.0"], ["BSD"], ["MPL-2.0"], ["MIT", "GPL-2.0-only"]]
+
+
 def test_passages(docs):
     rng = np.random.default_rng(1)
     for n in (3, 46, 300):
