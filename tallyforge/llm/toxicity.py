@@ -1,8 +1,8 @@
 """Toxicity by compression distance: two zstandard dictionaries, compared window by window.
 
 Method. An ordinary dictionary B is trained on windows of ordinary labelled text. The toxic dictionary is B followed by a
-segment trained on what toxic text has and ordinary text lacks: words that no ordinary training text holds and that stand
-in enough different contexts of toxic training texts (copies of one text count once). A document is cut into windows of
+segment trained on words of toxic text: those whose smoothed share of toxic rows is RATE times that of ordinary rows and that
+stand in enough different contexts of toxic training texts (copies of one text count once). A document is cut into windows of
 `WINDOW` words; each is compressed with both dictionaries. Because both start with B, the difference of the lengths is the
 bytes that toxic material saves. The document's features are the savings per window above `CUT` bytes and the largest one;
 a logistic curve, fitted on labelled rows that trained no dictionary, turns them into the score.
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +33,8 @@ from tallyforge.llm.common import append_columns
 WINDOW, LEVEL, CUT, SMOOTH = 6, 3, 2, 20
 MAX_ORDINARY, MAX_TOXIC = 5000, 2500
 BASE_BYTES, TAIL_BYTES = 32768, 2048
+#: How many times as often, by share of rows, a word of the toxic dictionary stands in toxic rows.
+RATE = 5.0
 STRIP = b".,!?|;:&$%#*\"'()"
 
 
@@ -95,15 +97,18 @@ def train(rows: list[tuple[int, str | None, int]]) -> Model:
     plain = [x for t in ordinary for x in _wide(t)]
     rng.shuffle(plain)
     base = _train_dictionary(BASE_BYTES, plain[:60_000])
-    known = {w.strip(STRIP) for t in ordinary for w in t.lower().encode("utf-8", "replace").split()}
+    rows_with = [Counter(w for t in texts for w in {x.strip(STRIP) for x in t.lower().encode("utf-8", "replace").split()}) for texts in (ordinary, set(toxic))]
+    n_ordinary, n_toxic = len(ordinary), len(set(toxic))
     near: dict[bytes, set] = defaultdict(set)
     for t in toxic:
         w = t.lower().encode("utf-8", "replace").split()
         for before, word, after in zip([b"", *w], w, [*w[1:], b""]):
-            if (word := word.strip(STRIP)) and word not in known:
+            if word := word.strip(STRIP):
                 near[word].add((before, after))
+    # smoothed share of toxic rows over that of ordinary rows: a few quotes or wrong labels do not take a word away
+    rate = {w: (rows_with[1][w] + 0.5) / (n_toxic + 1) * (n_ordinary + 1) / (rows_with[0][w] + 0.5) for w in near}
     least = max(2, min(6, len(toxic) // 50))
-    words = [b" " + w + b" " for w in sorted(near) if len(near[w]) >= least for _ in range(min(len(near[w]), 400))]
+    words = [b" " + w + b" " for w in sorted(near) if len(near[w]) >= least and rate[w] >= RATE for _ in range(min(len(near[w]), 400))]
     rng.shuffle(words)
     tail = _train_dictionary(TAIL_BYTES, [b"".join(words[i : i + 3]) for i in range(0, len(words), 3)])[-TAIL_BYTES:] if words else b""
     features = featurizer(base, tail)

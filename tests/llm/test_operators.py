@@ -310,6 +310,25 @@ def test_toxicity_learns(spark):
     assert toxicity.classify(d.limit(0), d.limit(0).select("doc_id", "toxic")).count() == 0
 
 
+def test_toxicity_with_quotes():
+    """A few ordinary rows that hold each toxic word do not take it from the dictionary."""
+    bad = ["zorgle", "vextrum", "quibnak"]
+    rows = []
+    for i in range(1500):
+        w = prose(i, 60).split()
+        if i % 5 == 0:
+            w[10:10], w[40:40] = [bad[i % 3]], [bad[(i + 1) % 3]]
+        elif i % 200 == 1:
+            w[20:20] = [bad[i // 200 % 3]]
+        rows.append((i, " ".join(w), int(i % 5 == 0)))
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    model = toxicity.train([r for r in rows if r not in held])
+    features = toxicity.featurizer(model.base, model.tail)
+    got = [float(np.dot(model.weights, toxicity._inputs(*features(t)))) >= 0 for _, t, _ in held]
+    assert all(b" " + w.encode() in model.tail for w in bad)
+    assert np.mean([p == bool(y) for p, (_, _, y) in zip(got, held)]) > 0.9
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_pipeline(spark):
     import corpus_pipeline as P
