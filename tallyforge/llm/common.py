@@ -15,6 +15,9 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: Rows of one Arrow batch sent to Python. Texts may be megabytes long, so batches hold few rows.
 ARROW_ROWS = 256
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A key that holds more than one row in HOT_SHARE is joined in SALTS parts; there are fewer than HOT_SHARE such keys at any size.
+HOT_SHARE, SALTS = 2000, 64
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,20 +25,35 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a new one where it is unset."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         root = tempfile.mkdtemp(prefix="tallyforge-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors."""
+def durable(df: DataFrame, name: str, task_bytes: int = 0) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors. The shuffle
+    files behind it go when it is written. task_bytes: what a task is to read of shuffles, for work that takes long a byte."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    wanted = {SHUFFLE_CLEANUP: "true"}
+    if task_bytes:
+        wanted |= {"spark.sql.adaptive.advisoryPartitionSizeInBytes": str(task_bytes), "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            if before[k] is not None:
+                spark.conf.set(k, v)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in before.items():
+            if v is not None:
+                spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
     return out
@@ -89,25 +107,39 @@ def append_columns(df: DataFrame, columns: Callable[[list], list[pa.Array]], fie
     return arrow_map(src, rows, schema)
 
 
+def split_join(rows: DataFrame, keyed: DataFrame, on: str | list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with keyed (one row for each key; column `count`: rows of that key) on `on`, hot keys in SALTS parts.
+
+    The hot keys, fewer than HOT_SHARE of them whatever the input, are broadcast; a row's part is a hash of the whole row.
+    """
+    on = [on] if isinstance(on, str) else on
+    hot = keyed.where(F.col(count) > max(1, total // HOT_SHARE)).select(*on, F.lit(SALTS).alias("__salts"))
+    part = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.col("__salts").cast("bigint"))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("__part", F.coalesce(part, F.lit(0).cast("bigint"))).drop("__salts")
+    parts = F.when(F.col(count) > max(1, total // HOT_SHARE), F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    return dealt.join(keyed.withColumn("__part", F.explode(parts)), [*on, "__part"], how).drop("__part")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph, by alternating large-star and small-star steps.
 
     edges: columns a, b (long). Returns (node, root): root is the smallest node of its component. Nodes without a link to
-    another node do not appear. Every step is a partial aggregation and a join on the node, so a node of very many links is
-    pre-aggregated and its join can be split; the number of steps grows with the logarithm of the graph's diameter.
+    another node do not appear. Every step is a partial aggregation and a join on the node; a node of very many links is
+    pre-aggregated and its join is split; the number of steps grows with the logarithm of the graph's diameter.
     Each step's links are written to the shared folder; nothing but two sums comes to the driver.
     """
     cur = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    n = cur.count()
     seen = None
     for _ in range(max_rounds):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = split_join(both, low, "u", "n", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = split_join(large, large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "u", "n", 2 * n)
         nxt = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         nxt = durable(nxt, "links")
         now = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        n = now[0]
         discard(cur)
         cur = nxt
         if now == seen:

@@ -225,7 +225,7 @@ def test_passages(docs):
         h = rng.integers(0, 1 << 40, n).astype(np.uint64) << np.uint64(22)
         assert sorted(zip(*(x.tolist() for x in substring.compact_windows(h, 5))), key=lambda w: w[1]) == substring.brute_windows(h, 5)
     got = {(r.doc_id, r.match_doc_id): r for r in substring.passages(docs).collect()}
-    assert set(got) == {(2, 1), (9, 1), (9, 2)} and all(r.class_id == 1 for r in got.values())
+    assert set(got) == {(2, 1), (9, 1)} and all(r.class_id == 1 for r in got.values())  # 2 is a copy of 1: its links are those of 1
     assert got[9, 1].match_start == 100 and got[9, 1].match_end == 180
 
 
