@@ -107,6 +107,28 @@ def append_columns(df: DataFrame, columns: Callable[[list], list[pa.Array]], fie
     return arrow_map(src, rows, schema)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def map_text(df: DataFrame, change: Callable[[str | None], str | None], text: str = "text") -> DataFrame:
+    """df with each text replaced by change(text); every row and other column stays as it is."""
+    at = df.columns.index(text)
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        new = pa.array([change(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
+        return pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+
+    return arrow_map(df, rows, df.schema)
+
+
 def split_join(rows: DataFrame, keyed: DataFrame, on: str | list[str], count: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined with keyed (one row for each key; column `count`: rows of that key) on `on`, hot keys in SALTS parts.
 

@@ -24,7 +24,7 @@ def tokenizer_path() -> str:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("domain", mixing.domain_of())
-    return mixing.mix(docs, PATH, WEIGHTS, BUDGET, EPOCHS).select("doc_id", *PATH, "epoch", F.col("__tokens").alias("n_tokens"))
+    return mixing.mix(docs, PATH, WEIGHTS, BUDGET, EPOCHS).select("doc_id", *PATH, "epoch", "n_tokens")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

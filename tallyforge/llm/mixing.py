@@ -2,8 +2,9 @@
 
 Budgets. The token budget flows from the root to the leaves in proportion to the weights of siblings. A leaf can give at
 most its own tokens times `epochs`. What a node cannot take goes first to its siblings (by their weights, while they have
-room), and only what a whole family cannot take goes back to the parent's siblings. The tree has as many nodes as there are
-distinct (domain, lang, source) paths; the distinct paths, not documents, come to the driver, and their number is checked.
+room), and only what a whole family cannot take goes back to the parent's siblings. The tree of budgets has as many leaves as
+there are distinct paths; these, not documents, come to the driver (some 300 bytes each, of any number: path columns are meant
+to be categories). Budgets are broadcast up to BROADCAST_LEAVES rows and joined with a shuffle beyond.
 
 Selection. Each leaf's documents stand in a seeded random order that is drawn anew in each epoch (XXH64 of seed, epoch and
 doc_id). A leaf takes the prefix of epoch 0, 1, ... whose tokens fit its budget: whole epochs, then in its last epoch the
@@ -13,20 +14,22 @@ sorted, by the next bits of the hash, again and again until a range has at most
 
 Edge cases: null texts have no tokens and are taken if their turn comes within a budget above zero; null lang, source or
 domain is a leaf value of its own; repeated rows are separate items in the order (ties of doc_id go by text hash and are
-taken or left together); an empty table or a budget of zero gives an empty result. Extra columns pass through.
+taken or left together); an empty table or a budget of zero gives an empty result. Extra columns pass through, whatever their
+names: the columns that are added are n_tokens (if counts are not given) and epoch, with underscores behind if docs has such.
 """
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import durable
+from tallyforge.llm.common import durable, fresh
 
-MAX_LEAVES, RANGES, SORT_ROWS = 100_000, 4096, 20_000
+BROADCAST_LEAVES, RANGES, SORT_ROWS = 100_000, 1024, 20_000
 
 
 def allocate(leaves: dict[tuple, int], weights: dict[tuple, float], budget: int, epochs: int) -> dict[tuple, int]:
@@ -82,64 +85,70 @@ def tokens_of(text: str = "text") -> F.Column:
     return F.size(F.array_remove(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\u000b\f\r", "     "), " "), "")).cast("bigint")
 
 
-def mix(docs: DataFrame, path: list[str], weights: dict[tuple, float], budget: int | float, epochs: int = 1, seed: int = 7, tokens: str = "__tokens") -> DataFrame:
-    """docs with epoch (0-based) and the tokens column, one row for each time a document is taken.
+def mix(docs: DataFrame, path: list[str], weights: dict[tuple, float], budget: int | float, epochs: int = 1, seed: int = 7, tokens: str | None = None) -> DataFrame:
+    """docs with n_tokens and epoch (0-based), one row for each time a document is taken.
 
-    path: columns from the root's children to the leaf; budget: tokens, or a share of the corpus tokens if a float of 1 or less.
+    path: columns from the root's children to the leaf; budget: tokens, or a share of the corpus tokens if a float of 1 or less;
+    tokens: a column of token counts, by default words are counted.
     """
-    if tokens not in docs.columns:
-        docs = docs.withColumn(tokens, tokens_of())
-    leaf = F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0002null")) for c in path))
-    rows = docs.withColumn("__leaf", leaf)
-    sums = rows.groupBy("__leaf").agg(F.sum(tokens).alias("t")).limit(MAX_LEAVES + 1).collect()
-    if len(sums) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves: the path columns are not categories")
-    have = {tuple(None if x == "\u0002null" else x for x in r[0].split("\u0001")): int(r["t"] or 0) for r in sums}
+    spark = docs.sparkSession
+    count, when, leaf, hashed, left, end = fresh(docs, "n_tokens", "epoch", "leaf", "hash", "left", "end")
+    if tokens is None:
+        docs = docs.withColumn(count, tokens_of())
+    else:
+        count = tokens
+    rows = docs.withColumn(leaf, F.to_json(F.array(*(F.col(f"`{c}`").cast("string") for c in path))))
+    have = {tuple(json.loads(r[0])): int(r[1] or 0) for r in rows.groupBy(leaf).agg(F.sum(count)).toLocalIterator()}
     total = sum(have.values())
     want = allocate(have, weights, int(total * budget) if isinstance(budget, float) and budget <= 1 else int(budget), epochs)
-    spark = docs.sparkSession
-    key = lambda p: "\u0001".join("\u0002null" if x is None else x for x in p)
+    names = {tuple(json.loads(k)): k for k in (r[0] for r in rows.select(leaf).distinct().toLocalIterator())}
     table = []
     for p, t in want.items():
         whole, rest = divmod(t, have[p]) if have[p] else (0, 0)
         if have[p] and whole >= epochs:
             whole, rest = epochs, 0
-        table += [(key(p), e, None if e < whole else rest) for e in range(int(whole) + (rest > 0))]
-    plan = spark.createDataFrame(table, "__leaf string, epoch int, __left bigint") if table else spark.range(0).selectExpr("'' as __leaf", "0 as epoch", "0L as __left")
-    order = F.xxhash64(F.lit(seed), F.col("epoch"), F.col("doc_id"), F.xxhash64("text"))
-    taken = rows.join(F.broadcast(plan), "__leaf").withColumn("__h", order)
-    ends = _ends(taken, [r for r in table if r[2] is not None], tokens)
+        table += [(names[p], e, None if e < whole else rest) for e in range(int(whole) + (rest > 0))]
+    plan = spark.createDataFrame(table, f"`{leaf}` string, `{when}` int, `{left}` bigint")
+    small = F.broadcast if len(table) <= BROADCAST_LEAVES else lambda df: df
+    order = F.xxhash64(F.lit(seed), F.col(when), F.col("doc_id"), F.xxhash64("text"))
+    taken = rows.join(small(plan), leaf).withColumn(hashed, order)
+    items = taken.where(F.col(left).isNotNull()).select(F.col(leaf).alias("leaf"), F.col(when).alias("epoch"), F.col(hashed).alias("h"), F.col(count).alias("t"))
+    ends = _ends(items, [r for r in table if r[2] is not None])
     if ends is None:
         out = taken
     else:
-        out = taken.join(F.broadcast(ends), ["__leaf", "epoch"], "left").where("__left is null or __end is null or __h < __end")
-    return out.select(*docs.columns, "epoch")
+        ends = ends.select(F.col("leaf").alias(leaf), F.col("epoch").alias(when), F.col("end").alias(end))
+        out = taken.join(small(ends), [leaf, when], "left").where(F.col(left).isNull() | F.col(end).isNull() | (F.col(hashed) < F.col(end)))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), when)
+
 
+def _ends(items: DataFrame, partial: list[tuple]) -> DataFrame | None:
+    """leaf, epoch, end: a leaf's last epoch takes the documents whose hash is below end (null: all of them).
 
-def _ends(taken: DataFrame, partial: list[tuple], tokens: str) -> DataFrame | None:
-    """__leaf, epoch, __end: a leaf's last epoch takes the documents whose hash is below __end (null: all of them)."""
+    items: leaf, epoch, h, t (tokens) of the documents of last epochs; partial: (leaf, epoch, tokens to take)."""
     if not partial:
         return None
-    spark = taken.sparkSession
-    # __u: the hash with its sign bit turned, so that its bits from the top are its order
-    items = durable(taken.where("__left is not null").select("__leaf", "epoch", "__h", F.col("__h").bitwiseXOR(F.lit(-(1 << 63))).alias("__u"), F.col(tokens).alias("t")), "order")
+    spark = items.sparkSession
+    # u: the hash with its sign bit turned, so that its bits from the top are its order
+    items = durable(items.withColumn("u", F.col("h").bitwiseXOR(F.lit(-(1 << 63)))), "order")
+    small = F.broadcast if len(partial) <= BROADCAST_LEAVES else lambda df: df
     state = {(leaf, e): (0, 64, left) for leaf, e, left in partial}  # (top bits so far, bits below them, tokens still to take)
     done: dict[tuple, int | None] = {}
     step = RANGES.bit_length() - 1
     while state:
         signed = lambda x: x - (1 << 64) if x >> 63 else x
-        grid = spark.createDataFrame([(leaf, e, signed(top << bits) if bits < 64 else 0, bits, max(bits - step, 0), left) for (leaf, e), (top, bits, left) in state.items()], "__leaf string, epoch int, top bigint, bits int, fine int, room bigint")
-        here = items.join(F.broadcast(grid), ["__leaf", "epoch"]).where("bits = 64 or shiftrightunsigned(__u, bits) = shiftrightunsigned(top, bits)")
-        ranges = here.withColumn("r", F.expr(f"shiftrightunsigned(__u, fine) & {RANGES - 1} & (shiftleft(1L, least(bits, 62)) - 1)"))
-        got = ranges.groupBy("__leaf", "epoch", "r", "room").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n"))
-        w = W.partitionBy("__leaf", "epoch").orderBy("r")
+        grid = spark.createDataFrame([(leaf, e, signed(top << bits) if bits < 64 else 0, bits, max(bits - step, 0), left) for (leaf, e), (top, bits, left) in state.items()], "leaf string, epoch int, top bigint, bits int, fine int, room bigint")
+        here = items.join(small(grid), ["leaf", "epoch"]).where("bits = 64 or shiftrightunsigned(u, bits) = shiftrightunsigned(top, bits)")
+        ranges = here.withColumn("r", F.expr(f"shiftrightunsigned(u, fine) & {RANGES - 1} & (shiftleft(1L, least(bits, 62)) - 1)"))
+        got = ranges.groupBy("leaf", "epoch", "r", "room").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n"))
+        w = W.partitionBy("leaf", "epoch").orderBy("r")
         over = got.withColumn("run", F.sum("t").over(w)).where("run > room")
-        first = over.groupBy("__leaf", "epoch").agg(F.min_by(F.struct("r", "t", "run", "n"), "r").alias("x")).select("__leaf", "epoch", "x.*").collect()
-        for k in state.keys() - {(r["__leaf"], r["epoch"]) for r in first}:
+        first = over.groupBy("leaf", "epoch").agg(F.min_by(F.struct("r", "t", "run", "n"), "r").alias("x")).select("leaf", "epoch", "x.*").collect()
+        for k in state.keys() - {(r["leaf"], r["epoch"]) for r in first}:
             done[k] = None
         nxt, short = {}, []
         for r in first:
-            k = (r["__leaf"], r["epoch"])
+            k = (r["leaf"], r["epoch"])
             top, bits, left = state[k]
             fine = max(bits - step, 0)
             now = ((top << (bits - fine)) | r["r"], fine, left - (r["run"] - r["t"]))
@@ -150,13 +159,13 @@ def _ends(taken: DataFrame, partial: list[tuple], tokens: str) -> DataFrame | No
             else:
                 nxt[k] = now
         if short:  # few rows: a running sum over them
-            grid = spark.createDataFrame(short, "__leaf string, epoch int, top bigint, bits int, room bigint")
-            here = items.join(F.broadcast(grid), ["__leaf", "epoch"]).where("shiftrightunsigned(__u, bits) = shiftrightunsigned(top, bits)")
-            w = W.partitionBy("__leaf", "epoch").orderBy("__h").rangeBetween(W.unboundedPreceding, 0)
-            ends = here.withColumn("run", F.sum("t").over(w)).where("run > room").groupBy("__leaf", "epoch").agg(F.min("__h").alias("end")).collect()
-            done |= {(r["__leaf"], r["epoch"]): r["end"] for r in ends}
+            grid = spark.createDataFrame(short, "leaf string, epoch int, top bigint, bits int, room bigint")
+            here = items.join(small(grid), ["leaf", "epoch"]).where("shiftrightunsigned(u, bits) = shiftrightunsigned(top, bits)")
+            w = W.partitionBy("leaf", "epoch").orderBy("h").rangeBetween(W.unboundedPreceding, 0)
+            ends = here.withColumn("run", F.sum("t").over(w)).where("run > room").groupBy("leaf", "epoch").agg(F.min("h").alias("end")).collect()
+            done |= {(r["leaf"], r["epoch"]): r["end"] for r in ends}
         state = nxt
-    return spark.createDataFrame([(leaf, e, end) for (leaf, e), end in done.items()], "__leaf string, epoch int, __end bigint")
+    return spark.createDataFrame([(leaf, e, end) for (leaf, e), end in done.items()], "leaf string, epoch int, end bigint")
 
 
 def domain_of(source: str = "source") -> F.Column:

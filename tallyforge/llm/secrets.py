@@ -12,9 +12,10 @@ binary search) finds the parts whose intervals meet a scope; a weak part is repo
 link_endpoint) only if the scope holds an identifier and a secret, and an endpoint only beside both. A part alone is never
 reported, and base spans never disappear.
 
-Work is per text and linear in its length (after sorting its matches): no shuffle, whole texts, no prefix.
+Work is per text and linear in its length (after sorting its matches; no pattern backtracks over a run): no shuffle, whole texts.
 Edge cases: null or empty text: no span, the digest of the empty string. Repeated rows and null doc_ids keep their rows;
-ties of a start are ordered by kind as listed. Extra columns pass through untouched in `scan` and are dropped in `report`.
+ties of a start are ordered by kind as listed; an empty table gives an empty result. Extra columns pass through, but those
+named like a result column give way to it in `scan`.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from bisect import bisect_left, bisect_right
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyforge.llm.common import append_columns
+from tallyforge.llm.common import append_columns, map_text
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -35,7 +36,11 @@ HINT = re.compile(r"(?i:passw|secret|token|api_?key)", re.ASCII)
 
 WEAK_ID = re.compile(r"""\b(?i:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})|\b(?:AKIA|ASIA)[A-Z0-9]{4,}""", re.ASCII)
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b|\b[a-z0-9.-]+\.(?:amazonaws\.com|windows\.net|googleapis\.com)\b")
+URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+")
+#: A run of host characters, and a port behind it. Runs are taken whole, so a long dotted run is read once.
+HOST = re.compile(r"([a-z0-9.-]++)(:[0-9]{2,5}+\b)?", re.ASCII)
+#: Ends of the host names of cloud services.
+CLOUDS = (".amazonaws.com", ".windows.net", ".googleapis.com")
 KINDS = ("assign", "access", "hex", "link_id", "link_secret", "link_endpoint")
 SCOPE = 200
 
@@ -55,38 +60,67 @@ def _mixed(token: str) -> bool:
     return kinds[2] and sum(kinds) >= 3
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """Spans of URLs with a scheme and, outside of these, of dotted hosts with a port and of cloud hosts."""
+    urls = [m.span() for m in URL.finditer(text)] if "://" in text else []
+    out, at = list(urls), 0
+    if ":" not in text and not any(c in text for c in CLOUDS):
+        return out
+    for m in HOST.finditer(text):
+        run = m[1]
+        if "." not in run:
+            continue
+        while at < len(urls) and urls[at][1] <= m.start():
+            at += 1
+        if at < len(urls) and urls[at][0] < m.end():
+            continue
+        if m[2]:
+            name = run[run.rfind("..") + 2 if ".." in run else 0 :].lstrip(".-")
+            if "." in name and not name.endswith("."):
+                out.append((m.end(1) - len(name), m.end()))
+                continue
+        stop = max(run.rfind(c) + len(c) if c in run else 0 for c in CLOUDS)
+        after = text[m.start() + stop : m.start() + stop + 1]
+        if stop and not (after.isalnum() or after == "_"):
+            name = run[:stop].lstrip(".-")
+            if name.count(".") > 1:
+                out.append((m.start() + stop - len(name), m.start() + stop))
+    return sorted(out)
+
+
 def linked_spans(text: str, base: list[tuple[int, int, str]], scope: int = SCOPE) -> list[tuple[int, int, str]]:
     """The weak parts that complement each other within a scope."""
     ids = [m.span() for m in WEAK_ID.finditer(text)] if ("=" in text or ":" in text or "AKIA" in text or "ASIA" in text) else []
-    strong_ids = [(s, e) for s, e, k in base if k == "access"]
-    anchors = sorted({*ids, *strong_ids})
+    strong_ids = {(s, e) for s, e, k in base if k == "access"}
+    anchors = {*ids, *strong_ids}
     if not anchors:
         return []
-    found = []
-    secrets = _Intervals([(m.start(), m.end(), True) for m in WEAK_SECRET.finditer(text) if _mixed(m[0]) and (m.start(), m.end()) not in set(anchors)] + [(s, e, False) for s, e, k in base if k != "access"])
-    ends = _Intervals([(m.start(), m.end(), True) for m in ENDPOINT.finditer(text)])
-    for s, e in anchors:
+    found = set()
+    weak = _Intervals([m.span() for m in WEAK_SECRET.finditer(text) if _mixed(m[0]) and m.span() not in anchors])
+    strong = [_Intervals([(s, e) for s, e, k in base if k == kind]) for kind in ("assign", "hex")]
+    ends = _Intervals(endpoints(text))
+    for s, e in sorted(anchors):
         low, high = s - scope, e + scope
-        near = [x for x in secrets.meeting(low, high) if x[1] <= s or x[0] >= e]
-        if not near:
+        near = [x for x in weak.meeting(low, high) if x[1] <= s or x[0] >= e]
+        if not near and not any(x[1] <= s or x[0] >= e for kind in strong for x in kind.meeting(low, high)):
             continue
         if (s, e) not in strong_ids:
-            found.append((s, e, "link_id"))
-        found += [(a, b, "link_secret") for a, b, weak in near if weak]
-        found += [(a, b, "link_endpoint") for a, b, _ in ends.meeting(low, high)]
-    return sorted(set(found) - {(s, e, k) for s, e, k in base})
+            found.add((s, e, "link_id"))
+        found |= {(a, b, "link_secret") for a, b in near}
+        found |= {(a, b, "link_endpoint") for a, b in ends.meeting(low, high)}
+    return sorted(found - set(base))
 
 
 class _Intervals:
-    """Intervals sorted by start, to find those that meet a range."""
+    """Intervals of one kind, which never overlap, so that their ends are in the order of their starts: those that meet a range
+    are neighbours."""
 
-    def __init__(self, rows: list[tuple[int, int, bool]]):
+    def __init__(self, rows: list[tuple[int, int]]):
         self.rows = sorted(rows)
-        self.starts = [r[0] for r in self.rows]
-        self.longest = max((b - a for a, b, _ in self.rows), default=0)
+        self.starts, self.ends = [r[0] for r in self.rows], [r[1] for r in self.rows]
 
-    def meeting(self, low: int, high: int) -> list[tuple[int, int, bool]]:
-        return [r for r in self.rows[bisect_left(self.starts, low - self.longest) : bisect_right(self.starts, high)] if r[1] >= low]
+    def meeting(self, low: int, high: int) -> list[tuple[int, int]]:
+        return self.rows[bisect_left(self.ends, low) : bisect_right(self.starts, high)]
 
 
 def render(spans: list[tuple[int, int, str]]) -> str:
@@ -122,9 +156,8 @@ def redact(text: str | None) -> str | None:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with the secrets of their texts replaced; every row and column stays."""
-    out = append_columns(docs, lambda texts: [[redact(t) for t in texts]], [("__redacted", pa.string(), "string")])
-    return out.select(*(out["__redacted"].alias("text") if c == "text" else out[c] for c in docs.columns))
+    """docs with the secrets of their texts replaced; every row and other column stays."""
+    return map_text(docs, redact)
 
 
 def digest(text: str | None) -> str:

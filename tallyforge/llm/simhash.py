@@ -31,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import append_columns, arrow_map, components, discard, durable, workers_find_us
-from tallyforge.llm.substring import jaccard, shingles, words_of
+from tallyforge.llm.common import append_columns, arrow_map, components, discard, durable, fresh, split_join, workers_find_us
+from tallyforge.llm.substring import TASK_BYTES, jaccard, shingles, words_of
 
 SHINGLE, SEED, DISTANCE, SMALL = 3, 42, 2, 96
 ROW_COST, PAIR_COST = 1.0, 0.05
@@ -189,7 +189,7 @@ def links(fps: DataFrame, tau: int = DISTANCE, small: int = SMALL) -> DataFrame
     masks = F.array(*(F.lit(signed(m)) for m, _ in probes))
     keyed = fps.select("fp", F.posexplode(masks).alias("k", "mask")).select("k", F.col("fp").bitwiseAND(F.col("mask")).alias("v"), "fp")
     sizes = keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    live = durable(keyed.join(sizes, ["k", "v"]), "buckets")
+    live = durable(split_join(keyed, sizes, ["k", "v"], "n", len(probes) * fps.count()), "buckets")
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         a, b = [], []
@@ -215,15 +215,19 @@ def links(fps: DataFrame, tau: int = DISTANCE, small: int = SMALL) -> DataFrame
 
 
 def classes(fingerprints: DataFrame, tau: int = DISTANCE) -> DataFrame:
-    """fp, component_id, n_links for every distinct fp of a table (doc_id, fp). n_links: links found to other fingerprints in the forest."""
-    reps = durable(fingerprints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
-    found = links(reps, tau)
+    """fp, component_id, n (rows of the fp) for every distinct fp of a table (doc_id, fp)."""
+    reps = durable(fingerprints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "fps")
+    return _named(reps, links(reps, tau))
+
+
+def _named(reps: DataFrame, found: DataFrame | None) -> DataFrame:
+    """fp, component_id, n: the smallest doc_id of all fps that links (a, b) connect."""
     if found is None:
-        return reps.select("fp", F.col("first").alias("component_id"))
+        return reps.select("fp", F.col("first").alias("component_id"), "n")
     roots = durable(components(found), "roots")
-    rooted = reps.join(roots, reps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(best, "root").select("fp", "component_id")
+    rooted = reps.join(roots, reps.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    return split_join(rooted, best, "root", "members", reps.count()).select("fp", "component_id", "n")
 
 
 def near_duplicates(docs: DataFrame, tau: int | None = None, shingle: int = SHINGLE) -> DataFrame:
@@ -231,18 +235,23 @@ def near_duplicates(docs: DataFrame, tau: int | None = None, shingle: int = SHIN
     fingerprints within tau bits; without, fp is a hash of the words and classes are those of alike()."""
     if tau is None:
         rows, found = alike(docs)
-        return rows.join(found, "fp").select("doc_id", "fp", "component_id")
-    fps = durable(with_fingerprints(docs.select("doc_id", "text"), "fp", shingle).select("doc_id", "fp"), "simhash")
-    return fps.join(classes(fps, tau), "fp").select("doc_id", "fp", "component_id")
+    else:
+        rows = durable(with_fingerprints(docs.select("doc_id", "text"), "fp", shingle).select("doc_id", "fp"), "simhash")
+        found = classes(rows, tau)
+    return split_join(rows, found, "fp", "n", rows.count()).select("doc_id", "fp", "component_id")
+
+
+def words_hash(text: str | None) -> int:
+    return signed(xxhash.xxh64_intdigest(b" ".join(words_of(text)), SEED))
 
 
 def bands(text: str | None) -> tuple[int, list[int]]:
     """A hash of the words, and the min-hash bands of their shingles of five (none for fewer words)."""
     words = words_of(text)
     x = np.unique(shingles(words))
-    fp = xxhash.xxh64_intdigest(b" ".join(words), SEED)
+    fp = words_hash(text)
     if not len(x):
-        return signed(fp), []
+        return fp, []
     low = np.full(BANDS * ROWS, ~np.uint64(0))
     for k in range(0, len(x), 1024):
         low = np.minimum(low, (x[k : k + 1024, None] * _MIX[0] + _MIX[1]).min(axis=0))
@@ -250,31 +259,37 @@ def bands(text: str | None) -> tuple[int, list[int]]:
     for column in low.reshape(BANDS, ROWS).T:
         keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
-    return signed(fp), keys.view(np.int64).tolist()
+    return fp, keys.view(np.int64).tolist()
 
 
 def alike(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of every row, and (fp, component_id): classes linked by a Jaccard similarity of five-word shingles of at
     least `similarity`, verified on the texts. Equal words are one fp. Documents that share a min-hash band are compared, all of
-    a small bucket; a larger one is split by the next band, and what stays large is compared with its first fp only."""
+    a small bucket; a larger one is split by the next band, and what stays large is compared with one fp of it, another one in
+    each band (in a large cluster most texts are alike enough to several of these; see the tests for the share of links)."""
     fields = [("fp", pa.int64(), "bigint"), ("keys", pa.list_(pa.int64()), "array<bigint>")]
     rows = durable(append_columns(docs.select("doc_id", "text"), lambda texts: list(zip(*map(bands, texts))) or [[], []], fields).drop("text"), "bands")
-    reps = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "words")
+    reps = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")), "words")
     keyed = reps.select("fp", "keys", F.posexplode("keys").alias("k", "v")).select("fp", "k", "v", F.element_at("keys", (F.col("k") + 1) % BANDS + 1).alias("w"))
+    total = BANDS * reps.count()
 
     def sized(df: DataFrame, by: list[str]) -> DataFrame:
-        return df.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a")).where("n > 1"), by)
+        # the first of a large bucket is another one in each band
+        size = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp", "k")).alias("a")).where("n > 1")
+        return split_join(df, size, by, "n", total)
 
     def pairs(df: DataFrame, by: list[str]) -> DataFrame:
         groups = df.where(F.col("n") <= small).groupBy(*by).agg(F.sort_array(F.collect_set("fp")).alias("s"))
         tails = groups.select("s", F.posexplode("s").alias("i", "a")).select("a", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("b"))
-        return tails.union(df.where(F.col("n") > small).select("a", F.col("fp").alias("b")).where("a <> b"))
+        star = df.where(F.col("n") > small).where("a <> fp").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
+        return tails.union(star)
 
     live = durable(sized(keyed, ["k", "v"]), "buckets")
     split = sized(live.where(F.col("n") > small).select("fp", "k", "v", "w"), ["k", "v", "w"])
     found = durable(pairs(live, ["k", "v"]).union(pairs(split, ["k", "v", "w"])).distinct(), "candidates")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("first"), "text").join(reps.select("fp", "first"), "first")
-    one = found.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a")
+    stars = found.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
+    one = split_join(found, texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")).join(stars, "a"), "a", "m", found.count())
     both = one.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -282,28 +297,34 @@ def alike(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -
 
         def tokens(fp: int, text: str | None) -> np.ndarray | None:  # a repeated doc_id may bring other texts
             if (fp, text) not in made:
-                words = words_of(text)
-                made[fp, text] = shingles(words) if signed(xxhash.xxh64_intdigest(b" ".join(words), SEED)) == fp else None
+                made[fp, text] = shingles(words_of(text)) if words_hash(text) == fp else None
             return made[fp, text]
 
         out = [(a, b) for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4))) if (x := tokens(a, ta)) is not None and (y := tokens(b, tb)) is not None and jaccard(x, y) >= similarity]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    roots = durable(components(arrow_map(both, verify, "a bigint, b bigint")), "roots")
-    rooted = reps.join(roots, reps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.select("doc_id", "fp"), rooted.join(best, "root").select("fp", "component_id")
+    links_ = durable(arrow_map(both, verify, "a bigint, b bigint"), "near", TASK_BYTES)
+    return rows.select("doc_id", "fp"), _named(reps, links_)
 
 
 def keep_one(docs: DataFrame, tau: int | None = None) -> DataFrame:
-    """One row of each class, the one of the smallest doc_id, with the columns of docs. Rows with a null doc_id stay as they are."""
+    """One row of each class, the one of the smallest doc_id, with the columns of docs. Rows with a null doc_id stay as they are.
+
+    Where rows of one doc_id hold several texts, each text is of its own class; of rows of the same doc_id and words one stays,
+    the first in the order of a hash of all columns.
+    """
     known = docs.where("doc_id is not null")
-    found = near_duplicates(known, tau)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    out = known.join(kept, "doc_id", "left_semi")
-    if docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    found = durable(near_duplicates(known, tau), "found")
+    if not found.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        out = known.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    else:
+        doc, fp, order = fresh(docs, "doc", "fp", "order")
+        hashes = lambda texts: [[words_hash(t) if tau is None else signed(fingerprint(t)) for t in texts]]
+        hashed = append_columns(known.withColumn(order, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))), hashes, [(fp, pa.int64(), "bigint")])
+        first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "fp")).alias("x")).select(F.col("x.doc_id").alias(doc), F.col("x.fp").alias(fp))
+        rows = hashed.withColumn(doc, F.col("doc_id").cast("bigint")).join(first, [doc, fp], "left_semi")
+        out = rows.groupBy(doc, fp).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), order).alias("row")).select("row.*")
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 __all__ = ["alike", "classes", "discard", "fingerprint", "keep_one", "near_duplicates", "with_fingerprints"]

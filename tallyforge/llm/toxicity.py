@@ -1,18 +1,23 @@
 """Toxicity by compression distance: two zstandard dictionaries, compared window by window.
 
-Method. An ordinary dictionary B is trained on windows of ordinary labelled text. The toxic dictionary is B followed by a
-segment trained on words of toxic text: those whose smoothed share of toxic rows is RATE times that of ordinary rows and that
-stand in enough different contexts of toxic training texts (copies of one text count once). A document is cut into windows of
-`WINDOW` words; each is compressed with both dictionaries. Because both start with B, the difference of the lengths is the
-bytes that toxic material saves. The document's features are the savings per window above `CUT` bytes and the largest one;
-a logistic curve, fitted on labelled rows that trained no dictionary, turns them into the score.
-
-Bounds (documented parameters): at most MAX_ORDINARY + MAX_TOXIC labelled rows reach the driver, chosen by a hash of doc_id;
-the model is a few tens of kB and travels in the task closure. Scoring reads whole texts, row by row, without a shuffle.
+Method. The ordinary dictionary B is trained on all windows of ordinary labelled text. The toxic dictionary is B followed by a
+segment trained on passages of toxic text. Toxic documents are ordinary text but for a few places, so a segment trained on all
+their windows mostly holds ordinary text again (see the README for figures): it is trained on the passages of one to PHRASE
+words, as they stand in toxic text, whose smoothed share of toxic rows is RATE times that of ordinary rows, that stand in enough
+different contexts of toxic texts (copies of one text count once), and that hold no shorter such passage. A document is cut
+into windows of `WINDOW` words; each is compressed with both dictionaries. Because both start with B, the difference of the
+lengths is the bytes that toxic material saves. The document's features are the savings per window above a threshold and the
+largest one; a logistic curve, fitted on labelled rows that trained no dictionary, turns them into the score. The threshold is
+the one of CUTS whose curve fits those rows best.
+
+Bounds (documented parameters): at most MAX_ORDINARY + MAX_TOXIC labelled rows of together at most MAX_CHARS characters for
+each class reach the driver, in the order of a hash of doc_id; all their text is used. The model is a few tens of kB and
+travels in the task closure. Scoring reads whole texts, row by row, without a shuffle.
 
 Edge cases: a null or empty text, or one without words, is one empty window and gets the score of zero savings; a null
-doc_id is scored like any other (and is never learned from); repeated rows each get their row; with no labelled rows of one
-class the score is the share of the other class. Other columns are not read.
+doc_id is scored like any other, is never learned from, and its held_out is false; repeated rows each get their row, rows of
+one labelled doc_id with different texts teach by the smallest; with no labelled rows of one class the score is the share of
+the other class; an empty table gives an empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,11 +35,13 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import append_columns
 
-WINDOW, LEVEL, CUT, SMOOTH = 6, 3, 2, 20
-MAX_ORDINARY, MAX_TOXIC = 5000, 2500
+WINDOW, LEVEL, SMOOTH = 6, 3, 20
+#: Thresholds of a window's saving, in bytes, one of which is chosen on the rows that fit the curve.
+CUTS = range(2, 8)
+MAX_ORDINARY, MAX_TOXIC, MAX_CHARS = 5000, 2500, 16_000_000
 BASE_BYTES, TAIL_BYTES = 32768, 2048
-#: How many times as often, by share of rows, a word of the toxic dictionary stands in toxic rows.
-RATE = 5.0
+#: Words of a passage of the toxic dictionary at most, and how many times as often, by share of rows, it stands in toxic rows.
+PHRASE, RATE = 3, 5.0
 STRIP = b".,!?|;:&$%#*\"'()"
 
 
@@ -43,6 +50,7 @@ class Model:
     base: bytes
     tail: bytes
     weights: tuple[float, float, float]
+    cut: int = 0
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -55,23 +63,18 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def featurizer(base: bytes, tail: bytes):
-    """text -> (saved bytes a window, largest saving)."""
+def differences(base: bytes, tail: bytes):
+    """text -> the bytes that the toxic dictionary saves in each window."""
     if not tail:
-        return lambda text: (0.0, 0.0)
+        return lambda text: [0]
     plain, toxic = _compressor(base).compress, _compressor(base + tail).compress
+    return lambda text: [len(plain(x)) - len(toxic(x)) for x in windows(text)]
 
-    def features(text: str | None) -> tuple[float, float]:
-        saved = total = n = 0
-        for x in windows(text):
-            d = len(plain(x)) - len(toxic(x))
-            n += 1
-            if d > CUT:
-                total += d
-                saved = max(saved, d)
-        return total / (n + SMOOTH), float(saved)
 
-    return features
+def features(saved: list[int], cut: int) -> tuple[float, float]:
+    """(saved bytes a window, largest saving) of the windows that save more than cut bytes."""
+    over = [d for d in saved if d > cut]
+    return sum(over) / (len(saved) + SMOOTH), float(max(over, default=0))
 
 
 def _train_dictionary(size: int, samples: list[bytes]) -> bytes:
@@ -96,23 +99,60 @@ def train(rows: list[tuple[int, str | None, int]]) -> Model:
     rng = random.Random(1)
     plain = [x for t in ordinary for x in _wide(t)]
     rng.shuffle(plain)
-    base = _train_dictionary(BASE_BYTES, plain[:60_000])
-    rows_with = [Counter(w for t in texts for w in {x.strip(STRIP) for x in t.lower().encode("utf-8", "replace").split()}) for texts in (ordinary, set(toxic))]
-    n_ordinary, n_toxic = len(ordinary), len(set(toxic))
-    near: dict[bytes, set] = defaultdict(set)
-    for t in toxic:
-        w = t.lower().encode("utf-8", "replace").split()
-        for before, word, after in zip([b"", *w], w, [*w[1:], b""]):
-            if word := word.strip(STRIP):
-                near[word].add((before, after))
-    # smoothed share of toxic rows over that of ordinary rows: a few quotes or wrong labels do not take a word away
-    rate = {w: (rows_with[1][w] + 0.5) / (n_toxic + 1) * (n_ordinary + 1) / (rows_with[0][w] + 0.5) for w in near}
+    base = _train_dictionary(BASE_BYTES, plain)
+    passages = toxic_passages(ordinary, list(dict.fromkeys(toxic)))
+    samples = [b" " + b" ".join(g) + b" " for g, n in sorted(passages.items()) for _ in range(n)]
+    rng.shuffle(samples)
+    tail = _train_dictionary(TAIL_BYTES, [b"".join(samples[i : i + 3]) for i in range(0, len(samples), 3)])[-TAIL_BYTES:] if samples else b""
+    saved = differences(base, tail)
+    seen = [(saved(t), y) for _, t, y in fit]
+    curves = [(*_logistic([(features(d, cut), y) for d, y in seen], prior), -cut) for cut in CUTS]
+    _, weights, cut = max(curves)
+    return Model(base, tail, weights, -cut)
+
+
+def _bare(text: str) -> tuple[list[bytes], list[bytes]]:
+    """The words of a text, and the same without marks around them."""
+    w = text.lower().encode("utf-8", "replace").split()
+    return w, [x.strip(STRIP) for x in w]
+
+
+def _places(bare: list[bytes], n: int, alive: set) -> list[tuple[int, tuple[bytes, ...]]]:
+    """(start, passage) of the passages of n words whose parts of n - 1 words are alive."""
+    if n == 1:
+        return [(i, (x,)) for i, x in enumerate(bare) if x]
+    runs = [tuple(bare[i : i + n - 1]) in alive for i in range(len(bare) - n + 2)]
+    return [(i, tuple(bare[i : i + n])) for i in range(len(bare) - n + 1) if runs[i] and runs[i + 1]]
+
+
+def toxic_passages(ordinary: list[str], toxic: list[str]) -> dict[tuple[bytes, ...], int]:
+    """Passages that tell toxic texts from ordinary ones, and how often each is to be learned: a word as often as it has contexts, a
+    longer one with the words around it, once for each context. Of longer passages only those count whose parts are common
+    enough and do not tell by themselves."""
+    texts, others = [_bare(t) for t in toxic], [_bare(t)[1] for t in ordinary]
     least = max(2, min(6, len(toxic) // 50))
-    words = [b" " + w + b" " for w in sorted(near) if len(near[w]) >= least and rate[w] >= RATE for _ in range(min(len(near[w]), 400))]
-    rng.shuffle(words)
-    tail = _train_dictionary(TAIL_BYTES, [b"".join(words[i : i + 3]) for i in range(0, len(words), 3)])[-TAIL_BYTES:] if words else b""
-    features = featurizer(base, tail)
-    return Model(base, tail, _logistic([(features(t), y) for _, t, y in fit], prior))
+    found: Counter = Counter()
+    alive: set = set()
+    for n in range(1, PHRASE + 1):
+        near: dict[tuple[bytes, ...], set] = defaultdict(set)
+        rows: Counter = Counter()
+        for w, bare in texts:
+            places = _places(bare, n, alive)
+            for i, g in places:
+                near[g].add((w[i - 1] if i else b"", w[i + n] if i + n < len(w) else b""))
+            rows.update({g for _, g in places})
+        # there are many more longer passages, so more of them differ by chance
+        enough = max(least, len(toxic) // 20) if n > 1 else least
+        common = {g for g, c in near.items() if len(c) >= least and rows[g] >= (enough if n == PHRASE else least)}
+        plain: Counter = Counter()
+        for bare in others:
+            plain.update({g for _, g in _places(bare, n, alive)} & common)
+        # smoothed share of toxic rows over that of ordinary rows: a few quotes or wrong labels do not take a passage away
+        tell = {g for g in common if rows[g] >= enough and (rows[g] + 0.5) / (len(toxic) + 1) * (len(ordinary) + 1) / (plain[g] + 0.5) >= RATE}
+        for g in sorted(tell):
+            found.update({g: len(near[g])} if n == 1 else {(before, *g, after): 1 for before, after in near[g]})
+        alive = common - tell
+    return found
 
 
 def _wide(text: str) -> list[bytes]:
@@ -120,10 +160,11 @@ def _wide(text: str) -> list[bytes]:
     return [b" ".join(w[i : i + 12]) for i in range(0, len(w), 12)]
 
 
-def _logistic(rows: list, prior: float) -> tuple[float, float, float]:
-    """Newton steps for a logistic regression with a little shrinkage, on (log of savings, root of the largest saving)."""
+def _logistic(rows: list, prior: float) -> tuple[float, tuple[float, float, float]]:
+    """(share of right rows of both classes, weights): Newton steps for a logistic regression with a little shrinkage, on (log of savings, root of the
+    largest saving)."""
     if len({bool(y) for _, y in rows}) < 2:
-        return (prior, 0.0, 0.0) if not rows else (-3.0, 4.0, 0.5)
+        return 0.0, (prior, 0.0, 0.0) if not rows else (-3.0, 4.0, 0.5)
     x = np.array([_inputs(*f) for f, _ in rows])
     y = np.array([float(bool(y)) for _, y in rows])
     w = np.zeros(3)
@@ -134,7 +175,8 @@ def _logistic(rows: list, prior: float) -> tuple[float, float, float]:
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return tuple(map(float, w))
+    right = (x @ w >= 0) == (y > 0)
+    return round(float(right[y > 0].mean() + right[y == 0].mean()), 3), tuple(map(float, w))
 
 
 def _inputs(saved: float, largest: float) -> tuple[float, float, float]:
@@ -142,11 +184,21 @@ def _inputs(saved: float, largest: float) -> tuple[float, float, float]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str | None, int]]:
-    """At most MAX_ORDINARY and MAX_TOXIC labelled rows outside the held-out fold, chosen by a hash of doc_id."""
+    """Labelled rows outside the held-out fold, in the order of a hash of doc_id: at most MAX_ORDINARY and MAX_TOXIC, of at most
+    MAX_CHARS characters a class."""
     usable = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0")
     ids = usable.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ORDINARY).union(usable.where("toxic <> 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TOXIC))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").collect()
-    return list({r[0]: tuple(r) for r in sorted(rows, key=lambda r: (r[0], r[1] or ""))}.values())
+    size = docs.select("doc_id", F.char_length("text").alias("n")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.max("n").alias("n")).select("doc_id", "toxic", "n", F.xxhash64("doc_id").alias("h")).collect()
+    chosen, room = [], {True: MAX_CHARS, False: MAX_CHARS}
+    for r in sorted(size, key=lambda r: (r["h"], r["doc_id"])):
+        if (r["n"] or 0) <= room[bool(r["toxic"])]:
+            room[bool(r["toxic"])] -= r["n"] or 0
+            chosen.append((r["doc_id"], r["toxic"]))
+    if not chosen:
+        return []
+    kept = docs.sparkSession.createDataFrame(chosen, ids.schema)
+    rows = docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    return [tuple(r) for r in rows]
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
@@ -154,10 +206,10 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
     def columns(texts: list) -> list:
         if "f" not in made:
-            made["f"] = featurizer(model.base, model.tail)
+            made["f"] = differences(model.base, model.tail)
         out = []
         for t in texts:
-            z = float(np.dot(model.weights, _inputs(*made["f"](t))))
+            z = float(np.dot(model.weights, _inputs(*features(made["f"](t), model.cut))))
             out.append(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
         return [out]
 
@@ -169,4 +221,4 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     model = train(labelled_sample(docs, labels))
     scored = score(docs.select("doc_id", "text"), model).select("doc_id", "score")
-    return scored.select("doc_id", F.expr("crc32(cast(doc_id as string)) % 5 = 0").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.expr("coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -127,7 +127,7 @@ def test_mixing(spark, docs):
     try:
         for rows in (20_000, 1):  # the running sum, and refinement down to the last bit
             mixing.SORT_ROWS = rows
-            got = mixing.mix(many, ["source"], {("s0",): 3.0}, 0.9, 2).selectExpr("doc_id", "source", "epoch", "__tokens").collect()
+            got = mixing.mix(many, ["source"], {("s0",): 3.0}, 0.9, 2).selectExpr("doc_id", "source", "epoch", "n_tokens as __tokens").collect()
             all_ = many.selectExpr("doc_id", "source", "size(split(trim(text), ' ')) as t", *[f"xxhash64(7, {e}, doc_id, xxhash64(text)) as h{e}" for e in (0, 1)]).collect()
             have = {}
             for r in all_:
@@ -310,6 +310,10 @@ def test_toxicity_learns(spark):
     assert toxicity.classify(d.limit(0), d.limit(0).select("doc_id", "toxic")).count() == 0
 
 
+def toxic_by(model, text):
+    return float(np.dot(model.weights, toxicity._inputs(*toxicity.features(toxicity.differences(model.base, model.tail)(text), model.cut)))) >= 0
+
+
 def test_toxicity_with_quotes():
     """A few ordinary rows that hold each toxic word do not take it from the dictionary."""
     bad = ["zorgle", "vextrum", "quibnak"]
@@ -323,12 +327,38 @@ def test_toxicity_with_quotes():
         rows.append((i, " ".join(w), int(i % 5 == 0)))
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
     model = toxicity.train([r for r in rows if r not in held])
-    features = toxicity.featurizer(model.base, model.tail)
-    got = [float(np.dot(model.weights, toxicity._inputs(*features(t)))) >= 0 for _, t, _ in held]
+    got = [toxic_by(model, t) for _, t, _ in held]
     assert all(b" " + w.encode() in model.tail for w in bad)
     assert np.mean([p == bool(y) for p, (_, _, y) in zip(got, held)]) > 0.9
 
 
+def test_toxicity_in_phrases_and_noise():
+    """Toxic phrases of words that ordinary texts hold too, with 2 % of the labels wrong."""
+    rng, rows, truth = np.random.default_rng(9), [], {}
+    words = [f"w{i}" for i in range(400)]
+    for i in range(2500):
+        w = [words[k] for k in rng.integers(0, 400, 80)]
+        toxic = i % 4 == 0
+        for at in rng.integers(0, len(w), 3):
+            phrase = [("you", "rotten", "apple"), ("go", "chew", "sand")][i // 4 % 2]
+            w[at:at] = phrase if toxic else [phrase[int(rng.integers(0, 3))]]
+        truth[i] = toxic
+        rows.append((i, " ".join(w), int(toxic != (rng.random() < 0.02))))
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    model = toxicity.train([r for r in rows if r not in held])
+    got = [(toxic_by(model, t), truth[i]) for i, t, _ in held]
+    assert np.mean([p for p, y in got if y]) > 0.5 and np.mean([not p for p, y in got if not y]) > 0.95  # words save more than phrases of common words
+    one = toxicity.train([(1, "a b c", 1), (2, None, 1)])  # no labels of the other class: the share
+    assert one.tail == b"" and one.weights[0] > 0
+
+
+def test_toxicity_edges(spark, docs):
+    labels = spark.createDataFrame([(i, int(i % 2), "x") for i in range(1, 12)], "doc_id bigint, toxic int, score string")
+    got = toxicity.classify(docs.withColumn("score", F.lit("clash")), labels).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.held_out is not None for r in got)
+    assert toxicity.classify(docs, labels.limit(0)).select("score").distinct().count() == 1
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_pipeline(spark):
     import corpus_pipeline as P
