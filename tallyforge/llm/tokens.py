@@ -11,10 +11,11 @@ SHARD_IDS ids within one range, stored as one binary record:
   documents before this shard in its range; int64 doc ids (the smallest value: null); uint32 ids of each document; uint32 symbols of each
   document; rules as pairs of uint32 symbols; uint32 expansion lengths of the rules; symbols.
 Re-Pair: in each round the frequent pairs of neighbouring symbols (at least MIN_PAIR times; never across documents, never the
-end id) become nonterminals, from FIRST_RULE on, up to RULES a round; overlaps are replaced left to right. Expansion lengths let
-a reader find a document's symbols, or an id inside a document, without expanding what lies before.
+end id) become nonterminals, from FIRST_RULE on, up to RULES a round, until no pair is frequent; overlaps are replaced left to
+right. Expansion lengths let a reader find a document's symbols, or an id inside a document, without expanding what lies before.
 
-Records are written as a Parquet table in the shared folder and read back; the results come from what was read.
+Records are written as a Parquet table in the shared folder, with an index of the ids before each range beside them, and read
+back; the results come from what was read.
 Edge cases: null or empty texts have the end id only; a null doc_id comes first; repeated rows are documents of their own
 (ties go by text hash); an empty table writes no record. Extra columns are ignored.
 """
@@ -31,12 +32,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import ARROW_ROWS, durable, workers_find_us
 
 END_ID, FIRST_RULE = 2, 50_257
-SHARD_IDS, ROUNDS, RULES, MIN_PAIR = 1 << 20, 3, 5000, 16
+#: Pairs that stand at least MIN_PAIR times are frequent; up to RULES of them become rules at a time.
+SHARD_IDS, RULES, MIN_PAIR, BROADCAST_RANGES = 1 << 20, 5000, 16, 1 << 20
 CACHE_PIECES, CACHE_BYTES, LEARN_PIECES, RANGE_ROWS, CHUNK_BYTES = 300_000, 64 << 20, 4096, 8192, 8 << 20
 #: Latin letters (of every Unicode version) before a last full stop or comma; white space other than single spaces and lone line ends inside a text.
 LETTER_MARK = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17f}][.,]\z"
@@ -152,13 +155,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def compress(ids: np.ndarray, end_id: int = END_ID, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rule k, of symbol FIRST_RULE + k, stands for its pair. Ids must be below FIRST_RULE."""
+def compress(ids: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): rule k, of symbol FIRST_RULE + k, stands for its pair. Ids must be below FIRST_RULE. Ends when no pair is frequent."""
     x = ids.astype(np.uint64)
     rules = np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(x) < 2:
-            break
+    while len(x) > 1:
         key = (x[:-1] << np.uint64(32)) | x[1:]
         ok = (x[:-1] != end_id) & (x[1:] != end_id)
         slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
@@ -269,7 +270,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None]
 
 
 def write(docs: DataFrame, path: str) -> DataFrame:
-    """Encode docs and write the shard records; returns the table written: part, seq, record."""
+    """Encode docs and write the shard records; returns the table written: part, seq, n_ids, record."""
     spark = docs.sparkSession
     workers_find_us(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
@@ -281,7 +282,7 @@ def write(docs: DataFrame, path: str) -> DataFrame:
         keys, ids, size, before, seq = [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([pack_shard(keys, ids, before)], pa.binary())], names=["part", "seq", "record"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([size], pa.int64()), pa.array([pack_shard(keys, ids, before)], pa.binary())], names=["part", "seq", "n_ids", "record"])
 
         for doc_ids, texts in chunks(batches):
             for k, x in zip(doc_ids, enc.batch(texts)):
@@ -295,7 +296,7 @@ def write(docs: DataFrame, path: str) -> DataFrame:
         if keys:
             yield flush()
 
-    return durable(ordered.mapInArrow(run, "part int, seq int, record binary"), "ids")
+    return durable(ordered.mapInArrow(run, "part int, seq int, n_ids bigint, record binary"), "ids")
 
 
 def read_back(records: DataFrame) -> DataFrame:
@@ -315,12 +316,15 @@ def read_back(records: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(start + s.before), pa.array(s.counts.astype(np.int64)), pa.array(crc, pa.int64())], names=["part", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     rows = records.select("part", "record").mapInArrow(run, "part int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
-    rows = durable(rows, "documents")
-    # one row for each range of doc_id: their number is that of the write's partitions
-    sums = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
-    starts, run_ = [], 0
-    for part, n in sums:
-        starts.append((part, run_))
-        run_ += n
-    table = records.sparkSession.createDataFrame(starts, "part int, part_start bigint")
-    return rows.join(F.broadcast(table), "part").select("doc_id", (F.col("at") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
+    starts = index(records)
+    small = F.broadcast if starts.count() <= BROADCAST_RANGES else lambda df: df
+    return rows.join(small(starts), "part").select("doc_id", (F.col("at") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def index(records: DataFrame, step: int = 4096) -> DataFrame:
+    """part, start: the ids before each range, the index that is written beside the records. Running sums within groups of `step`
+    ranges and over the groups, so no task sums all ranges one by one."""
+    sums = records.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("far", F.floor(F.col("part") / F.lit(step)))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = sums.groupBy("far").agg(F.sum("n").alias("n")).select("far", before(W.orderBy("far")).alias("base"))
+    return durable(sums.withColumn("near", before(W.partitionBy("far").orderBy("part"))).join(groups, "far").select("part", (F.col("near") + F.col("base")).cast("bigint").alias("start")), "index")

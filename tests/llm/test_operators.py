@@ -71,6 +71,31 @@ def test_quality_matches_counts(docs):
     assert quality.judge(docs.limit(0)).count() == 0
 
 
+def test_quality_compares_words(spark, monkeypatch):
+    """Windows whose hashes are equal in all the bits that are left are told apart by their words."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 6, n)) for n in (2, 3, 4, 10, 40, 200)]
+    want = []
+    for t in texts:
+        w = t.split()
+        seen = {}
+        for i in range(len(w) - 2):
+            seen.setdefault(tuple(w[i : i + 3]), []).append(i)
+        want.append(len({i + k for p in seen.values() if len(p) > 1 for i in p for k in range(3)}))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for extra in ("", " + 54"):  # 54: a few bits of the hash are left at most
+        monkeypatch.setattr(quality, "EXTRA_BITS", extra)
+        got = {r.doc_id: r.n_repeat_words for r in quality.base_columns(d).select("doc_id", "n_repeat_words").collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_rules_by_rejection_per_cost(spark):
+    rules = (quality.Rule("none", "n_words < 0"), quality.Rule("half", "doc_id % 2 = 0"), quality.Rule("same_half", "doc_id % 4 = 0"), quality.Rule("rest", "doc_id % 10 = 1"))
+    d = spark.range(600).selectExpr("id as doc_id", "array_join(transform(sequence(1, 60), i -> concat('w', i * (id + 1))), ' ') as text")
+    assert quality.order_rules(d, rules)[0].name in ("half", "same_half") and len(quality.order_rules(d, rules)) == 4
+    assert quality.order_rules(d.limit(0), rules)
+
+
 def test_fingerprints(docs):
     canon = lambda t: " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold()).split())
     half = lambda c: f"{xxhash.xxh64_intdigest(c.encode(), 42):016x}"
@@ -155,6 +180,18 @@ def test_tokens(docs):
     got = {(r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.read_back(tokens.write(docs, tokenizer_path())).collect()}
     ids = [(r.doc_id, t.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in docs.collect()]
     assert got == {(d, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in ids}
+    starts = {r.doc_id: r.start for r in tokens.read_back(tokens.write(docs, tokenizer_path())).collect()}
+    at = sum(len(x) for d, x in ids if d is None)
+    for d, x in sorted((i for i in ids if i[0] is not None), key=lambda i: i[0]):
+        assert d == 3 or starts[d] == at  # 3 stands twice
+        at += len(x)
+    assert tokens.read_back(tokens.write(docs.limit(0), tokenizer_path())).count() == 0
+    parts = docs.sparkSession.range(40).selectExpr("cast(id as int) as part", "id % 7 as n_ids")
+    assert [r.start for r in tokens.index(parts, 8).orderBy("part").collect()] == [sum(i % 7 for i in range(k)) for k in range(40)]
+    often = np.tile(np.arange(3, 40), 400).astype("<u4")
+    left, rules = tokens.compress(often)
+    pairs = np.unique((left[:-1].astype(np.uint64) << np.uint64(32)) | left[1:], return_counts=True)[1]
+    assert pairs.max() < tokens.MIN_PAIR and len(left) < 800 and tokens.expand(left, rules, tokens.rule_lengths(rules)).tolist() == often.tolist()
     rng = np.random.default_rng(4)
     blobs = [np.append(rng.integers(3, 30, n), 2).astype("<u4") for n in (0, 1, 5000, 40, 3000)]
     shard = tokens.Shard(tokens.pack_shard([1, None, 3, 4, 5], blobs, 9))
