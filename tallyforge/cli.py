@@ -1,38 +1,79 @@
-"""Command line: run --mode snapshot --snapshot DIR, run --mode incremental --snapshot DIR --since ..., metric NAME."""
+"""Command line: run (snapshot, live or incremental), db init, views, metric NAME."""
 
 from __future__ import annotations
 
 import argparse
+import csv
+import sys
 from datetime import datetime
 
-from tallyforge.plans.metrics import list_metric_queries, metric_query
+from tallyforge.plans.metrics import list_metric_queries
+from tallyforge.plans.views import apply_views, run_metric_query
 from tallyforge.run import RunSpec, run_pipeline
 from tallyforge.session import get_session, warehouse_root
 from tallyforge.sources.storage import Warehouse
 from tallyforge.sources.window import DEFAULT_OVERLAP, parse_overlap
 
 
-def main(argv: list[str] | None = None) -> int:
+def overlap(text: str):
+    try:
+        return parse_overlap(text)
+    except ValueError as e:
+        raise argparse.ArgumentTypeError(str(e)) from e
+
+
+def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tallyforge")
-    p.add_argument("--warehouse", help="folder of the tables; else the environment's WAREHOUSE_ROOT")
+    p.add_argument("--warehouse", help="folder or URI of the tables; else the environment's WAREHOUSE_ROOT")
     sub = p.add_subparsers(dest="command", required=True)
-    r = sub.add_parser("run")
+    r = sub.add_parser("run", help="one run from extract to publish")
     r.add_argument("--mode", choices=("snapshot", "live", "incremental"), default="snapshot")
-    r.add_argument("--snapshot", required=True)
+    r.add_argument("--snapshot", dest="snapshot_key", default="v1", help="name of a snapshot (snapshot mode)")
+    r.add_argument("--snapshot-root", help="folder of a snapshot, in the place of the source in any mode")
     r.add_argument("--runs-root", default="runs")
+    r.add_argument("--page-size", type=int, default=100)
+    r.add_argument("--watermark-column", default="order_ts")
     r.add_argument("--since", type=datetime.fromisoformat)
     r.add_argument("--until", type=datetime.fromisoformat)
-    r.add_argument("--overlap", type=parse_overlap, default=DEFAULT_OVERLAP)
-    sub.add_parser("metric").add_argument("name", choices=list_metric_queries())
-    a = p.parse_args(argv)
+    r.add_argument("--overlap", type=overlap, default=DEFAULT_OVERLAP, help="7d, 12h, 30m or a mix of them")
+    db = sub.add_parser("db", help="the tables").add_subparsers(dest="action", required=True)
+    db.add_parser("init", help="make empty typed tables where there are none").add_argument("--sql", help="a script to run after that")
+    sub.add_parser("views", help="register and list the published views")
+    m = sub.add_parser("metric", help="one metric, whole")
+    m.add_argument("name", choices=list_metric_queries())
+    m.add_argument("--output", help="a folder for CSV files; else the rows go to standard output, one by one")
+    return p
+
+
+def main(argv: list[str] | None = None) -> int:
+    a = parser().parse_args(argv)
     root = warehouse_root(a.warehouse)
     spark = get_session()
+    store = Warehouse(spark, root)
+    if a.command == "db":
+        print("\n".join(store.initialize()))
+        if a.sql:
+            from tallyforge.plans.scripts import run_file
+
+            run_file(spark, a.sql)
+        return 0
+    if a.command == "views":
+        print("\n".join(apply_views(spark, store).views))
+        return 0
     if a.command == "metric":
-        now = Warehouse(spark, root).current()
-        metric_query(a.name, now["fact_orders"], now["fact_order_items"]).show(1000, truncate=False)
+        got = run_metric_query(spark, store, a.name)
+        if a.output:
+            got.rows.write.option("header", True).csv(a.output)
+            return 0
+        out = csv.writer(sys.stdout)
+        out.writerow(got.columns)
+        for row in got.rows.toLocalIterator():
+            out.writerow(row)
         return 0
-    m = run_pipeline(spark, root, RunSpec(a.mode, a.snapshot, a.runs_root, a.since, a.until, a.overlap))
-    print(f"{m.run_id} {m.status} {m.error or ''}")
+    m = run_pipeline(spark, root, RunSpec(a.mode, a.snapshot_root, a.runs_root, a.since, a.until, a.overlap, "dummyjson", a.snapshot_key, a.page_size, a.watermark_column))
+    print(f"run_id={m.run_id} status={m.status} mode={m.mode} manifest={m.artifacts['manifest']} {m.error or ''}".rstrip())
+    if m.window:
+        print(f"  window: {m.window['low']} to {m.window['high']} ({m.source.get('carts_post_filter', '?')}/{m.source.get('carts_pre_filter', '?')} carts)")
     return 0 if m.status == "succeeded" else 1
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -120,12 +122,26 @@ def split_lines(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def running_offset(df: DataFrame, order: str, size: str, name: str, width: int = 10_000) -> DataFrame:
-    """df with the sum of `size` over all rows of smaller `order` (a whole number): sums of ranges, then sums within each."""
-    ranged = df.withColumn("__range", F.floor(F.col(order) / width))
-    sums = ranged.groupBy("__range").agg(F.sum(size).alias("__n"))
-    starts = sums.select("__range", F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    within = F.coalesce(F.sum(size).over(W.partitionBy("__range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("__within", within).join(starts, "__range").withColumn(name, F.col("__start") + F.col("__within")).drop("__range", "__within", "__start")
+    """df with the sum of `size` over all rows of smaller `order` (a whole number).
+
+    Sums of ranges of `width` are summed over ranges of `width` of these, and so on up to at most `width` sums, so that no
+    window holds more than that, whatever the rows and however far apart their numbers are.
+    """
+    before = lambda x, w: F.coalesce(F.sum(x).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    if lo is None:
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    levels = 1
+    while (hi - lo) // width**levels >= width:
+        levels += 1
+    far = F.col(order).cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)") if hi - lo >= 1 << 63 else F.col(order) - F.lit(lo)
+    rows = df.withColumns({f"__l{k}": F.floor(far / F.lit(width**k)).cast("bigint") for k in range(1, levels + 1)})
+    out, sums = rows.withColumn("__at", before(size, W.partitionBy("__l1").orderBy(order))), rows
+    for k in range(1, levels + 1):
+        sums = sums.groupBy(*(f"__l{j}" for j in range(k, levels + 1))).agg(F.sum(size if k == 1 else "__n").alias("__n"))
+        w = W.partitionBy(f"__l{k + 1}").orderBy(f"__l{k}") if k < levels else W.orderBy(f"__l{k}")
+        out = out.join(sums.select(f"__l{k}", before("__n", w).alias("__base")), f"__l{k}").withColumn("__at", F.col("__at") + F.col("__base")).drop("__base")
+    return out.withColumn(name, F.col("__at")).drop("__at", *(f"__l{k}" for k in range(1, levels + 1)))
 
 
 def duplicate_detail(key: tuple[str, ...]) -> Column:
@@ -142,16 +158,32 @@ def dedup(rows: DataFrame, spec: TableSpec, order: list[Column | str] | None = N
     return r.where("__rn = 1").select(*spec.names), _reject(r.where("__rn > 1"), spec.name, "duplicate_key", duplicate_detail(spec.key))
 
 
-def stage_all(users: DataFrame, products: DataFrame, carts: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The four staged tables and all rejects, of records with source_ref and raw_payload."""
+def map_all(users: DataFrame, products: DataFrame, carts: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Mapped rows of the four tables, with source_ref and raw_payload, and the rejects of mapping."""
     u, bad_u = map_users(users)
     p, bad_p = map_products(products)
     o, i, bad_i = map_carts(carts, u, p)
-    out, rejects = {}, [bad_u, bad_p, bad_i]
-    for spec, rows in zip(STAGED.values(), (u, p, o, i)):
-        out[spec.name], dup = dedup(rows, spec)
-        rejects.append(dup)
-    all_rejects = rejects[0]
-    for r in rejects[1:]:
-        all_rejects = all_rejects.unionByName(r)
-    return out, all_rejects
+    return dict(zip(STAGED, (u, p, o, i))), bad_u.unionByName(bad_p).unionByName(bad_i)
+
+
+def split_first(mapped: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """First row of each key of each table, and the others as rejects."""
+    parts = {t: dedup(rows, STAGED[t]) for t, rows in mapped.items()}
+    return {t: first for t, (first, _) in parts.items()}, reduce(DataFrame.unionByName, (dup for _, dup in parts.values()))
+
+
+def stage_all(users: DataFrame, products: DataFrame, carts: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The four staged tables and all rejects, of records with source_ref and raw_payload."""
+    mapped, bad = map_all(users, products, carts)
+    out, dup = split_first(mapped)
+    return out, bad.unionByName(dup)
+
+
+def load_results(staged: dict[str, DataFrame], rejects: DataFrame) -> DataFrame:
+    """table_name, inserted_count, duplicate_reject_count, explicit_reject_count of each table that has rows or rejects."""
+    counts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"), F.col("n").alias("inserted_count"), F.lit(0).cast("bigint").alias("dup"), F.lit(0).cast("bigint").alias("other")) for t, rows in staged.items()]
+    dup = F.col("reason_code") == "duplicate_key"
+    bad = rejects.groupBy("table_name").agg(F.count_if(dup).alias("dup"), F.count_if(~dup).alias("other")).select("table_name", F.lit(0).cast("bigint").alias("inserted_count"), "dup", "other")
+    every = reduce(DataFrame.unionByName, [*counts, bad])
+    out = every.groupBy("table_name").agg(F.sum("inserted_count").alias("inserted_count"), F.sum("dup").alias("duplicate_reject_count"), F.sum("other").alias("explicit_reject_count"))
+    return out.where("inserted_count + duplicate_reject_count + explicit_reject_count > 0")

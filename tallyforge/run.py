@@ -1,7 +1,8 @@
-"""One run: ledger, extract, stage, quality, gate, transform and publish, with a manifest whatever happens."""
+"""One run: ledger, extract, stage, quality, gate, transform and publish, with a manifest and an event log whatever happens."""
 
 from __future__ import annotations
 
+import subprocess
 import time
 import uuid
 from collections.abc import Callable
@@ -12,13 +13,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.functions.derive import ORDER_TS_HIGH, order_ts
 from tallyforge.operators import gates, quality, staging, warehouse
-from tallyforge.sources.snapshot import read_snapshot
-from tallyforge.sources.storage import Warehouse, put_json
-from tallyforge.sources.window import DEFAULT_OVERLAP, in_window, resolve_window
-
-SOURCE, COLUMN = "dummyjson", "order_ts"
+from tallyforge.plans.views import apply_views
+from tallyforge.schemas import STAGED, staging_spec
+from tallyforge.sources.adapters import PullResult, SnapshotSource, SourceAdapter, get_source_adapter
+from tallyforge.sources.events import RunLog
+from tallyforge.sources.files import Files
+from tallyforge.sources.snapshot import snapshot_root_for_key
+from tallyforge.sources.storage import Warehouse, as_json
+from tallyforge.sources.window import DEFAULT_OVERLAP, ExtractionWindow, resolve_window
 
 
 class GateFailed(RuntimeError):
@@ -27,12 +30,26 @@ class GateFailed(RuntimeError):
 
 @dataclass(frozen=True)
 class RunSpec:
+    """snapshot_root, where given, stands in for the source in every mode; snapshot_key names one for snapshot mode."""
+
     mode: str = "snapshot"
     snapshot_root: str | None = None
     runs_root: str = "runs"
     since: datetime | None = None
     until: datetime | None = None
     overlap: timedelta = DEFAULT_OVERLAP
+    source_system: str = "dummyjson"
+    snapshot_key: str | None = "v1"
+    page_size: int = 100
+    watermark_column: str = "order_ts"
+
+    def resolved_snapshot_root(self) -> str | None:
+        if self.snapshot_root:
+            return str(self.snapshot_root)
+        return snapshot_root_for_key(self.snapshot_key or "v1") if self.mode == "snapshot" else None
+
+    def arguments(self) -> dict:
+        return {"page_size": self.page_size, "since": self.since, "until": self.until, "overlap_s": self.overlap.total_seconds(), "snapshot_root": self.resolved_snapshot_root(), "runs_root": str(self.runs_root)}
 
 
 @dataclass
@@ -42,54 +59,118 @@ class RunManifest:
     status: str = "running"
     error: str | None = None
     window: dict | None = None
+    source: dict = field(default_factory=dict)
     counts: dict = field(default_factory=dict)
+    rejects: dict = field(default_factory=dict)
+    dq: dict = field(default_factory=dict)
     gate: dict = field(default_factory=dict)
+    published: dict = field(default_factory=dict)
     seconds: dict = field(default_factory=dict)
+    artifacts: dict = field(default_factory=dict)
+
+
+def adapter_of(spec: RunSpec) -> SourceAdapter:
+    root = spec.resolved_snapshot_root()
+    return SnapshotSource(root) if root else get_source_adapter(spec.source_system)
+
+
+def git_sha() -> str | None:
+    try:
+        return subprocess.run(["git", "rev-parse", "HEAD"], cwd=Path(__file__).parent, capture_output=True, text=True, timeout=5).stdout.strip() or None
+    except (OSError, subprocess.SubprocessError):
+        return None
+
+
+def load_batches(store: Warehouse, run_id: str, pulled: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """(staged tables, rejects, load results) of mapped records. Mapped rows are written once, in the run's work folder; first
+    rows and repeats are both split from there, so sources are parsed and looked up once."""
+    mapped, bad = staging.map_all(pulled["users"], pulled["products"], pulled["carts"])
+    kept = {t: store.stage(f"work/{t}", rows, run_id) for t, rows in mapped.items()}
+    bad = store.stage("work/reject_rows", bad, run_id)
+    firsts, repeats = staging.split_first(kept)
+    staged = {t: store.stage(t, rows, run_id) for t, rows in firsts.items()}
+    at = F.lit(datetime.now(timezone.utc)).cast("timestamp")
+    rejects = store.stage("reject_rows", bad.unionByName(repeats).withColumns({"run_id": F.lit(run_id), "rejected_at": at}), run_id)
+    return staged, rejects, staging.load_results(staged, rejects)
 
 
-def run_pipeline(spark: SparkSession, root: str | Path, spec: RunSpec, extract: Callable[[SparkSession], dict[str, DataFrame]] | None = None) -> RunManifest:
-    """extract gives users, products and carts with source_ref and raw_payload; by default the snapshot's."""
+def run_table_dq(store: Warehouse, run_id: str, table: str) -> dict:
+    """Measure one staged table of a run again and replace its stored metrics; their summary."""
+    staging_spec(table)
+    staged = {t: store.run_rows(t, run_id) for t in STAGED}
+    rows = quality.table_dq(staged, store.run_rows("reject_rows", run_id), table).withColumns({"run_id": F.lit(run_id), "created_at": F.lit(datetime.now(timezone.utc)).cast("timestamp")})
+    fresh = store.stage("work/dq", rows, f"{run_id}-{table}")
+    if store.files.exists(f"dq_results/run_id={run_id}"):
+        old = store.run_rows("dq_results", run_id).where(F.col("table_name") != table)
+        fresh = store.stage("work/dq", old.unionByName(fresh.select(*old.columns)), f"{run_id}-all")
+    store.stage("dq_results", fresh, run_id)
+    return next(r.asDict() for r in quality.summary(fresh.where(F.col("table_name") == table)).collect())
+
+
+def run_pipeline(spark: SparkSession, root: str | Path, spec: RunSpec, extract: Callable[[SparkSession], dict[str, DataFrame]] | None = None, adapter: SourceAdapter | None = None, step: str = "build_all", echo: bool = False) -> RunManifest:
+    """extract gives users, products and carts with source_ref and raw_payload, in the place of a source."""
     store, now = Warehouse(spark, root), lambda: datetime.now(timezone.utc)
     out = RunManifest(str(uuid.uuid4()), spec.mode)
+    runs = Files(spark, spec.runs_root)
+    log = RunLog(out.run_id, Path(spec.runs_root) / out.run_id / "logs.jsonl", echo)
+    out.artifacts = {"manifest": runs.path(f"{out.run_id}/manifest.json"), "log": str(log.path)}
     at = now()
-    row = {"run_id": out.run_id, "source_system": SOURCE, "mode": spec.mode, "started_at": at.isoformat(), "finished_at": None, "status": "running"}
+    row = {"run_id": out.run_id, "source_system": spec.source_system, "mode": spec.mode, "snapshot_key": spec.snapshot_key if spec.mode == "snapshot" else None, "started_at": at, "finished_at": None, "status": "running", "git_sha": git_sha(), "args_json": as_json(spec.arguments())}
     store.record(row)
+    log.event("run_started", mode=spec.mode)
+    current = ["start"]
 
     def phase(name: str, f: Callable):
+        current[0] = name
+        log.phase_started(name)
         began = time.perf_counter()
         try:
-            return f()
+            got = f()
         finally:
             out.seconds[name] = round(time.perf_counter() - began, 6)
+        log.phase_finished(name, out.seconds[name])
+        return got
+
+    def pull(source: SourceAdapter, window: ExtractionWindow | None) -> PullResult:
+        if extract:
+            return PullResult(extract(spark))
+        return source.pull_incremental(spark, spec.page_size, window) if window else source.pull_full(spark, spec.page_size)
 
     try:
         if spec.mode not in warehouse.MODES:
             raise ValueError(f"unknown mode {spec.mode!r}")
+        source = adapter or adapter_of(spec)
         window = None
         if spec.mode == "incremental":
-            prior = store.prior_watermark(SOURCE, COLUMN)
-            window = resolve_window(COLUMN, prior and datetime.fromisoformat(prior), at, spec.since, spec.until, spec.overlap, ORDER_TS_HIGH)
-            row |= {"watermark_column": COLUMN, "watermark_low": window.low.isoformat(), "watermark_high": window.high.isoformat()}
-            store.record(row)
-            out.window = {"low": window.low.isoformat(), "high": window.high.isoformat(), "prior": prior}
-        records = phase("extract", lambda: extract(spark) if extract else read_snapshot(spark, spec.snapshot_root))
-        if window:
-            carts = records["carts"]
-            out.counts["carts_pre_filter"] = carts.count()
-            records["carts"] = in_window(carts, order_ts(F.col("id").cast("bigint"), F.col("userId").cast("bigint")), window.low, window.high)
-        tables, rejects = phase("stage_map", lambda: staging.stage_all(records["users"], records["products"], records["carts"]))
-        staged = phase("stage_load", lambda: {t: store.stage(t, df, out.run_id) for t, df in tables.items()})
-        bad = store.stage("reject_rows", rejects, out.run_id)
-        dq = phase("dq", lambda: store.stage("dq_results", quality.run_stage_dq(staged, bad), out.run_id))
-        out.counts |= {r["table_name"]: int(r["metric_value"]) for r in dq.where("metric_name = 'row_count'").collect()}
+            source.validate_watermark_column(spec.watermark_column)
+            prior = store.prior_watermark(spec.source_system, spec.watermark_column)
+            window = resolve_window(spec.watermark_column, prior, at, spec.since, spec.until, spec.overlap, source.default_high_watermark(spec.watermark_column, at))
+            row |= {"watermark_column": spec.watermark_column, "watermark_low": window.low, "watermark_high": window.high}
+            store.record(row)  # kept even if the run fails later
+            out.window = window.meta()
+        got = phase("extract", lambda: pull(source, window))
+        out.source = got.meta
+        out.counts |= {k: v for k, v in got.meta.items() if k.startswith("carts_")}
+        staged, rejects, loads = phase("stage_load", lambda: load_batches(store, out.run_id, got.records))
+        out.rejects = {r["table_name"]: {"loaded": r["inserted_count"], "duplicates": r["duplicate_reject_count"], "rejected": r["explicit_reject_count"]} for r in loads.collect()}
+        out.counts |= {t: out.rejects.get(t, {}).get("loaded", 0) for t in staged}
+        metrics = quality.run_stage_dq(staged, rejects).withColumns({"run_id": F.lit(out.run_id), "created_at": F.lit(now()).cast("timestamp")})
+        dq = phase("dq", lambda: store.stage("dq_results", metrics, out.run_id))
+        out.dq = {r["table_name"]: {"metrics_written": r["metrics_written"], "failed_metrics": r["failed_metrics"], "passed": r["passed"]} for r in quality.summary(dq).collect()}
         decision = phase("gate", lambda: gates.evaluate_frame(dq, spec.mode))
         out.gate = {"passed": decision.passed, "failures": decision.failures, "warnings": decision.warnings}
         if not decision.passed:
             raise GateFailed("; ".join(decision.failures))
-        phase("transform_publish", lambda: store.publish(warehouse.build(staged, store.current(), out.run_id, at, spec.mode), out.run_id))
+        phase("transform_publish", lambda: store.publish(warehouse.build(staged, store.current(), out.run_id, at, spec.mode, step), out.run_id))
+        row["cursor_state_json"] = as_json({"watermark_high": window.high}) if window else None
         out.status = "succeeded"
-    except Exception as e:  # the manifest and the ledger tell what went wrong
+    except Exception as e:  # the manifest, the ledger and the log tell what went wrong
         out.status, out.error = "failed", f"{type(e).__name__}: {e}"
-    store.record(row | {"status": out.status, "finished_at": now().isoformat(), "error_message": out.error})
-    put_json(Path(spec.runs_root) / out.run_id / "manifest.json", out.__dict__)
+        log.error(current[0], out.error)
+    store.record(row | {"status": out.status, "finished_at": now(), "error_message": out.error})
+    if out.status == "succeeded":
+        views = apply_views(spark, store)
+        out.published = {"views": views.views, "metrics": views.metrics}
+    log.event("run_finished", status=out.status)
+    runs.write(f"{out.run_id}/manifest.json", as_json(out.__dict__))
     return out

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
+
 LINE = "struct<id:string,title:string,quantity:string,price:string,total:string,discountPercentage:string,discountedTotal:string>"
 #: Numbers are read as strings and cast, so that lax values ("12") load and wrong ones are counted instead of lost.
 RECORDS = {
@@ -21,7 +25,7 @@ class TableSpec:
 
     @property
     def names(self) -> list[str]:
-        return [c.split()[0] for c in self.columns.replace("decimal(12,2)", "m").replace("decimal(8,4)", "m").replace("decimal(6,3)", "m").split(", ")]
+        return columns_of(self.columns)
 
 
 STAGED = {
@@ -33,8 +37,9 @@ STAGED = {
         TableSpec("stg_order_items", "order_id bigint, line_id int, product_id bigint, sku string, qty int, unit_price_usd decimal(12,2), discount_pct decimal(8,4), gross_usd decimal(12,2), net_usd decimal(12,2)", ("order_id", "line_id")),
     )
 }
-REJECTS = "table_name string, source_ref int, raw_payload string, reason_code string, reason_detail string"
-DQ = "table_name string, check_name string, metric_name string, metric_value decimal(18,6), passed boolean, details_json string"
+REJECTS = "run_id string, table_name string, source_ref int, raw_payload string, reason_code string, reason_detail string, rejected_at timestamp"
+DQ = "run_id string, table_name string, check_name string, metric_name string, metric_value decimal(18,6), passed boolean, details_json string, created_at timestamp"
+LEDGER = "run_id string, source_system string, mode string, snapshot_key string, started_at timestamp, finished_at timestamp, status string, error_message string, git_sha string, args_json string, watermark_column string, watermark_low timestamp, watermark_high timestamp, cursor_state_json string"
 WAREHOUSE = {
     "dim_customer": "customer_id bigint, first_name string, last_name string, full_name string, email string, phone string, city string, country string, company string, source_run_id string, built_at timestamp",
     "dim_date": "date date, year int, month int, day int, iso_week int, iso_dow int, quarter int, week_start date, month_start date, built_at timestamp",
@@ -44,6 +49,18 @@ WAREHOUSE = {
 KEYS = {"dim_customer": ["customer_id"], "dim_date": ["date"], "fact_orders": ["order_id"], "fact_order_items": ["order_id", "line_id"]}
 
 
+def columns_of(ddl: str) -> list[str]:
+    return [f.name for f in _parse_datatype_string(ddl).fields]
+
+
+def conform(df: DataFrame, ddl: str) -> DataFrame:
+    """df with exactly the columns and types of a table; a column that is missing is an error."""
+    fields = _parse_datatype_string(ddl).fields
+    if missing := [f.name for f in fields if f.name not in df.columns]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields))
+
+
 def staging_spec(name: str) -> TableSpec:
     if name not in STAGED:
         raise ValueError(f"unknown staging table {name!r}; known: {', '.join(STAGED)}")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -25,9 +24,9 @@ def get_session(app: str = "tallyforge", master: str | None = None, **more: str)
     return b.getOrCreate()
 
 
-def warehouse_root(root: str | None = None) -> Path:
-    """The warehouse folder: the argument, or the environment's WAREHOUSE_ROOT."""
+def warehouse_root(root: str | None = None) -> str:
+    """The warehouse folder or URI: the argument, or the environment's WAREHOUSE_ROOT."""
     found = root or os.environ.get("WAREHOUSE_ROOT")
     if not found:
         raise RuntimeError("no warehouse root: pass one or set WAREHOUSE_ROOT")
-    return Path(found)
+    return found

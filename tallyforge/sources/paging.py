@@ -29,7 +29,7 @@ def fetch_all(page: Callable[[int, int], dict], name: str, page_size: int = 100,
     while True:
         if n >= max_pages:
             raise RuntimeError(f"more than {max_pages} pages")
-        p = page(page_size, skip)
+        p = checked_page(page(page_size, skip), name)
         n += 1
         if total is None:
             total = p["total"]
@@ -44,10 +44,19 @@ def fetch_all(page: Callable[[int, int], dict], name: str, page_size: int = 100,
         skip = p["skip"] + p["limit"]
 
 
+def checked_page(page: dict, name: str) -> dict:
+    """A page whose list and numbers are what they must be."""
+    whole = lambda k, low: isinstance(page.get(k), int) and not isinstance(page[k], bool) and page[k] >= low
+    if not isinstance(page.get(name), list) or not (whole("total", 0) and whole("skip", 0) and whole("limit", 1)):
+        raise ValueError(f"not a page of {name}: {sorted(page)}")
+    return page
+
+
 class Client:
-    """GET of JSON objects. sleep and clock can be replaced in tests."""
+    """GET of JSON objects. sleep, clock and opener (urllib's, or a fake transport) can be replaced in tests."""
 
-    def __init__(self, base_url: str, timeout_s: float = 10, attempts: int = 4, backoff_s: float = 0.5, max_backoff_s: float = 8, min_interval_s: float = 0.25, sleep=time.sleep, clock=time.monotonic):
+    def __init__(self, base_url: str, timeout_s: float = 10, attempts: int = 4, backoff_s: float = 0.5, max_backoff_s: float = 8, min_interval_s: float = 0.25, sleep=time.sleep, clock=time.monotonic, opener=None):
+        self.opener = opener or (lambda url, timeout: urllib.request.urlopen(url, timeout=timeout))
         self.base, self.timeout, self.attempts = base_url.rstrip("/"), timeout_s, attempts
         self.backoff, self.max_backoff, self.interval = backoff_s, max_backoff_s, min_interval_s
         self.sleep, self.clock, self.last = sleep, clock, None
@@ -60,7 +69,7 @@ class Client:
             self.last = self.clock()
             after = None
             try:
-                with urllib.request.urlopen(url, timeout=self.timeout) as r:
+                with self.opener(url, self.timeout) as r:
                     out = json.load(r)
                 if not isinstance(out, dict):
                     raise ValueError(f"{url}: the answer is not an object")

@@ -10,9 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.schemas import LINE, RECORDS
+from tallyforge.schemas import RECORDS
+from tallyforge.sources.files import Files
 
-_LINES = f"from_json(to_json(products), 'array<{LINE}>')"
 #: Conditions that every record must meet; one that does not fails the whole page.
 _int = lambda c, low: f"coalesce(try_cast({c} as decimal(38,6)) = floor(try_cast({c} as decimal(38,6))) and try_cast({c} as decimal(38,6)) >= {low}, false)"
 _num = lambda c: f"coalesce(try_cast({c} as double) >= 0 and not isnan(try_cast({c} as double)), false)"
@@ -26,17 +26,39 @@ VALID = {
 }
 
 
+def checked_records(rows: DataFrame, name: str, where: str) -> DataFrame:
+    """rows, or an error if any of them is invalid: one bad record fails its whole source."""
+    bad = rows.where(f"not ({VALID[name]})").agg(F.count(F.lit(1)).alias("n"), F.min("source_ref").alias("first")).first()
+    if bad["n"]:
+        raise ValueError(f"{where}: {bad['n']} invalid records, the first at position {bad['first']}")
+    return rows
+
+
 def read_resource(spark: SparkSession, root: str | Path, name: str) -> DataFrame:
-    """Records of <root>/<name>.json with source_ref (1-based position) and raw_payload. Raises if any record is invalid."""
-    page = spark.read.schema(f"{name} array<struct<{', '.join(c.replace(' ', ':', 1) for c in _fields(RECORDS[name]))}>>, total string, skip string, limit string").option("multiLine", True).json(f"{root}/{name}.json")
+    """Records of a resource with source_ref (1-based position) and raw_payload. Raises if any record is invalid.
+
+    <root>/<name>.json is one envelope, read by one task. For large inputs, <root>/<name>.jsonl is a folder of JSON Lines and
+    <root>/<name>.parquet one of Parquet files, read in parallel; their rows carry their source_ref.
+    """
+    files = Files(spark, root)
+    for kind, reader in (("jsonl", "json"), ("parquet", "parquet")):
+        if files.exists(f"{name}.{kind}"):
+            rows = spark.read.schema(f"{RECORDS[name]}, source_ref int").format(reader).load(files.path(f"{name}.{kind}"))
+            fields = [c for c in rows.columns if c != "source_ref"]
+            return checked_records(rows.withColumn("raw_payload", F.to_json(F.struct(*fields))), name, f"{name}.{kind}")
+    if not files.exists(f"{name}.json"):
+        raise FileNotFoundError(files.path(f"{name}.json"))
+    page = spark.read.schema(f"{name} array<struct<{', '.join(c.replace(' ', ':', 1) for c in _fields(RECORDS[name]))}>>, total string, skip string, limit string").option("multiLine", True).json(files.path(f"{name}.json"))
     ok = page.select(F.expr(f"{name} is not null and {_int('total', 0)} and {_int('skip', 0)} and {_int('limit', 1)}").alias("ok")).collect()
     if len(ok) != 1 or not ok[0]["ok"]:
         raise ValueError(f"{name}.json is not a page of {name}")
     rows = page.select(F.posexplode(name).alias("pos", "r")).select("r.*", (F.col("pos") + 1).alias("source_ref"), F.to_json("r").alias("raw_payload"))
-    bad = rows.where(f"not ({VALID[name]})").agg(F.count(F.lit(1)).alias("n"), F.min("source_ref").alias("first")).first()
-    if bad["n"]:
-        raise ValueError(f"{name}.json: {bad['n']} invalid records, the first at position {bad['first']}")
-    return rows
+    return checked_records(rows, name, f"{name}.json")
+
+
+def snapshot_root_for_key(key: str, base: str | Path | None = None) -> str:
+    """The folder of a named snapshot."""
+    return f"{str(base or 'data/snapshots').rstrip('/')}/dummyjson/{key}"
 
 
 def _fields(ddl: str) -> list[str]:

@@ -3,58 +3,100 @@
 from __future__ import annotations
 
 import json
-import os
+from datetime import date, datetime
+from decimal import Decimal
 from pathlib import Path
+from uuid import UUID
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.schemas import KEYS
+from tallyforge.schemas import DQ, KEYS, LEDGER, REJECTS, STAGED, WAREHOUSE, conform
+from tallyforge.sources.files import Files
+from tallyforge.sources.window import latest_succeeded, latest_watermark
 
 
-def put_json(path: Path, body: dict) -> None:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    temp = path.with_suffix(f".{os.getpid()}.tmp")
-    temp.write_text(json.dumps(body, sort_keys=True, indent=2, default=str), encoding="utf-8")
-    os.replace(temp, path)
+def jsonable(x: object) -> object:
+    """Values as JSON has them: times in ISO form, numbers of fixed point, ids and paths as text."""
+    if isinstance(x, dict):
+        return {str(k): jsonable(v) for k, v in x.items()}
+    if isinstance(x, (list, tuple, set)):
+        return [jsonable(v) for v in x]
+    if isinstance(x, (datetime, date)):
+        return x.isoformat()
+    if isinstance(x, (Decimal, UUID, Path)):
+        return str(x)
+    return x
+
+
+def as_json(body: dict) -> str:
+    return json.dumps(jsonable(body), sort_keys=True, indent=2, default=str)
 
 
 class Warehouse:
+    """root: a folder or URI that Spark can read and write, and that the driver and the executors share."""
+
     def __init__(self, spark: SparkSession, root: str | Path):
-        self.spark, self.root = spark, Path(root)
+        self.spark, self.files = spark, Files(spark, root)
+        self.root = self.files.root
 
     @property
     def pointer(self) -> dict[str, str]:
-        p = self.root / "CURRENT.json"
-        return json.loads(p.read_text()) if p.exists() else {}
+        return json.loads(self.files.read("CURRENT.json")) if self.files.exists("CURRENT.json") else {}
 
     def current(self) -> dict[str, DataFrame]:
-        return {t: self.spark.read.parquet(f"{self.root}/{t}/v={v}") for t, v in self.pointer.items()}
+        """The published tables, each of its version."""
+        return {t: self.spark.read.schema(WAREHOUSE[t]).parquet(f"{self.root}/{t}/v={v}") for t, v in self.pointer.items()}
+
+    def initialize(self) -> list[str]:
+        """Empty typed tables where there are none yet: all published tables under one pointer, and the run-partitioned ones."""
+        missing = [t for t in WAREHOUSE if t not in self.pointer]
+        if missing:
+            self.publish({t: self.spark.createDataFrame([], WAREHOUSE[t]) for t in missing}, "empty")
+        run_tables = [*STAGED, "reject_rows", "dq_results", "run_ledger"]
+        for t in run_tables:
+            self.files.make(t)
+        return [*WAREHOUSE, *run_tables]
 
     def stage(self, table: str, df: DataFrame, run_id: str) -> DataFrame:
-        """Rows of one run, in its own partition; they stay if the run fails later."""
+        """Rows of one run, in its own partition, with the table's schema; they stay if the run fails later."""
+        ddl = {"reject_rows": REJECTS, "dq_results": DQ}.get(table) or (STAGED[table].columns if table in STAGED else None)
+        out = conform(df, ddl) if ddl else df
         path = f"{self.root}/{table}/run_id={run_id}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(out.schema).parquet(path)
+
+    def run_rows(self, table: str, run_id: str) -> DataFrame:
+        """What stage() wrote for a run, with its run_id; an unknown run is an error."""
+        if not self.files.exists(f"{table}/run_id={run_id}"):
+            raise ValueError(f"run {run_id} has no rows of {table}")
+        return self.spark.read.parquet(f"{self.root}/{table}/run_id={run_id}").withColumn("run_id", F.lit(run_id))
 
     def publish(self, tables: dict[str, DataFrame], run_id: str) -> None:
         """Write all, check their keys, then move the pointer once."""
         for t, df in tables.items():
-            path = f"{self.root}/{t}/v={run_id}"
-            df.write.mode("overwrite").parquet(path)
-            key = KEYS[t]
-            bad = self.spark.read.schema(df.schema).parquet(path).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or " + " or ".join(f"{k} is null" for k in key)).limit(1).count()
+            path, key = f"{self.root}/{t}/v={run_id}", KEYS[t]
+            conform(df, WAREHOUSE[t]).write.mode("overwrite").parquet(path)
+            rows = self.spark.read.schema(WAREHOUSE[t]).parquet(path)
+            bad = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or " + " or ".join(f"{k} is null" for k in key)).limit(1).count()
             if bad:
                 raise ValueError(f"{t}: null or repeated keys")
-        put_json(self.root / "CURRENT.json", self.pointer | {t: run_id for t in tables})
+        self.files.write("CURRENT.json", as_json(self.pointer | {t: run_id for t in tables}))
 
     # the ledger: one small file a run, written by the driver only
-    def ledger(self) -> list[dict]:
-        return [json.loads(p.read_text()) for p in sorted((self.root / "run_ledger").glob("*.json"))]
-
     def record(self, row: dict) -> None:
-        put_json(self.root / "run_ledger" / f"{row['run_id']}.json", row)
+        self.files.write(f"run_ledger/{row['run_id']}.json", json.dumps(jsonable(row), sort_keys=True, default=str))
+
+    def ledger(self) -> DataFrame:
+        """run_id, source_system, mode, snapshot_key, started_at, ... of every run."""
+        if not any(n.endswith(".json") for n in self.files.names("run_ledger")):
+            return self.spark.createDataFrame([], LEDGER)
+        return self.spark.read.schema(LEDGER).json(f"{self.root}/run_ledger/*.json")
+
+    def prior_watermark(self, source: str, column: str) -> datetime | None:
+        row = latest_watermark(self.ledger(), source, column).select(F.date_format("watermark_high", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("t")).first()
+        return datetime.fromisoformat(row["t"]) if row else None
 
-    def prior_watermark(self, source: str, column: str) -> str | None:
-        rows = [r for r in self.ledger() if r["status"] == "succeeded" and r["mode"] == "incremental" and r["source_system"] == source and r.get("watermark_column") == column and r.get("watermark_high")]
-        return max(rows, key=lambda r: r["finished_at"])["watermark_high"] if rows else None
+    def latest_run(self) -> str | None:
+        row = latest_succeeded(self.ledger()).select("run_id").first()
+        return row["run_id"] if row else None

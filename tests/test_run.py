@@ -1,10 +1,19 @@
-from datetime import datetime
+import io
+import json
+import urllib.parse
+from datetime import datetime, timezone
+
+import pytest
 
 from test_sources import bundle
 
-from tallyforge.run import RunSpec, run_pipeline
-from tallyforge.sources import snapshot
+from tallyforge import cli
+from tallyforge.plans import scripts
+from tallyforge.plans.views import apply_views, run_metric_query
+from tallyforge.run import RunSpec, run_pipeline, run_table_dq
+from tallyforge.sources import adapters, paging, snapshot
 from tallyforge.sources.storage import Warehouse
+from tallyforge.sources.window import ExtractionWindow, parse_overlap
 
 
 def cart(i, total):
@@ -23,6 +32,8 @@ def test_runs(spark, tmp_path):
     b["carts"].append(cart(105, 1.0) | {"userId": 77})
     snapshot.write_snapshot(b, snap)
     failed = run_pipeline(spark, root, RunSpec("snapshot", **spec))
+    log = [json.loads(x)["event"] for x in open(failed.artifacts["log"])]
+    assert log[0] == "run_started" and "phase_failed" in log and log[-1] == "run_finished"
     assert failed.status == "failed" and "missing_customers" in failed.error
     assert set(Warehouse(spark, root).pointer.values()) == {first.run_id}
 
@@ -39,3 +50,123 @@ def test_runs(spark, tmp_path):
     facts = {r.order_id: (str(r.total_usd), r.source_run_id) for r in Warehouse(spark, root).current()["fact_orders"].collect()}
     assert facts == {104: ("9.98", first.run_id), 20: ("5.00", one.run_id), 350: ("12.00", two.run_id)}
     assert two.counts["carts_pre_filter"] == 2 and two.counts["stg_orders"] == 1
+
+
+def shop(b, calls):
+    """A fake transport that serves a bundle in pages."""
+
+    def get(url, timeout):
+        parts = urllib.parse.urlsplit(url)
+        name, q = parts.path.strip("/"), dict(urllib.parse.parse_qsl(parts.query))
+        limit, skip = int(q["limit"]), int(q["skip"])
+        calls.append((name, limit, skip))
+        return io.BytesIO(json.dumps({name: b[name][skip : skip + limit], "total": len(b[name]), "skip": skip, "limit": limit}).encode())
+
+    return adapters.ShopSource(paging.Client("http://shop", sleep=lambda s: None, opener=get))
+
+
+def test_live_run_pages_the_source(spark, tmp_path):
+    b, calls = bundle(), []
+    b["carts"] += [cart(105, 5.0), cart(105, 7.0)]
+    store = Warehouse(spark, tmp_path / "wh")
+    assert "dim_date" in store.initialize() and store.current()["fact_orders"].count() == 0
+    m = run_pipeline(spark, tmp_path / "wh", RunSpec("live", runs_root=str(tmp_path / "runs"), page_size=2), adapter=shop(b, calls))
+    # a repeated cart is a repeated key: more rejects than a live run may have
+    assert m.status == "failed" and "reject_rate" in m.error and m.rejects["stg_orders"] == {"loaded": 2, "duplicates": 1, "rejected": 0}
+    b["carts"].pop()
+    m = run_pipeline(spark, tmp_path / "wh", RunSpec("live", runs_root=str(tmp_path / "runs"), page_size=1), adapter=shop(b, calls))
+    assert m.status == "succeeded", m.error
+    assert ("carts", 1, 1) in calls and m.source["pages_fetched"]["carts"] == 2
+    assert apply_views(spark, store).views == m.published["views"]
+    assert {t: spark.table(t).count() for t in m.published["views"]} == {"v_dim_customer_latest": 1, "v_fact_orders_current": 2, "v_fact_order_items_current": 2, "v_fact_orders_latest": 2, "v_fact_order_items_latest": 2, "v_dq_results_latest": 19}
+    assert run_metric_query(spark, store, "030_paid_vs_refunded_counts").rows.collect()[0].paid_orders == 2
+    with pytest.raises(FileNotFoundError):
+        run_metric_query(spark, store, "nothing")
+    assert run_table_dq(store, m.run_id, "stg_orders") == {"table_name": "stg_orders", "metrics_written": 5, "failed_metrics": 0, "passed": True}
+    assert store.run_rows("dq_results", m.run_id).count() == 19
+    for run, table in (("none", "stg_orders"), (m.run_id, "other")):
+        with pytest.raises(ValueError):
+            run_table_dq(store, run, table)
+    bad = bundle()
+    bad["users"][0]["lastName"] = " "
+    m = run_pipeline(spark, tmp_path / "wh", RunSpec("live", runs_root=str(tmp_path / "runs")), adapter=shop(bad, calls))
+    assert m.status == "failed" and "invalid" in m.error
+    inc = run_pipeline(spark, tmp_path / "wh", RunSpec("incremental", runs_root=str(tmp_path / "runs"), since=datetime(2024, 4, 14), until=datetime(2024, 4, 15)), adapter=shop(b, calls))
+    assert inc.status == "succeeded" and (inc.source["carts_pre_filter"], inc.source["carts_post_filter"]) == (2, 1)
+    with pytest.raises(ValueError):
+        adapters.get_source_adapter("other")
+    wrong = run_pipeline(spark, tmp_path / "wh", RunSpec("incremental", runs_root=str(tmp_path / "runs"), watermark_column="x", since=datetime(2024, 4, 14)), adapter=shop(b, calls))
+    assert wrong.status == "failed" and "order_ts" in wrong.error
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    snapshot.write_snapshot(bundle(), tmp_path / "snap")
+    monkeypatch.setattr(cli, "get_session", lambda: spark)
+    at = ["--warehouse", str(tmp_path / "wh")]
+    assert cli.main([*at, "db", "init"]) == 0 and "fact_orders" in capsys.readouterr().out
+    assert cli.main([*at, "run", "--snapshot-root", str(tmp_path / "snap"), "--runs-root", str(tmp_path / "runs")]) == 0
+    assert "status=succeeded" in capsys.readouterr().out
+    assert cli.main([*at, "metric", "010_revenue_by_day_country"]) == 0
+    assert capsys.readouterr().out.splitlines() == ["day,country,paid_revenue_usd,paid_orders", "2024-04-14,UK,9.98,1"]
+    assert cli.main([*at, "run", "--snapshot", "none", "--runs-root", str(tmp_path / "runs")]) == 1
+    assert cli.main([*at, "views"]) == 0
+
+
+def test_order_search():
+    seen = []
+
+    def post(url, body, headers):
+        seen.append(body)
+        return {"orders": [{"id": f"o{len(seen)}"}]} | ({"cursor": f"c{len(seen)}"} if len(seen) < 3 else {})
+
+    s = adapters.OrderSearchSource("token", ("a", "b"), post=post)
+    low, high = datetime(2024, 1, 1, tzinfo=timezone.utc), datetime(2024, 1, 2, tzinfo=timezone.utc)
+    w = ExtractionWindow("updated_at", low, high, None, parse_overlap("0d"), True)
+    assert [o["id"] for o in s.search(w, 5000)] == ["o1", "o2", "o3"]
+    assert [b.get("cursor") for b in seen] == [None, "c1", "c2"] and seen[0]["limit"] == 1000 and seen[0]["query"]["sort"]["sort_field"] == "UPDATED_AT"
+    assert seen[0]["query"]["filter"]["date_time_filter"] == {"updated_at": {"start_at": "2024-01-01T00:00:00+00:00", "end_at": "2024-01-02T00:00:00+00:00"}}
+    with pytest.raises(ValueError):
+        s.validate_watermark_column("order_ts")
+    with pytest.raises(NotImplementedError):
+        s.pull_full(None)
+
+
+def test_scripts(spark, tmp_path):
+    text = "-- one; two\nSELECT ';' AS a, 'it''s' AS b;\n/* x; */ ;\nSELECT :run_id AS r"
+    assert len(scripts.split_statements(text)) == 2
+    got = scripts.run_text(spark, text, args={"run_id": "r1"})
+    assert tuple(got[0].first()) == (";", "its") or tuple(got[0].first()) == (";", "it's")
+    assert got[1].first().r == "r1"
+    (tmp_path / "b.sql").write_text("SELECT 1")
+    (tmp_path / "a.sql").write_text("SELECT 2")
+    assert scripts.run_folder(spark, tmp_path) == ["a.sql", "b.sql"]
+    (tmp_path / "c.sql").write_text("SELECT 1; SELECT nothing FROM nowhere")
+    with pytest.raises(scripts.SqlExecutionError) as e:
+        scripts.run_file(spark, tmp_path / "c.sql")
+    assert e.value.index == 2 and "nowhere" in e.value.statement
+    with pytest.raises(FileNotFoundError):
+        scripts.run_folder(spark, tmp_path / "none")
+
+
+def test_snapshots_of_many_files(spark, tmp_path):
+    calls = []
+    files = adapters.extract_snapshots(str(tmp_path / "snap"), shop(bundle(), calls).client, 1)
+    assert set(files) == {"users", "products", "carts"} and snapshot.read_resource(spark, tmp_path / "snap", "users").count() == 1
+    rows = snapshot.read_resource(spark, tmp_path / "snap", "carts")
+    rows.drop("raw_payload").write.json(str(tmp_path / "big" / "carts.jsonl"))
+    got = snapshot.read_resource(spark, tmp_path / "big", "carts").first()
+    assert (got.id, got.source_ref, got.products[0].quantity) == ("104", 1, "2")
+    with pytest.raises(FileNotFoundError):
+        snapshot.read_resource(spark, tmp_path / "big", "users")
+    assert snapshot.snapshot_root_for_key("v1", "/x") == "/x/dummyjson/v1"
+
+
+@pytest.mark.parametrize("text,seconds", [("7D", 604800), (" 2d6h30m ", 196200), ("90m", 5400), ("0h", 0)])
+def test_overlaps(text, seconds):
+    assert parse_overlap(text).total_seconds() == seconds
+
+
+@pytest.mark.parametrize("text", ["", "7", "d", "1h2d", "1d1d", "1w", "-1d", "1.5d"])
+def test_wrong_overlaps(text):
+    with pytest.raises(ValueError):
+        parse_overlap(text)
