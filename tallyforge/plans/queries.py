@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import derive as D
 from tallyforge.operators import gates, quality, staging, warehouse
-from tallyforge.plans import metrics
+from tallyforge.plans import metrics, views
 from tallyforge.schemas import STAGED
 
 AT = datetime(2025, 1, 1, tzinfo=timezone.utc)
@@ -285,22 +285,195 @@ _metric("050_fanout_trap_wrong", "SELECT o.date AS day, CAST(sum(o.total_usd) AS
 _metric("051_fanout_trap_right", "SELECT o.date AS day, CAST(sum(x.net) AS DECIMAL(32,2)) AS paid_revenue_usd_right FROM o JOIN (SELECT order_id, sum(net_usd) AS net FROM fi GROUP BY 1) x USING (order_id) WHERE status = 'paid' GROUP BY 1")
 
 
-LEDGER = """SELECT * FROM VALUES ('a','s','incremental','succeeded','ts',timestamp'2024-01-02','2024-01-03'),('b','s','incremental','failed','ts',timestamp'2024-01-05','2024-01-06'),('c','s','snapshot','succeeded','ts',timestamp'2024-01-04',null),('d','s','incremental','succeeded','ts',timestamp'2024-01-03','2024-01-04'),('e','t','incremental','succeeded','ts',timestamp'2024-01-09','2024-01-09')
-AS t(run_id, source_system, mode, status, watermark_column, finished_at, watermark_high)"""
+# Source records nested from the star schema, so that mapping, lookups and loading run as they do on a source.
+
+
+def records(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """users, products and carts as a source would give them (numbers as text), with faults: blank names, blank titles, lines
+    without quantity, lines without a discounted total, carts without lines."""
+    read, c = Tables(spark, d).read, F.col
+    text = lambda x: x.cast("string")
+    null = F.lit(None).cast("string")
+    pad = lambda x: F.concat(F.lit("\t "), x, F.lit("\u00a0"))
+    named = read("customer").join(F.broadcast(read("nation").select("n_nationkey", "n_name")), c("c_nationkey") == c("n_nationkey"))  # nation: 25 rows at every scale
+    blank = c("c_custkey") % 50 == 0
+    users = named.select(
+        text(c("c_custkey")).alias("id"), F.when(blank, " ").otherwise(pad(c("c_name"))).alias("firstName"), F.when(blank, "").otherwise(F.when(c("c_custkey") % 3 > 0, c("c_mktsegment"))).alias("lastName"),
+        F.concat(F.lit(" "), c("c_name"), F.lit("@Mail.COM")).alias("email"), null.alias("phone"), F.struct(c("c_mktsegment").alias("city"), c("n_name").alias("country")).alias("address"), F.struct(pad(c("c_mktsegment")).alias("name")).alias("company"),
+        (c("c_custkey") + 1).cast("int").alias("source_ref"), F.lit("{}").alias("raw_payload"),
+    )
+    products = read("part").select(
+        text(c("p_partkey")).alias("id"), F.when(c("p_partkey") % 40 == 0, " ").otherwise(c("p_name")).alias("title"), c("p_type").alias("category"), text(D.money(c("p_retailprice"))).alias("price"), text(c("p_size")).alias("stock"), c("p_brand").alias("brand"),
+        text(c("p_size")).alias("discountPercentage"), text((c("p_size") / 10).cast("decimal(6,3)")).alias("rating"), (c("p_partkey") + 1).cast("int").alias("source_ref"), F.lit("{}").alias("raw_payload"),
+    )
+    ext = D.money(c("l_extendedprice"))
+    paid = D.money(ext * (F.lit(1).cast("decimal(8,4)") - D.fraction(c("l_discount"))))
+    line = F.struct(
+        text(c("l_partkey")).alias("id"), null.alias("title"), text(F.when(c("l_quantity") <= 2, 0).otherwise(c("l_quantity")).cast("int")).alias("quantity"), text(ext).alias("price"), text(ext).alias("total"),
+        null.alias("discountPercentage"), text(F.when(c("l_linenumber") % 3 > 0, paid)).alias("discountedTotal"),
+    )
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate", "l_tax")
+    lines = read("lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("k"), line.alias("v")))), lambda x: x["v"]).alias("products"), F.sum(F.when(c("l_quantity") <= 2, 0).otherwise(c("l_quantity")).cast("int")).alias("q"))
+    empty = F.expr("cast(array() as array<struct<id:string,title:string,quantity:string,price:string,total:string,discountPercentage:string,discountedTotal:string>>)")
+    carts = read("orders").join(lines, "o_orderkey", "left").select(
+        text(c("o_orderkey")).alias("id"), text(c("o_custkey")).alias("userId"), text(D.money(c("o_totalprice"))).alias("total"), text(D.money(c("o_totalprice"))).alias("discountedTotal"),
+        text(F.coalesce(F.size("products"), F.lit(0))).alias("totalProducts"), text(F.coalesce("q", F.lit(0))).alias("totalQuantity"), F.coalesce("products", empty).alias("products"), (c("o_orderkey") + 1).cast("int").alias("source_ref"), F.lit("{}").alias("raw_payload"),
+    )
+    return {"users": users, "products": products, "carts": carts}
+
+
+def mapped(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    r = records(spark, d)
+    return staging.map_all(r["users"], r["products"], r["carts"])
+
+
+MAPPED = f"""WITH u0 AS (SELECT c_custkey, c_name, c_mktsegment, n_name, c_custkey % 50 = 0 AS blank FROM customer JOIN nation ON c_nationkey = n_nationkey),
+u AS (SELECT c_custkey AS customer_id, c_name AS first_name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS last_name, c_name || CASE WHEN c_custkey % 3 > 0 THEN ' ' || c_mktsegment ELSE '' END AS full_name,
+  lower(c_name) || '@mail.com' AS email, c_mktsegment AS city, n_name AS country, c_mktsegment AS company FROM u0 WHERE NOT blank),
+p AS (SELECT p_partkey AS product_id, 'SKU-' || {SLUG('p_type')} || '-' || {SLUG('p_name')} || '-' || p_partkey AS sku, p_name AS title, p_brand AS brand, p_type AS category, {MONEY('p_retailprice')} AS price_usd,
+  CAST(p_size / 100.0 AS DECIMAL(8,4)) AS discount_pct, CAST(p_size / 10.0 AS DECIMAL(6,3)) AS rating, p_size AS stock FROM part WHERE p_partkey % 40 <> 0),
+l1 AS (SELECT l_orderkey AS order_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_shipdate, l_tax) AS line_id, l_partkey AS product_id,
+  CASE WHEN l_quantity <= 2 THEN 0 ELSE CAST(l_quantity AS INTEGER) END AS qty, {MONEY('l_extendedprice')} AS ext, CASE WHEN l_linenumber % 3 > 0 THEN CAST({MONEY('l_extendedprice')} * (CAST(1 AS DECIMAL(8,4)) - CAST(l_discount AS DECIMAL(8,4))) AS DECIMAL(12,2)) END AS disc FROM lineitem),
+n AS (SELECT o_orderkey AS order_id, count(l1.order_id) AS lines, coalesce(sum(qty), 0) AS quantity FROM orders LEFT JOIN l1 ON l1.order_id = o_orderkey GROUP BY 1),
+b AS (SELECT order_id, lines, quantity, coalesce(sum(lines) OVER (ORDER BY order_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n),
+o AS (SELECT o_orderkey AS order_id, o_custkey AS customer_id, strftime(TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey % 365 AS INTEGER)) + to_minutes((o_custkey * 17 + o_orderkey) % 1440) + to_seconds(o_orderkey % 60), '%Y-%m-%d %H:%M:%S') AS order_ts, u.country,
+  CASE WHEN lines = 0 OR quantity = 0 THEN 'canceled' ELSE {STATUS} END AS status, {MONEY('o_totalprice')} AS total_usd, CAST(lines AS INTEGER) AS total_products, CAST(quantity AS INTEGER) AS total_quantity
+  FROM orders JOIN b ON b.order_id = o_orderkey LEFT JOIN u ON u.customer_id = o_custkey),
+x AS (SELECT l1.*, CAST(before + line_id AS INTEGER) AS source_ref, p.sku FROM l1 JOIN b USING (order_id) LEFT JOIN p USING (product_id)),
+i AS (SELECT order_id, CAST(line_id AS INTEGER) AS line_id, source_ref, product_id, sku, qty, ext AS unit_price_usd,
+  CASE WHEN disc IS NULL OR ext <= 0 THEN CAST(0 AS DECIMAL(8,4)) ELSE CAST(CAST((20000 * CAST((ext - disc) * 100 AS HUGEINT) + CAST(ext * 100 AS HUGEINT)) // (2 * CAST(ext * 100 AS HUGEINT)) AS DOUBLE) / 10000 AS DECIMAL(8,4)) END AS discount_pct,
+  CAST(ext * qty AS DECIMAL(12,2)) AS gross_usd, coalesce(disc, CAST(ext * qty AS DECIMAL(12,2))) AS net_usd FROM x WHERE qty > 0 AND sku IS NOT NULL),
+r AS (SELECT 'stg_customers' AS table_name, CAST(c_custkey + 1 AS INTEGER) AS source_ref, 'missing_name' AS reason_code FROM u0 WHERE blank
+  UNION ALL SELECT 'stg_products', CAST(p_partkey + 1 AS INTEGER), 'missing_product_fields' FROM part WHERE p_partkey % 40 = 0
+  UNION ALL SELECT 'stg_order_items', source_ref, CASE WHEN qty <= 0 THEN 'invalid_quantity' ELSE 'unknown_product' END FROM x WHERE qty <= 0 OR sku IS NULL)
+"""
+
+
+@query(MAPPED + "SELECT * FROM u")
+def map_users(spark, d):
+    return staging.map_users(records(spark, d)["users"])[0].select("customer_id", "first_name", "last_name", "full_name", "email", "city", "country", "company")
+
+
+@query(MAPPED + "SELECT * FROM p")
+def map_products(spark, d):
+    return staging.map_products(records(spark, d)["products"])[0].drop("source_ref", "raw_payload")
+
+
+@query(MAPPED + "SELECT * FROM o")
+def map_cart_orders(spark, d):
+    return mapped(spark, d)[0]["stg_orders"].drop("source_ref", "raw_payload").withColumn("order_ts", F.date_format("order_ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(MAPPED + "SELECT * FROM i")
+def map_cart_items(spark, d):
+    """Items with all of their money, and with their position among all lines of all carts."""
+    return mapped(spark, d)[0]["stg_order_items"].drop("raw_payload")
+
+
+@query(MAPPED + "SELECT * FROM r")
+def map_rejects(spark, d):
+    return mapped(spark, d)[1].select("table_name", "source_ref", "reason_code")
+
 
+@query(MAPPED + """, c AS (SELECT 'stg_customers' AS table_name, count(*) AS n FROM u UNION ALL SELECT 'stg_products', count(*) FROM p UNION ALL SELECT 'stg_orders', count(*) FROM o UNION ALL SELECT 'stg_order_items', count(*) FROM i)
+SELECT c.table_name, c.n AS inserted_count, CAST(0 AS BIGINT) AS duplicate_reject_count, count(r.table_name) AS explicit_reject_count FROM c LEFT JOIN r USING (table_name) GROUP BY 1, 2""")
+def load_results(spark, d):
+    rows, bad = mapped(spark, d)
+    staged, repeats = staging.split_first(rows)
+    return staging.load_results(staged, bad.unionByName(repeats))
 
-@query("SELECT 'd' AS run_id, '2024-01-04' AS watermark_high")
+
+SUMMARY = """, t AS (SELECT table_name, count(*) AS rejects, count(DISTINCT reason_code) AS reasons FROM r GROUP BY 1), c AS (SELECT 'stg_customers' AS table_name, 0 AS relations, 0 AS broken UNION ALL SELECT 'stg_products', 0, 0
+UNION ALL SELECT 'stg_orders', 1, CAST((SELECT count(*) FROM o WHERE customer_id NOT IN (SELECT customer_id FROM u)) > 0 AS INTEGER) UNION ALL SELECT 'stg_order_items', 2, 0)
+SELECT c.table_name, CAST(4 + relations + coalesce(reasons, 0) AS BIGINT) AS metrics_written, CAST(broken + CASE WHEN rejects > 0 THEN 2 + reasons ELSE 0 END AS BIGINT) AS failed_metrics, broken = 0 AND rejects IS NULL AS passed FROM c LEFT JOIN t USING (table_name)"""
+
+
+@query(MAPPED + SUMMARY)
+def dq_summary(spark, d):
+    rows, bad = mapped(spark, d)
+    return quality.summary(quality.run_stage_dq(rows, bad))
+
+
+def ledger(spark: SparkSession, d: str) -> DataFrame:
+    """A ledger of as many runs as there are orders."""
+    c = F.col
+    o = Tables(spark, d).read("orders").select("o_orderkey", "o_orderstatus", c("o_orderdate").cast("timestamp").alias("at"))
+    second = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (c("o_orderkey") % 86400).cast("int"))
+    return o.select(
+        c("o_orderkey").cast("string").alias("run_id"), F.concat(F.lit("s"), c("o_orderkey") % 3).alias("source_system"), F.element_at(F.array(*map(F.lit, ("snapshot", "live", "incremental", "incremental"))), (c("o_orderkey") % 4 + 1).cast("int")).alias("mode"),
+        F.when(c("o_orderstatus") == "F", "succeeded").otherwise("failed").alias("status"), c("at").alias("started_at"), F.when(c("o_orderkey") % 11 > 0, c("at") + second).alias("finished_at"),
+        F.when(c("o_orderkey") % 5 > 0, "order_ts").otherwise("other").alias("watermark_column"), F.when(c("o_orderkey") % 7 > 0, c("at")).alias("watermark_high"),
+    )
+
+
+LEDGER = """WITH l AS (SELECT CAST(o_orderkey AS VARCHAR) AS run_id, 's' || o_orderkey % 3 AS source_system, ['snapshot', 'live', 'incremental', 'incremental'][o_orderkey % 4 + 1] AS mode, CASE WHEN o_orderstatus = 'F' THEN 'succeeded' ELSE 'failed' END AS status, o_orderdate AS started_at,
+CASE WHEN o_orderkey % 11 > 0 THEN o_orderdate + to_seconds(o_orderkey % 86400) END AS finished_at, CASE WHEN o_orderkey % 5 > 0 THEN 'order_ts' ELSE 'other' END AS watermark_column, CASE WHEN o_orderkey % 7 > 0 THEN o_orderdate END AS watermark_high FROM orders), """
+LATEST = "latest AS (SELECT run_id FROM l WHERE status = 'succeeded' ORDER BY finished_at DESC NULLS LAST, started_at DESC NULLS FIRST LIMIT 1) "
+
+
+@query(LEDGER + "w AS (SELECT run_id, strftime(watermark_high, '%Y-%m-%d %H:%M:%S') AS watermark_high FROM l WHERE status = 'succeeded' AND mode = 'incremental' AND source_system = 's1' AND watermark_column = 'order_ts' AND watermark_high IS NOT NULL AND finished_at IS NOT NULL ORDER BY finished_at DESC LIMIT 1) SELECT * FROM w")
 def latest_watermark(spark, d):
     from tallyforge.sources.window import latest_watermark as top
 
-    return top(spark.sql(LEDGER), "s", "ts").select("run_id", "watermark_high")
+    return top(ledger(spark, d).where("finished_at is not null"), "s1", "order_ts").select("run_id", F.date_format("watermark_high", "yyyy-MM-dd HH:mm:ss").alias("watermark_high"))
 
 
-@query("SELECT 'e' AS run_id")
+@query(LEDGER + LATEST + "SELECT run_id FROM latest")
 def latest_succeeded_run(spark, d):
     from tallyforge.sources.window import latest_succeeded
 
-    return latest_succeeded(spark.sql(LEDGER).withColumn("started_at", F.col("finished_at"))).select("run_id")
+    return latest_succeeded(ledger(spark, d)).select("run_id")
+
+
+def _views(spark, d) -> dict[str, DataFrame]:
+    """The views over dimension and quality rows of several runs, of which one is the latest that succeeded."""
+    t = Tables(spark, d)
+    runs = ledger(spark, d).select("run_id")
+    dim = warehouse.dim_customer(t.customers(), "x", AT).withColumn("source_run_id", (F.col("customer_id") % 5).cast("string"))
+    latest = ledger(spark, d).where("cast(run_id as bigint) < 5")
+    dq = runs.where("cast(run_id as bigint) < 5").join(F.broadcast(quality.volume_and_keys(t.customers(), "stg_customers")), F.lit(True))  # two rows for each of five runs
+    return views.view_frames({"dim_customer": dim, "fact_orders": t.fact_orders(), "fact_order_items": t.fact_items()}, dq, latest)
+
+
+FEW = LEDGER.replace("FROM orders), ", "FROM orders WHERE o_orderkey < 5), ") + LATEST
+
+
+@query(FEW + ", c AS (SELECT c_custkey AS customer_id, trim(c_name) AS full_name, n_name AS country, CAST(c_custkey % 5 AS VARCHAR) AS source_run_id FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT c.* FROM c WHERE source_run_id IN (SELECT run_id FROM latest)")
+def view_dim_customer_latest(spark, d):
+    return _views(spark, d)["v_dim_customer_latest"].select("customer_id", "full_name", "country", "source_run_id")
+
+
+@query(WITH + FO + " FROM o")
+def view_fact_orders_current(spark, d):
+    return _views(spark, d)["v_fact_orders_current"].drop("order_ts", "source_run_id", "built_at")
+
+
+@query(WITH + FO + " FROM o")
+def view_fact_orders_latest(spark, d):
+    return _views(spark, d)["v_fact_orders_latest"].drop("order_ts", "source_run_id", "built_at")
+
+
+@query(WITH + "SELECT * FROM fi")
+def view_fact_order_items_current(spark, d):
+    return _views(spark, d)["v_fact_order_items_current"].drop("unit_price_usd", "source_run_id", "built_at")
+
+
+@query(WITH + "SELECT * FROM fi")
+def view_fact_order_items_latest(spark, d):
+    return _views(spark, d)["v_fact_order_items_latest"].drop("unit_price_usd", "source_run_id", "built_at")
+
+
+@query(FEW + "SELECT run_id, 'row_count' AS metric_name, CAST((SELECT count(*) FROM customer) AS DECIMAL(18,6)) AS metric_value FROM latest UNION ALL SELECT run_id, 'duplicate_keys.count', CAST(0 AS DECIMAL(18,6)) FROM latest")
+def view_dq_results_latest(spark, d):
+    return _views(spark, d)["v_dq_results_latest"].select("run_id", "metric_name", "metric_value")
+
+
+@query(WITH + ", y AS (SELECT DISTINCT date FROM o WHERE date < DATE '1997-01-01') SELECT date, 'r1' AS built FROM y UNION ALL SELECT CAST(d AS DATE), 'r2' FROM (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS d FROM o) WHERE CAST(d AS DATE) NOT IN (SELECT date FROM y)")
+def dim_date_append_only(spark, d):
+    """Dates that are there already keep their row; the others come with the new run."""
+    t = Tables(spark, d)
+    old = t.fact_orders().where("date < '1997-01-01'").select("date").distinct().withColumn("built", F.lit("r1"))
+    return warehouse.append_new(old, warehouse.calendar(t.orders()).select("date", F.lit("r2").alias("built")), ["date"])
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
