@@ -4,11 +4,11 @@ A text is cut into sentences at line ends and after `.`, `!`, `?` followed by wh
 lower-cased, every run of other than a-z and 0-9 made one space, ends trimmed; a full stop inside a version number stays a
 separator). A known sentence may be wrapped over several lines (up to a blank one). SPDX lines count with
 their own identifiers. Known normalised sentences map to sentence identifiers; the text's identifiers, in order, are matched against
-rules, each an ordered sequence of identifiers that must stand next to each other, tested in the given order at each place;
-the longest rule that matches at a place wins, and matching goes on behind it.
+rules, each an ordered sequence of identifiers that must stand next to each other (marks of lists between them do not count),
+tested in the given order at each place; the longest rule that matches at a place wins, and matching goes on behind it.
 
 Edge cases: null or empty texts match nothing; repeated rows and null doc_ids keep their rows; an unknown sentence breaks a
-sequence. Narrow per-row work: no shuffle, whole texts. Extra columns are ignored.
+sequence; an empty table gives an empty result. Narrow per-row work: no shuffle, whole texts. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,6 +51,34 @@ SENTENCES |= {
     for what in ("program", "library", "file")
 }
 SENTENCES |= {f"This work is licensed under {a}Creative Commons Attribution{kind} 4.0 International{end}": f"{short}-4.0-notice" for kind, short in (("", "cc-by"), ("-ShareAlike", "cc-by-sa"), ("-NonCommercial", "cc-by-nc")) for a in ("a ", "the ", "") for end in ("", " License")}
+#: Conditions and notices of further licences.
+SENTENCES |= {
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer": "bsd-source",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution": "bsd-binary",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "This is free and unencumbered software released into the public domain": "unlicense-grant",
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means": "unlicense-uses",
+    "Distributed under the Boost Software License, Version 1.0": "bsl-1.0-notice",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions": "zlib-grant",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0": "epl-2.0-notice",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution": "epl-1.0-notice",
+    "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0-1.0-notice",
+    "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed": "wtfpl-grant",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0": "mpl-2.0-copy",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0": "mpl-2.0-copy",
+}
+#: The GNU notices without later versions.
+SENTENCES |= {
+    f"This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} {wording}": f"{short}-{version if '.' in version else version + '.0'}-only-notice"
+    for short, name, versions in (("gpl", "General Public License", ("2", "3")), ("lgpl", "Lesser General Public License", ("2.1", "3")))
+    for version in versions
+    for what in ("program", "library")
+    for mark in (";",)
+    for wording in (f"version {version} as published by the Free Software Foundation", f"as published by the Free Software Foundation; version {version} of the License", f"as published by the Free Software Foundation, version {version}")
+}
+#: Names that short notices give a licence, and the licence.
+NAMES = {"MIT License": "MIT", "Apache License 2.0": "Apache-2.0", "BSD 2-Clause License": "BSD-2-Clause", "BSD 3-Clause License": "BSD-3-Clause", "ISC License": "ISC", "Mozilla Public License 2.0": "MPL-2.0", "GNU General Public License v2.0": "GPL-2.0", "GNU General Public License v3.0": "GPL-3.0", "GNU Lesser General Public License v3.0": "LGPL-3.0", "GNU Affero General Public License v3.0": "AGPL-3.0", "Eclipse Public License 2.0": "EPL-2.0"}
+SENTENCES |= {f"{said} under the {name}": f"{short.lower()}-named" for name, short in NAMES.items() for said in ("Licensed", "Released", "Distributed", "This project is licensed", "This software is licensed") if f"{said} under the {name}" not in SENTENCES}
 #: Licences by ordered sequences of sentence identifiers.
 RULES = (
     ("Apache-2.0", ("apache-2.0-notice", "apache-copy")),
@@ -61,12 +89,25 @@ RULES = (
     ("GPL-3.0", ("gpl-free", "gpl-3.0-notice")),
     ("GPL-3.0", ("gpl-3.0-notice",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-4.0-notice",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD", ("all-rights-reserved", "bsd-grant")),
     ("BSD", ("bsd-grant",)),
     ("ISC", ("isc-grant",)),
+    ("MPL-2.0", ("mpl-2.0-notice", "mpl-2.0-copy")),
     ("MPL-2.0", ("mpl-2.0-notice",)),
-    *((x, (f"{x.lower()}-notice",)) for x in ("GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC-BY-4.0", "CC-BY-SA-4.0")),
+    ("Unlicense", ("unlicense-grant", "unlicense-uses")),
+    ("Unlicense", ("unlicense-grant",)),
+    ("Zlib", ("zlib-grant",)),
+    ("WTFPL", ("wtfpl-grant",)),
+    ("BSL-1.0", ("bsl-1.0-notice",)),
+    ("CC0-1.0", ("cc0-1.0-notice",)),
+    *((x, (f"{x.lower()}-notice",)) for x in ("GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC-BY-4.0", "CC-BY-SA-4.0", "EPL-1.0", "EPL-2.0")),
+    *((f"{x}-only", (f"{x.lower()}-only-notice",)) for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0")),
+    *((x, (f"{x.lower()}-named",)) for x in NAMES.values()),
 )
+#: A mark of a list, which stands between the sentences of a licence.
+MARK = re.compile(r"\s*(?:[0-9]{1,2}|[a-z]|[ivx]{1,4})?\s*")
 SPDX = re.compile(r"(?i:SPDX-License-Identifier):[ \t]*([A-Za-z0-9.+() \t-]*)")
 BREAK = re.compile(r"\n|(?<=[.!?])\s+")
 OTHER = re.compile(r"[^a-z0-9]+")
@@ -113,7 +154,7 @@ def recognise(text: str | None, compiled: tuple) -> tuple[list[str], list[str]]:
                 whole, n = f"{whole} {more}", n + 1
         if found == ["?"] and "SPDX" in sentence.upper():
             found = spdx(sentence) or found
-        if found != ["?"] or sentence.strip() and (not ids or ids[-1] != "?"):
+        if found != ["?"] or not (MARK.fullmatch(normalise(sentence[:24])) and len(sentence) < 24) and (not ids or ids[-1] != "?"):
             ids += found
     out, at = [], 0
     while at < len(ids):
