@@ -12,7 +12,8 @@ documents whose running sum does not exceed what is left. The running sum is nev
 `RANGES` ranges of the hash by leaf; sums by range say which range holds the end, and only that range's documents are
 sorted, by the next bits of the hash, again and again until a range has at most `SORT_ROWS` documents or the hash is used up.
 
-Edge cases: null texts have no tokens and are taken if their turn comes within a budget above zero; null lang, source or
+Edge cases: null texts have no tokens and are taken if their turn comes within a budget above zero (a leaf without tokens has
+none); null lang, source or
 domain is a leaf value of its own; repeated rows are separate items in the order (ties of doc_id go by text hash and are
 taken or left together); an empty table or a budget of zero gives an empty result. Extra columns pass through, whatever their
 names: the columns that are added are n_tokens (if counts are not given) and epoch, with underscores behind if docs has such.

@@ -8,7 +8,7 @@ numpy gathers their ids. All other texts are encoded in one go.
 Order. Documents are dealt out by ranges of doc_id and sorted within a range. A shard is a run of whole documents of about
 SHARD_IDS ids within one range, stored as one binary record:
   magic `RPG1`, then little-endian uint32: documents, rules, symbols, symbol width (2 or 4), and a uint64: ids of the
-  documents before this shard in its range; int64 doc ids (the smallest value: null); uint32 ids of each document; uint32 symbols of each
+  documents before this shard in its range; int64 doc ids; a bit for each that is null; uint32 ids of each document; uint32 symbols of each
   document; rules as pairs of uint32 symbols; uint32 expansion lengths of the rules; symbols.
 Re-Pair: in each round the frequent pairs of neighbouring symbols (at least MIN_PAIR times; never across documents, never the
 end id) become nonterminals, from FIRST_RULE on, up to RULES a round, until no pair is frequent; overlaps are replaced left to
@@ -44,7 +44,6 @@ CACHE_PIECES, CACHE_BYTES, LEARN_PIECES, RANGE_ROWS, CHUNK_BYTES = 300_000, 64 <
 #: Latin letters (of every Unicode version) before a last full stop or comma; white space other than single spaces and lone line ends inside a text.
 LETTER_MARK = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17f}][.,]\z"
 OTHER_SPACE = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
-NULL_ID = -(1 << 63)
 
 
 class Encoder:
@@ -225,9 +224,10 @@ def pack_shard(doc_ids: list[int | None], ids: list[np.ndarray], before: int) ->
         ends = ends[inside - 1]
     widths = np.diff(np.concatenate([[0], ends])).astype("<u4")
     wide = 4 if len(symbols) and symbols.max() >= 1 << 16 else 2
-    keys = np.array([NULL_ID if d is None else d for d in doc_ids], "<i8")
+    keys = np.array([d or 0 for d in doc_ids], "<i8")
+    null = np.packbits([d is None for d in doc_ids])
     head = struct.pack("<4s4IQ", b"RPG1", len(ids), len(rules), len(symbols), wide, before)
-    return b"".join([head, keys.tobytes(), counts.tobytes(), widths.tobytes(), rules.astype("<u4").tobytes(), rule_lengths(rules).astype("<u4").tobytes(), symbols.astype(f"<u{wide}").tobytes()])
+    return b"".join([head, keys.tobytes(), null.tobytes(), counts.tobytes(), widths.tobytes(), rules.astype("<u4").tobytes(), rule_lengths(rules).astype("<u4").tobytes(), symbols.astype(f"<u{wide}").tobytes()])
 
 
 class Shard:
@@ -245,7 +245,9 @@ class Shard:
             at += x.nbytes
             return x
 
-        self.keys, self.counts, self.widths = take("<i8", docs), take("<u4", docs), take("<u4", docs)
+        keys, null = take("<i8", docs), np.unpackbits(take("u1", -(-docs // 8)), count=docs)
+        self.keys = [None if n else k for k, n in zip(keys.tolist(), null.tolist())]
+        self.counts, self.widths = take("<u4", docs), take("<u4", docs)
         self.rules, self.lengths = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules)
         self.symbols = take(f"<u{wide}", symbols).astype(np.uint32)
         self.starts = np.cumsum(self.widths, dtype=np.int64) - self.widths
@@ -312,7 +314,7 @@ def read_back(records: DataFrame) -> DataFrame:
                 stop = np.cumsum(s.counts, dtype=np.int64)
                 start = stop - s.counts
                 crc = [zlib.crc32(ids[i:j].tobytes()) for i, j in zip(start.tolist(), stop.tolist())]
-                keys = [None if k == NULL_ID else k for k in s.keys.tolist()]
+                keys = s.keys
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(start + s.before), pa.array(s.counts.astype(np.int64)), pa.array(crc, pa.int64())], names=["part", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     rows = records.select("part", "record").mapInArrow(run, "part int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")

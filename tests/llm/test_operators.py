@@ -407,6 +407,29 @@ def test_passages_of_large_groups(spark):
         assert len(own) == 1 and own != {None}
 
 
+def test_passages_of_hot_groups_against_brute_force(spark):
+    """Many edited forms of one passage, without a full-width run in common: at least 90 % of the texts that a chain of similar
+    pairs connects are in one class, in small and in large groups."""
+    rng = np.random.default_rng(21)
+    for size in (6, 60):
+        p = [f"p{i}" for i in range(56)]
+        texts = []
+        for k in range(size):
+            q = list(p)
+            for e in rng.choice(np.arange(4, 52), 1, replace=False):
+                q[e] = f"edit{k}"
+            texts.append(" ".join([*prose(100 * size + k, 70).split(), *q, *prose(9000 + 100 * size + k, 70).split()]))
+        got = substring.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+        classes = {r.doc_id: r.class_id for r in got} | {r.match_doc_id: r.class_id for r in got}
+        x = [substring.shingles(substring.words_of(t)) for t in texts]
+        near = [[j for j in range(size) if substring.jaccard(x[i][70:122], x[j][70:122]) >= 0.8] for i in range(size)]
+        root = list(range(size))
+        for _ in range(size):
+            root = [min(root[j] for j in n) for n in near]
+        linked = [i for i in range(size) if sum(r == root[i] for r in root) > 1]
+        assert linked and np.mean([classes.get(i) == classes.get(root[i]) and i in classes for i in linked]) >= 0.9
+
+
 def test_verify_follows_edits():
     rng = np.random.default_rng(3)
     words = lambda n: [b"w%d" % i for i in rng.integers(0, 1 << 40, n)]
@@ -458,6 +481,28 @@ def test_near_copies_by_words(spark):
     assert simhash.keep_one(d).count() == 80
 
 
+def test_near_copies_in_large_buckets(spark):
+    """Of a cluster of far more texts than a bucket compares pair by pair, each with its own edits, at least 90 % of the texts
+    that similar pairs connect are in one class."""
+    rng = np.random.default_rng(16)
+    base = [f"w{i}" for i in range(300)]
+    sets, texts = [], []
+    for k in range(300):
+        w = list(base)
+        for at in rng.choice(300, int(rng.integers(2, 8)), replace=False):
+            w[at] = f"e{k}_{at}"
+        texts.append(" ".join(w))
+        sets.append({tuple(w[i : i + 5]) for i in range(296)})
+    near = [[j for j in range(300) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(300)]
+    root = list(range(300))
+    for _ in range(10):
+        root = [min(root[j] for j in n) for n in near]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    linked = [i for i in range(300) if sum(r == root[i] for r in root) > 1]
+    assert len(linked) > 100 and np.mean([got[i] == got[root[i]] for i in linked]) >= 0.9
+    assert all(root[i] == root[got[i]] for i in range(300))
+
+
 def test_toxicity_learns(spark):
     bad = ["zorgle", "vextrum", "quibnak"]
     rows = []
