@@ -164,15 +164,20 @@ def compress(ids: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndar
         slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
         often = np.bincount(slot[ok], minlength=1 << 20)[slot] >= MIN_PAIR
         at = np.flatnonzero(ok & often)
-        pairs, inverse, count = np.unique(key[at], return_inverse=True, return_counts=True)
+        here = key[at]
+        pairs, count = np.unique(here, return_counts=True)
         top = np.argsort(-count, kind="stable")[:RULES]
-        top = top[count[top] >= MIN_PAIR]
+        top = pairs[top[count[top] >= MIN_PAIR]]
         if not len(top):
             break
-        rank = np.full(len(pairs), -1, np.int64)
-        rank[top] = np.arange(len(top))
-        r = rank[inverse]
-        at, r = at[r >= 0], r[r >= 0]
+        # of pairs of one slot the most frequent one goes first, the others in the next round
+        places = ((top * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        top = top[np.sort(np.unique(places, return_index=True)[1])]
+        table = np.full(1 << 20, -1, np.int32)
+        table[((top * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)] = np.arange(len(top), dtype=np.int32)
+        r = table[slot[at]]
+        same = (r >= 0) & (top[r] == here)
+        at, r = at[same], r[same]
         # runs of overlapping places: every second one, from the left
         begin = np.ones(len(at), bool)
         begin[1:] = np.diff(at) != 1
@@ -182,7 +187,7 @@ def compress(ids: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndar
         stay = np.ones(len(x), bool)
         stay[at + 1] = False
         x = x[stay]
-        rules = np.vstack([rules, np.stack([pairs[top] >> np.uint64(32), pairs[top] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)])
+        rules = np.vstack([rules, np.stack([top >> np.uint64(32), top & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)])
     return x.astype(np.uint32), rules
 
 
