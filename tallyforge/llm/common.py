@@ -16,8 +16,9 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 #: Rows of one Arrow batch sent to Python. Texts may be megabytes long, so batches hold few rows.
 ARROW_ROWS = 256
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: A key that holds more than one row in HOT_SHARE is joined in SALTS parts; there are fewer than HOT_SHARE such keys at any size.
-HOT_SHARE, SALTS = 2000, 64
+#: A key that holds more than one row in HOT_SHARE, and more than LUKEWARM, is joined in SALTS parts; there are fewer than
+#: HOT_SHARE such keys at any size.
+HOT_SHARE, SALTS, LUKEWARM = 2000, 64, 64
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,10 +136,10 @@ def split_join(rows: DataFrame, keyed: DataFrame, on: str | list[str], count: st
     The hot keys, fewer than HOT_SHARE of them whatever the input, are broadcast; a row's part is a hash of the whole row.
     """
     on = [on] if isinstance(on, str) else on
-    hot = keyed.where(F.col(count) > max(1, total // HOT_SHARE)).select(*on, F.lit(SALTS).alias("__salts"))
+    hot = keyed.where(F.col(count) > max(LUKEWARM, total // HOT_SHARE)).select(*on, F.lit(SALTS).alias("__salts"))
     part = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.col("__salts").cast("bigint"))
     dealt = rows.join(F.broadcast(hot), on, "left").withColumn("__part", F.coalesce(part, F.lit(0).cast("bigint"))).drop("__salts")
-    parts = F.when(F.col(count) > max(1, total // HOT_SHARE), F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    parts = F.when(F.col(count) > max(LUKEWARM, total // HOT_SHARE), F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
     return dealt.join(keyed.withColumn("__part", F.explode(parts)), [*on, "__part"], how).drop("__part")
 
 
@@ -146,7 +147,7 @@ def number_join(rows: DataFrame, keyed: DataFrame, on: str | list[str], count: s
     """The inner join of split_join for a keyed of numbers only: its hot rows, fewer than HOT_SHARE of a few bytes each, are broadcast,
     so rows of hot keys are joined where they are. rows is read twice and should be a table."""
     on = [on] if isinstance(on, str) else on
-    is_hot = F.col(count) > max(1, total // HOT_SHARE)
+    is_hot = F.col(count) > max(LUKEWARM, total // HOT_SHARE)
     hot = keyed.where(is_hot)
     rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.where(~is_hot), on)
     return rows.join(F.broadcast(hot), on).unionByName(rest)

@@ -412,17 +412,17 @@ def test_passages_of_hot_groups_against_brute_force(spark):
     pairs connects are in one class, in small and in large groups."""
     rng = np.random.default_rng(21)
     for size in (6, 60):
-        p = [f"p{i}" for i in range(56)]
+        p = [f"p{i}" for i in range(120)]
         texts = []
         for k in range(size):
             q = list(p)
-            for e in rng.choice(np.arange(4, 52), 1, replace=False):
+            for e in (40, 80) if k % 3 else rng.choice(np.arange(5, 115), 3, replace=False):
                 q[e] = f"edit{k}"
             texts.append(" ".join([*prose(100 * size + k, 70).split(), *q, *prose(9000 + 100 * size + k, 70).split()]))
         got = substring.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
         classes = {r.doc_id: r.class_id for r in got} | {r.match_doc_id: r.class_id for r in got}
         x = [substring.shingles(substring.words_of(t)) for t in texts]
-        near = [[j for j in range(size) if substring.jaccard(x[i][70:122], x[j][70:122]) >= 0.8] for i in range(size)]
+        near = [[j for j in range(size) if substring.jaccard(x[i][70:186], x[j][70:186]) >= 0.8] for i in range(size)]
         root = list(range(size))
         for _ in range(size):
             root = [min(root[j] for j in n) for n in near]
