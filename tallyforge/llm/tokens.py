@@ -39,7 +39,7 @@ from tallyforge.llm.common import ARROW_ROWS, durable, workers_find_us
 
 END_ID, FIRST_RULE = 2, 50_257
 #: Pairs that stand at least MIN_PAIR times are frequent; up to RULES of them become rules at a time.
-SHARD_IDS, RULES, MIN_PAIR, BROADCAST_RANGES = 1 << 20, 5000, 16, 1 << 20
+SHARD_IDS, RULES, MIN_PAIR, SLOT_BITS, BROADCAST_RANGES = 1 << 20, 5000, 16, 18, 1 << 20
 CACHE_PIECES, CACHE_BYTES, LEARN_PIECES, RANGE_ROWS, CHUNK_BYTES = 300_000, 64 << 20, 4096, 8192, 8 << 20
 #: Latin letters (of every Unicode version) before a last full stop or comma; white space other than single spaces and lone line ends inside a text.
 LETTER_MARK = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17f}][.,]\z"
@@ -156,25 +156,26 @@ def encoder(path: str) -> Encoder:
 
 def compress(ids: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule k, of symbol FIRST_RULE + k, stands for its pair. Ids must be below FIRST_RULE. Ends when no pair is frequent."""
-    x = ids.astype(np.uint64)
+    x = ids.astype(np.uint32)
     rules = np.zeros((0, 2), np.uint32)
     while len(x) > 1:
-        key = (x[:-1] << np.uint64(32)) | x[1:]
-        ok = (x[:-1] != end_id) & (x[1:] != end_id)
-        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        often = np.bincount(slot[ok], minlength=1 << 20)[slot] >= MIN_PAIR
-        at = np.flatnonzero(ok & often)
-        here = key[at]
+        # places of pairs whose slot is full enough, then those of frequent pairs
+        slot = _slots(x[:-1], x[1:])
+        at = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= MIN_PAIR)[slot])
+        at = at[(x[at] != end_id) & (x[at + 1] != end_id)]
+        here = (x[at].astype(np.uint64) << np.uint64(32)) | x[at + 1]
         pairs, count = np.unique(here, return_counts=True)
         top = np.argsort(-count, kind="stable")[:RULES]
         top = pairs[top[count[top] >= MIN_PAIR]]
         if not len(top):
             break
         # of pairs of one slot the most frequent one goes first, the others in the next round
-        places = ((top * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        top = top[np.sort(np.unique(places, return_index=True)[1])]
-        table = np.full(1 << 20, -1, np.int32)
-        table[((top * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)] = np.arange(len(top), dtype=np.int32)
+        left, right = (top >> np.uint64(32)).astype(np.uint32), top.astype(np.uint32)
+        places = _slots(left, right)
+        first = np.sort(np.unique(places, return_index=True)[1])
+        top, left, right = top[first], left[first], right[first]
+        table = np.full(1 << SLOT_BITS, -1, np.int32)
+        table[places[first]] = np.arange(len(top), dtype=np.int32)
         r = table[slot[at]]
         same = (r >= 0) & (top[r] == here)
         at, r = at[same], r[same]
@@ -183,12 +184,20 @@ def compress(ids: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndar
         begin[1:] = np.diff(at) != 1
         offset = at - at[np.maximum.accumulate(np.where(begin, np.arange(len(at)), 0))]
         at, r = at[offset % 2 == 0], r[offset % 2 == 0]
-        x[at] = r.astype(np.uint64) + np.uint64(FIRST_RULE + len(rules))
+        x[at] = r.astype(np.uint32) + np.uint32(FIRST_RULE + len(rules))
         stay = np.ones(len(x), bool)
         stay[at + 1] = False
         x = x[stay]
-        rules = np.vstack([rules, np.stack([top >> np.uint64(32), top & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)])
-    return x.astype(np.uint32), rules
+        rules = np.vstack([rules, np.stack([left, right], axis=1)])
+    return x, rules
+
+
+def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number of SLOT_BITS bits for each pair of symbols."""
+    h = a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0xC2B2AE35)
+    return (h >> np.uint32(32 - SLOT_BITS)).astype(np.int64)
 
 
 def rule_lengths(rules: np.ndarray) -> np.ndarray:
