@@ -88,10 +88,10 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[Rule]:
     the one that rejects most for its cost, and each next one that which rejects most of what the ones before it let pass.
     """
     n = docs.count()
-    sample = durable(with_base_failed(base_columns(docs.sample(min(1.0, SAMPLE_ROWS / max(n, 1)), 11))).where("not base_failed").coalesce(1), "sample")
+    sample = durable(with_base_failed(base_columns(docs.sample(min(1.0, SAMPLE_ROWS / max(n, 1)), 11))).where("not base_failed"), "sample")
     try:
         hits = sample.select(*(F.expr(r.rejects).alias(r.name) for r in rules)).collect()
-        often = sample.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
+        often = sample.coalesce(1).withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
 
         def seconds(condition: str) -> float:
             began = time.perf_counter()
