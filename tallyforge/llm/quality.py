@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import discard, durable
 
 SPACE = r"[ \x09-\x0D]+"
-SAMPLE_ROWS, REPEATS = 400, 20
+SAMPLE_ROWS, REPEATS = 400, 5
 #: Bits taken from the windows' hashes beside the position's (only tests take any).
 EXTRA_BITS = ""
 
