@@ -62,21 +62,20 @@ def base_columns(docs: DataFrame) -> DataFrame:
 
 def repeat_words() -> Column:
     """Words covered by 3-word windows that stand twice or more in the text, from the columns words and n_words."""
-    # w, s, b and p are lambda variables, each bound once: the optimizer may copy this expression (a filter on a result column is
+    # w, s, b, d and p are lambda variables, each bound once: the optimizer may copy this expression (a filter on a result column is
     # pushed down), and a column reference inside a lambda would then be computed again for every element.
-    # b: the bits a position needs; a window's long is its hash shifted left by them, with the position below. If windows of
-    # one such hash differ in their words, the text is done again by the words themselves.
-    twin = "shiftrightunsigned(s[i - 1] ^ s[i], b) = 0"
-    at = "cast({} & (shiftleft(1L, b) - 1) as int)"
-    words_differ = " or ".join(f"w[{at.format('s[i - 1]')} + {k}] <> w[{at.format('s[i]')} + {k}]" for k in range(3))
-    false_twins = f"size(s) > 1 and exists(sequence(1, greatest(size(s) - 1, 1)), i -> i < size(s) and {twin} and ({words_differ}))"
-    dup = "filter(s, (x, i) -> (i > 0 and shiftrightunsigned(s[i - 1] ^ x, b) = 0) or (i < size(s) - 1 and shiftrightunsigned(s[i + 1] ^ x, b) = 0))"
+    # b: the bits a position needs; a window's long is its hash shifted left by them, with the position below. d: those that have
+    # a neighbour of the same hash. If such neighbours differ in their words, the text is done again by the words themselves.
     keyed = "sort_array(transform(sequence(0, size(w) - 3), i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), b) | i))"
-    positions = f"sort_array(transform({dup}, x -> x & (shiftleft(1L, b) - 1)))"
+    dup = "filter(s, (x, i) -> (i > 0 and shiftrightunsigned(s[i - 1] ^ x, b) = 0) or (i < size(s) - 1 and shiftrightunsigned(s[i + 1] ^ x, b) = 0))"
+    at = "cast({} & (shiftleft(1L, b) - 1) as int)"
+    words_differ = " or ".join(f"w[{at.format('d[i - 1]')} + {k}] <> w[{at.format('d[i]')} + {k}]" for k in range(3))
+    false_twins = f"size(d) > 1 and exists(sequence(1, size(d) - 1), i -> shiftrightunsigned(d[i - 1] ^ d[i], b) = 0 and ({words_differ}))"
+    positions = "sort_array(transform(d, x -> x & (shiftleft(1L, b) - 1)))"
     by_words = "sort_array(transform(sequence(0, size(w) - 3), i -> named_struct('g', concat_ws(' ', w[i], w[i + 1], w[i + 2]), 'i', cast(i as bigint))))"
     exact = f"transform(array({by_words}), g -> sort_array(transform(filter(g, (x, i) -> (i > 0 and g[i - 1].g = x.g) or (i < size(g) - 1 and g[i + 1].g = x.g)), x -> x.i)))[0]"
     covered = "aggregate(p, named_struct('last', -3L, 'n', 0L), (a, x) -> named_struct('last', x, 'n', a.n + least(x - a.last, 3L)), a -> a.n)"
-    inner = f"transform(array({keyed}), s -> transform(array(if({false_twins}, {exact}, {positions})), p -> {covered})[0])[0]"
+    inner = f"transform(array({keyed}), s -> transform(array({dup}), d -> transform(array(if({false_twins}, {exact}, {positions})), p -> {covered})[0])[0])[0]"
     bits = f"cast(ceil(log2(size(w) + 1)) as int){EXTRA_BITS}"
     return F.expr(f"transform(array(words), w -> if(size(w) < 3, 0L, transform(array({bits}), b -> {inner})[0]))[0]")
 
