@@ -143,16 +143,6 @@ def split_join(rows: DataFrame, keyed: DataFrame, on: str | list[str], count: st
     return dealt.join(keyed.withColumn("__part", F.explode(parts)), [*on, "__part"], how).drop("__part")
 
 
-def number_join(rows: DataFrame, keyed: DataFrame, on: str | list[str], count: str, total: int) -> DataFrame:
-    """The inner join of split_join for a keyed of numbers only: its hot rows, fewer than HOT_SHARE of a few bytes each, are broadcast,
-    so rows of hot keys are joined where they are. rows is read twice and should be a table."""
-    on = [on] if isinstance(on, str) else on
-    is_hot = F.col(count) > max(LUKEWARM, total // HOT_SHARE)
-    hot = keyed.where(is_hot)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.where(~is_hot), on)
-    return rows.join(F.broadcast(hot), on).unionByName(rest)
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph, by alternating large-star and small-star steps.
 
