@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import fingerprint, licenses, mixing, packing, quality, secrets, simhash, substring, tokens, toxicity
+from tallyforge.llm import fingerprint, licenses, mixing, packing, quality, secrets, simhash, substring, tokens, toxicity, vectors
 from tallyforge.llm.common import read
 
 PATH = ["domain", "lang", "source"]
@@ -65,9 +65,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_quality, op3_packing, op4_substring, op5_simhash, op6_toxicity, op7_fingerprint, op8_licenses, op9_tokens, op10_secrets)}
+def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.encode(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_quality, op3_packing, op4_substring, op5_simhash, op6_toxicity, op7_fingerprint, op8_licenses, op9_tokens, op10_secrets, op13_vectors)}
 
 ORACLE = {
+    "op13_vectors": vectors.oracle(),
     "op2_quality": r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
