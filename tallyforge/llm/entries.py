@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import fingerprint, licenses, mixing, packing, quality, resampling, secrets, simhash, substring, tokens, toxicity, vectors
+from tallyforge.llm import fingerprint, licenses, mixing, packing, pages, quality, resampling, secrets, simhash, substring, tokens, toxicity, vectors
 from tallyforge.llm.common import read
 
 PATH = ["domain", "lang", "source"]
@@ -65,6 +65,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read(spark, sf_dir, "pages"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
@@ -74,7 +78,7 @@ def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.encode(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_quality, op3_packing, op4_substring, op5_simhash, op6_toxicity, op7_fingerprint, op8_licenses, op9_tokens, op10_secrets, op12_resampling, op13_vectors)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_quality, op3_packing, op4_substring, op5_simhash, op6_toxicity, op7_fingerprint, op8_licenses, op9_tokens, op10_secrets, op11_html, op12_resampling, op13_vectors)}
 
 ORACLE = {
     "op13_vectors": vectors.oracle(),
