@@ -11,7 +11,8 @@ squared distances. All queries of a batch go down the tree together, each first
 
 Vectors that are null, or hold null, NaN or infinite components, are dropped. Vectors of another length than the first kept one
 (by vec_id), or whose length is no positive multiple of four, stay with a null code and error. Null vec_ids count as the largest
-and repeated ones are rows of their own; an error beyond a long is null; an empty table gives no rows; other columns are not read.
+and repeated ones are rows of their own; an error beyond a long is null (vectors are of floats: components of any size are exact,
+those too large for doubles at the pace of Python integers); an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import hashlib
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -191,7 +193,7 @@ def adder(books: Codebooks, length: int) -> Callable[[Iterator[pa.RecordBatch]],
         sums = [divmod(int(a) + int(b), LIMB) for p, k in zip(part, entry) for a, b in zip(plain[p, k], large[p, k])]
         each = lambda x: np.repeat(x, m)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(each(part), pa.int32()), pa.array(each(entry), pa.int32()), pa.array(np.tile(np.arange(m), len(part)), pa.int32()), pa.array(each(counts[part, entry]), pa.int64()), pa.array([h for h, _ in sums], pa.int64()), pa.array([low for _, low in sums], pa.int64())],
+            [pa.array(each(part), pa.int32()), pa.array(each(entry), pa.int32()), pa.array(np.tile(np.arange(m), len(part)), pa.int32()), pa.array(each(counts[part, entry]), pa.int64()), pa.array([Decimal(h) for h, _ in sums], pa.decimal128(38, 0)), pa.array([low for _, low in sums], pa.int64())],
             names=["part", "entry", "at", "n", "high", "low"],
         )
 
@@ -210,7 +212,7 @@ def coder(books: Codebooks, length: int) -> Callable[[Iterator[pa.RecordBatch]],
 
 def refined(rows: DataFrame, books: Codebooks, length: int) -> Codebooks:
     """The codebooks after one round: each entry the floored mean of its parts; unused entries stay."""
-    sums = rows.select("embedding").mapInArrow(adder(books, length), "part int, entry int, at int, n bigint, high bigint, low bigint")
+    sums = rows.select("embedding").mapInArrow(adder(books, length), "part int, entry int, at int, n bigint, high decimal(38,0), low bigint")
     wide = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).alias(c)
     entries = [[list(e) for e in part] for part in books.entries]
     for r in sums.groupBy("part", "entry", "at").agg(wide("n"), wide("high"), wide("low")).collect():  # PARTS x ENTRIES x positions at most

@@ -4,7 +4,7 @@ one doc_id with several texts, wide ids, and extra columns whose names clash wit
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.llm import common, fingerprint, licenses, mixing, packing, quality, secrets, simhash, substring, tokens, toxicity
+from tallyforge.llm import common, fingerprint, licenses, mixing, packing, quality, resampling, secrets, simhash, substring, tokens, toxicity
 from tallyforge.llm.entries import tokenizer_path
 
 CLASH = ["score", "epoch", "n_tokens", "leaf", "hash", "left", "end", "order", "doc", "fp", "domain", "h1", "words", "__canon", "__part", "rid", "shard", "bin", "spans", "__redacted", "__score", "__leaf", "__tokens"]
@@ -46,6 +46,7 @@ OPERATORS = {
     "licenses": lambda d, labels: licenses.scan(d),
     "tokens": lambda d, labels: tokens.read_back(tokens.write(d, tokenizer_path())),
     "secrets": lambda d, labels: secrets.scan(d),
+    "resampling": lambda d, labels: resampling.resample(d, labels),
     # leaves without a token give nothing, so the empty texts go to a leaf that has some
     "mixing": lambda d, labels: mixing.mix(d.withColumn("source", F.lit("one")).withColumn("lang", F.lit("x")), ["lang", "source"], {}, 1.0),
 }
