@@ -1,4 +1,4 @@
-"""Command line: run (snapshot, live or incremental), db init, views, metric NAME."""
+"""Command line: run (snapshot, live or incremental), db init, views, metric NAME, events."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ import csv
 import sys
 from datetime import datetime
 
-from tallyforge.plans.metrics import list_metric_queries
+from tallyforge.operators.warehouse import STEPS
 from tallyforge.plans.views import apply_views, run_metric_query
 from tallyforge.run import RunSpec, run_pipeline
 from tallyforge.session import get_session, warehouse_root
+from tallyforge.sources.events import read_events
 from tallyforge.sources.storage import Warehouse
 from tallyforge.sources.window import DEFAULT_OVERLAP, parse_overlap
 
@@ -35,12 +36,24 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--watermark-column", default="order_ts")
     r.add_argument("--since", type=datetime.fromisoformat)
     r.add_argument("--until", type=datetime.fromisoformat)
+    r.add_argument("--source", default="dummyjson", help="source system: dummyjson or square_orders")
+    r.add_argument("--step", choices=tuple(STEPS), default="build_all", help="what to build")
+    r.add_argument("--views-dir", help="a folder of .sql files, each a further view")
+    r.add_argument("--no-views", action="store_true", help="do not define the views")
+    r.add_argument("--no-resume", action="store_true", help="begin a new window even if an earlier pull did not end")
     r.add_argument("--overlap", type=overlap, default=DEFAULT_OVERLAP, help="7d, 12h, 30m or a mix of them")
     db = sub.add_parser("db", help="the tables").add_subparsers(dest="action", required=True)
     db.add_parser("init", help="make empty typed tables where there are none").add_argument("--sql", help="a script to run after that")
-    sub.add_parser("views", help="register and list the published views")
+    v = sub.add_parser("views", help="register and list the published views")
+    v.add_argument("--sql-dir", help="a folder of .sql files, each a further view")
+    e = sub.add_parser("events", help="events of runs")
+    e.add_argument("--runs-root", default="runs")
+    e.add_argument("--run", default="*")
     m = sub.add_parser("metric", help="one metric, whole")
-    m.add_argument("name", choices=list_metric_queries())
+    m.add_argument("name")
+    m.add_argument("--metrics-dir", help="a folder of .sql files, each a metric")
+    m.add_argument("--sql-dir", help="a folder of .sql files, each a view that metrics may use")
+    m.add_argument("--arg", action="append", default=[], metavar="NAME=VALUE", help="a parameter of the query")
     m.add_argument("--output", help="a folder for CSV files; else the rows go to standard output, one by one")
     return p
 
@@ -58,10 +71,15 @@ def main(argv: list[str] | None = None) -> int:
             run_file(spark, a.sql)
         return 0
     if a.command == "views":
-        print("\n".join(apply_views(spark, store).views))
+        print("\n".join(apply_views(spark, store, a.sql_dir).views))
         return 0
     if a.command == "metric":
-        got = run_metric_query(spark, store, a.name)
+        given = dict(x.split("=", 1) for x in a.arg)
+        try:
+            got = run_metric_query(spark, store, a.name, a.metrics_dir, given, a.sql_dir)
+        except FileNotFoundError as e:
+            print(e, file=sys.stderr)
+            return 2
         if a.output:
             got.rows.write.option("header", True).csv(a.output)
             return 0
@@ -70,7 +88,11 @@ def main(argv: list[str] | None = None) -> int:
         for row in got.rows.toLocalIterator():
             out.writerow(row)
         return 0
-    m = run_pipeline(spark, root, RunSpec(a.mode, a.snapshot_root, a.runs_root, a.since, a.until, a.overlap, "dummyjson", a.snapshot_key, a.page_size, a.watermark_column))
+    if a.command == "events":
+        for e in read_events(spark, a.runs_root, a.run).orderBy("at", "run_id", "seq").toLocalIterator():
+            print(*(x for x in (e["at"], e["run_id"], e["kind"], e["phase"], e["seconds"], e["message"]) if x is not None))
+        return 0
+    m = run_pipeline(spark, root, RunSpec(a.mode, a.snapshot_root, a.runs_root, a.since, a.until, a.overlap, a.source, a.snapshot_key, a.page_size, a.watermark_column, a.step, not a.no_views, a.views_dir, resume=not a.no_resume))
     print(f"run_id={m.run_id} status={m.status} mode={m.mode} manifest={m.artifacts['manifest']} {m.error or ''}".rstrip())
     if m.window:
         print(f"  window: {m.window['low']} to {m.window['high']} ({m.source.get('carts_post_filter', '?')}/{m.source.get('carts_pre_filter', '?')} carts)")

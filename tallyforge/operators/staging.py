@@ -17,8 +17,19 @@ def _reject(df: DataFrame, table: str, code: str | Column, detail: str | Column)
     return df.select(F.lit(table).alias("table_name"), "source_ref", "raw_payload", as_col(code).alias("reason_code"), as_col(detail).alias("reason_detail"))
 
 
-def map_users(users: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects) of users: id, firstName, ..., source_ref, raw_payload."""
+def _tagged(rows: DataFrame, code: Column, detail: Column) -> DataFrame:
+    """rows with reason_code and reason_detail: null for those to stage, else why not."""
+    return rows.withColumns({"reason_code": code, "reason_detail": F.when(code.isNotNull(), detail)})
+
+
+def parted(tagged: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
+    """(rows to stage, rejects) of tagged rows."""
+    good = F.col("reason_code").isNull()
+    return tagged.where(good).drop("reason_code", "reason_detail"), _reject(tagged.where(~good), table, F.col("reason_code"), F.col("reason_detail"))
+
+
+def tag_users(users: DataFrame) -> DataFrame:
+    """Mapped users: id, firstName, ..., source_ref, raw_payload."""
     u = users.select(
         F.col("id").cast("bigint").alias("customer_id"),
         D.normalize_text(F.col("firstName")).alias("first_name"),
@@ -29,15 +40,19 @@ def map_users(users: DataFrame) -> tuple[DataFrame, DataFrame]:
         D.normalize_text(F.col("address.city")).alias("city"),
         D.normalize_text(F.col("address.country")).alias("country"),
         D.normalize_text(F.col("company.name")).alias("company"),
-        "source_ref",
+        F.col("source_ref").cast("bigint").alias("source_ref"),
         "raw_payload",
     )
-    return u.where("full_name is not null"), _reject(u.where("full_name is null"), "stg_customers", "missing_name", "first and last name are both blank")
+    return _tagged(u, F.when(F.col("full_name").isNull(), "missing_name"), F.lit("first and last name are both blank"))
 
 
-def map_products(products: DataFrame) -> tuple[DataFrame, DataFrame]:
+def map_users(users: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return parted(tag_users(users), "stg_customers")
+
+
+def tag_products(products: DataFrame) -> DataFrame:
     p = products.withColumn("t", D.normalize_text(F.col("title"))).withColumn("c", D.normalize_text(F.col("category")))
-    rows = p.where("t is not null and c is not null").select(
+    rows = p.select(
         F.col("id").cast("bigint").alias("product_id"),
         D.sku(F.col("id").cast("bigint"), F.col("c"), F.col("t")).alias("sku"),
         F.col("t").alias("title"),
@@ -47,10 +62,14 @@ def map_products(products: DataFrame) -> tuple[DataFrame, DataFrame]:
         D.discount_fraction(F.col("discountPercentage").cast("double")).alias("discount_pct"),
         F.col("rating").cast("double").cast("decimal(6,3)").alias("rating"),
         F.col("stock").cast("double").cast("int").alias("stock"),
-        "source_ref",
+        F.col("source_ref").cast("bigint").alias("source_ref"),
         "raw_payload",
     )
-    return rows, _reject(p.where("t is null or c is null"), "stg_products", "missing_product_fields", "title or category is blank")
+    return _tagged(rows, F.when(F.col("title").isNull() | F.col("category").isNull(), "missing_product_fields"), F.lit("title or category is blank"))
+
+
+def map_products(products: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return parted(tag_products(products), "stg_products")
 
 
 def first_seen(df: DataFrame, key: str) -> DataFrame:
@@ -58,14 +77,12 @@ def first_seen(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*(c for c in df.columns if c != key)), "source_ref").alias("r")).select(key, "r.*")
 
 
-def map_carts(carts: DataFrame, users: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(orders, items, item rejects). A cart is staged even if all of its lines are rejected.
+def tag_carts(carts: DataFrame, countries: DataFrame, skus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(orders, tagged items) of carts. countries: customer_id, country; skus: product_id, sku; one row for each key.
 
-    A line's source_ref is its position among all lines: a running sum of the carts' line counts (carts are ordered by
-    source_ref; the sum runs over ranges of carts first, so no task sees all carts) and its position within the cart.
+    A cart is staged even if all of its lines are rejected. A line's source_ref is its position among all lines: a running sum
+    of the carts' line counts (carts are ordered by source_ref) and its position within the cart.
     """
-    countries = first_seen(users.select("customer_id", "country", "source_ref"), "customer_id").drop("source_ref")
-    lookup = first_seen(products.select("product_id", "sku", "source_ref"), "product_id").drop("source_ref")
     c = carts.select(
         F.col("id").cast("bigint").alias("order_id"),
         F.col("userId").cast("bigint").alias("customer_id"),
@@ -73,7 +90,7 @@ def map_carts(carts: DataFrame, users: DataFrame, products: DataFrame) -> tuple[
         F.col("totalProducts").cast("double").cast("int").alias("total_products"),
         F.col("totalQuantity").cast("double").cast("int").alias("total_quantity"),
         "products",
-        "source_ref",
+        F.col("source_ref").cast("bigint").alias("source_ref"),
         "raw_payload",
     )
     orders = c.join(countries, "customer_id", "left").select(
@@ -92,7 +109,7 @@ def map_carts(carts: DataFrame, users: DataFrame, products: DataFrame) -> tuple[
     lines = sized.select("order_id", "before", F.posexplode("products").alias("pos", "p")).select(
         "order_id",
         (F.col("pos") + 1).alias("line_id"),
-        (F.col("before") + F.col("pos") + 1).cast("int").alias("source_ref"),
+        (F.col("before") + F.col("pos") + 1).alias("source_ref"),
         F.col("p.id").cast("bigint").alias("product_id"),
         F.col("p.quantity").cast("double").cast("int").alias("qty"),
         F.col("p.price").cast("double").alias("price"),
@@ -100,48 +117,52 @@ def map_carts(carts: DataFrame, users: DataFrame, products: DataFrame) -> tuple[
         F.col("p.discountedTotal").cast("double").alias("discounted"),
         F.to_json("p").alias("raw_payload"),
     )
-    joined = lines.join(lookup, "product_id", "left")
-    return (orders, *split_lines(joined))
+    return _tagged(orders, F.lit(None).cast("string"), F.lit(None).cast("string")), tag_lines(lines.join(skus, "product_id", "left"))
 
 
-def split_lines(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, rejects) of lines that carry the looked-up sku (null: unknown product). A quantity fault comes first."""
+def map_carts(carts: DataFrame, users: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(orders, items, item rejects), with the first mapped user and product of each id."""
+    countries = first_seen(users.select("customer_id", "country", "source_ref"), "customer_id").drop("source_ref")
+    skus = first_seen(products.select("product_id", "sku", "source_ref"), "product_id").drop("source_ref")
+    orders, lines = tag_carts(carts, countries, skus)
+    return (parted(orders, "stg_orders")[0], *parted(lines, "stg_order_items"))
+
+
+def tag_lines(joined: DataFrame) -> DataFrame:
+    """Items of lines that carry the looked-up sku (null: unknown product). A quantity fault comes first."""
     reason = F.when(F.col("qty") <= 0, "invalid_quantity").when(F.col("sku").isNull(), "unknown_product")
     detail = F.when(F.col("qty") <= 0, F.format_string("cart line %d has non-pos qty=%d", "line_id", "qty")).otherwise(
         F.format_string("product_id %d was referenced by cart %d but not found in the product lookup", "product_id", "order_id")
     )
-    marked = joined.withColumn("reason", reason)
     gross = D.gross_usd(F.col("qty"), F.col("price"))
     discount = D.line_discount(F.col("total"), F.col("discounted"))
-    items = marked.where("reason is null").select(
+    items = joined.select(
         "order_id", "line_id", "product_id", "sku", "qty",
         D.money(F.col("price")).alias("unit_price_usd"), discount.alias("discount_pct"), gross.alias("gross_usd"),
         D.net_usd(gross, discount, F.col("discounted")).alias("net_usd"), "source_ref", "raw_payload",
     )
-    return items, _reject(marked.where("reason is not null"), "stg_order_items", F.col("reason"), detail)
+    return _tagged(items, reason, detail)
 
 
-def running_offset(df: DataFrame, order: str, size: str, name: str, width: int = 10_000) -> DataFrame:
-    """df with the sum of `size` over all rows of smaller `order` (a whole number).
+def split_lines(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return parted(tag_lines(joined), "stg_order_items")
 
-    Sums of ranges of `width` are summed over ranges of `width` of these, and so on up to at most `width` sums, so that no
-    window holds more than that, whatever the rows and however far apart their numbers are.
+
+def running_offset(df: DataFrame, order: str, size: str, name: str, bits: int = 20) -> DataFrame:
+    """df with the sum of `size` over all rows of smaller `order` (a whole number, distinct, not below zero).
+
+    Numbers are taken in ranges of 2^bits: a window sums within a range, another over the ranges of 2^bits ranges, and one over
+    these. With numbers as close as positions are, no window holds more than 2^bits rows up to 2^60 rows; nothing is computed
+    before the plan runs.
     """
     before = lambda x, w: F.coalesce(F.sum(x).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    if lo is None:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    levels = 1
-    while (hi - lo) // width**levels >= width:
-        levels += 1
-    far = F.col(order).cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)") if hi - lo >= 1 << 63 else F.col(order) - F.lit(lo)
-    rows = df.withColumns({f"__l{k}": F.floor(far / F.lit(width**k)).cast("bigint") for k in range(1, levels + 1)})
-    out, sums = rows.withColumn("__at", before(size, W.partitionBy("__l1").orderBy(order))), rows
-    for k in range(1, levels + 1):
-        sums = sums.groupBy(*(f"__l{j}" for j in range(k, levels + 1))).agg(F.sum(size if k == 1 else "__n").alias("__n"))
-        w = W.partitionBy(f"__l{k + 1}").orderBy(f"__l{k}") if k < levels else W.orderBy(f"__l{k}")
-        out = out.join(sums.select(f"__l{k}", before("__n", w).alias("__base")), f"__l{k}").withColumn("__at", F.col("__at") + F.col("__base")).drop("__base")
-    return out.withColumn(name, F.col("__at")).drop("__at", *(f"__l{k}" for k in range(1, levels + 1)))
+    near, far = (F.expr(f"shiftright(`{order}`, {k * bits})").cast("bigint") for k in (1, 2))
+    rows = df.withColumn("__near", near)
+    sums = df.groupBy(near.alias("__near"), far.alias("__far")).agg(F.sum(size).alias("__n"))
+    tops = sums.groupBy("__far").agg(F.sum("__n").alias("__m"))
+    base = sums.withColumn("__base", before("__n", W.partitionBy("__far").orderBy("__near"))).join(tops.select("__far", before("__m", W.orderBy("__far")).alias("__top")), "__far")
+    out = rows.withColumn("__at", before(size, W.partitionBy("__near").orderBy(order)))
+    return out.join(base.select("__near", (F.col("__base") + F.col("__top")).alias("__base")), "__near").withColumn(name, F.col("__at") + F.col("__base")).drop("__at", "__base", "__near")
 
 
 def duplicate_detail(key: tuple[str, ...]) -> Column:
@@ -158,6 +179,26 @@ def dedup(rows: DataFrame, spec: TableSpec, order: list[Column | str] | None = N
     return r.where("__rn = 1").select(*spec.names), _reject(r.where("__rn > 1"), spec.name, "duplicate_key", duplicate_detail(spec.key))
 
 
+def branches(tagged: DataFrame, spec: TableSpec) -> DataFrame:
+    """Tagged rows with branch: first (the row of a key to stage), repeat (another one of its key) or reject, by one window.
+
+    Payloads and positions are kept for what becomes a reject only. Rejected rows never count as the first of a key, and are
+    dealt out over 64 parts of it, as they may share one (a null, say)."""
+    bad = F.col("reason_code").isNotNull()
+    rn = F.row_number().over(W.partitionBy(*spec.key, F.when(bad, F.pmod("source_ref", F.lit(64)))).orderBy(F.asc_nulls_last("source_ref")))
+    out = tagged.withColumn("__rn", rn).withColumn("branch", F.when(bad, "reject").when(F.col("__rn") == 1, "first").otherwise("repeat"))
+    again, kept = F.col("branch") == "repeat", F.col("branch") != "first"
+    return out.select(
+        *spec.names, "branch", F.when(kept, F.col("source_ref")).alias("source_ref"), F.when(kept, F.col("raw_payload")).alias("raw_payload"),
+        F.when(again, "duplicate_key").otherwise(F.col("reason_code")).alias("reason_code"), F.when(again, duplicate_detail(spec.key)).otherwise(F.col("reason_detail")).alias("reason_detail"),
+    )
+
+
+def rejects_of(split: dict[str, DataFrame], table: str) -> DataFrame:
+    """Rejects among the branches of one table."""
+    return _reject(split["repeat"].unionByName(split["reject"]), table, F.col("reason_code"), F.col("reason_detail"))
+
+
 def map_all(users: DataFrame, products: DataFrame, carts: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """Mapped rows of the four tables, with source_ref and raw_payload, and the rejects of mapping."""
     u, bad_u = map_users(users)
@@ -166,24 +207,8 @@ def map_all(users: DataFrame, products: DataFrame, carts: DataFrame) -> tuple[di
     return dict(zip(STAGED, (u, p, o, i))), bad_u.unionByName(bad_p).unionByName(bad_i)
 
 
-def split_first(mapped: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
-    """First row of each key of each table, and the others as rejects."""
-    parts = {t: dedup(rows, STAGED[t]) for t, rows in mapped.items()}
-    return {t: first for t, (first, _) in parts.items()}, reduce(DataFrame.unionByName, (dup for _, dup in parts.values()))
-
-
-def stage_all(users: DataFrame, products: DataFrame, carts: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The four staged tables and all rejects, of records with source_ref and raw_payload."""
-    mapped, bad = map_all(users, products, carts)
-    out, dup = split_first(mapped)
-    return out, bad.unionByName(dup)
-
-
-def load_results(staged: dict[str, DataFrame], rejects: DataFrame) -> DataFrame:
-    """table_name, inserted_count, duplicate_reject_count, explicit_reject_count of each table that has rows or rejects."""
-    counts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"), F.col("n").alias("inserted_count"), F.lit(0).cast("bigint").alias("dup"), F.lit(0).cast("bigint").alias("other")) for t, rows in staged.items()]
-    dup = F.col("reason_code") == "duplicate_key"
-    bad = rejects.groupBy("table_name").agg(F.count_if(dup).alias("dup"), F.count_if(~dup).alias("other")).select("table_name", F.lit(0).cast("bigint").alias("inserted_count"), "dup", "other")
-    every = reduce(DataFrame.unionByName, [*counts, bad])
-    out = every.groupBy("table_name").agg(F.sum("inserted_count").alias("inserted_count"), F.sum("dup").alias("duplicate_reject_count"), F.sum("other").alias("explicit_reject_count"))
-    return out.where("inserted_count + duplicate_reject_count + explicit_reject_count > 0")
+def load_results(tagged: dict[str, DataFrame]) -> DataFrame:
+    """table_name, inserted_count, duplicate_reject_count, explicit_reject_count of each table that has rows, in one pass each."""
+    counts = [F.count_if(F.col("branch") == b).alias(n) for b, n in (("first", "inserted_count"), ("repeat", "duplicate_reject_count"), ("reject", "explicit_reject_count"))]
+    every = [branches(rows, STAGED[t]).agg(*counts).select(F.lit(t).alias("table_name"), "*") for t, rows in tagged.items()]
+    return reduce(DataFrame.unionByName, every).where("inserted_count + duplicate_reject_count + explicit_reject_count > 0")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tallyforge.functions.derive import date_parts
 
 MODES = ("snapshot", "live", "incremental")
+#: Steps of a run, and the tables each of them builds, in order.
+STEPS = {"build_dims": ("dim_customer", "dim_date"), "build_facts": ("fact_orders", "fact_order_items"), "build_all": ("dim_customer", "dim_date", "fact_orders", "fact_order_items")}
 
 
 def dim_customer(customers: DataFrame, run_id: str, at: datetime) -> DataFrame:
@@ -63,16 +65,29 @@ def _known(mode: str) -> None:
         raise ValueError(f"unknown mode {mode!r}")
 
 
-def build(staged: dict[str, DataFrame], old: dict[str, DataFrame], run_id: str, at: datetime, mode: str, step: str = "build_all") -> dict[str, DataFrame]:
-    """New versions of the tables of a step: build_dims, build_facts or build_all, in order."""
-    if step not in ("build_dims", "build_facts", "build_all"):
-        raise ValueError(f"unknown step {step!r}")
-    out: dict[str, DataFrame] = {}
+def changes(staged: dict[str, DataFrame], old: dict[str, DataFrame], run_id: str, at: datetime, mode: str, step: str = "build_all") -> dict[str, tuple[str, DataFrame]]:
+    """What a step changes in each of its tables: (how, new rows). replace: they are the table; append: they come to it; merge:
+    they replace what the reconciliation of the mode says they replace."""
+    _known_step(step)
+    _known(mode)
+    out: dict[str, tuple[str, DataFrame]] = {}
     orders, items = staged["stg_orders"], staged["stg_order_items"]
     if step != "build_facts":
-        out["dim_customer"] = dim_customer(staged["stg_customers"], run_id, at)
-        out["dim_date"] = append_new(old.get("dim_date"), calendar(orders).withColumn("built_at", F.lit(at).cast("timestamp")), ["date"])
+        out["dim_customer"] = ("replace", dim_customer(staged["stg_customers"], run_id, at))
+        days = calendar(orders).withColumn("built_at", F.lit(at).cast("timestamp"))
+        known = old.get("dim_date")
+        out["dim_date"] = ("append", days if known is None else days.join(known.select("date"), "date", "left_anti"))
     if step != "build_dims":
-        out["fact_orders"] = reconcile_orders(old.get("fact_orders"), fact_orders(orders, run_id, at), mode)
-        out["fact_order_items"] = reconcile_items(old.get("fact_order_items"), fact_order_items(items, orders, run_id, at), mode)
+        how = "merge" if mode == "incremental" else "replace"
+        out["fact_orders"] = (how, fact_orders(orders, run_id, at))
+        out["fact_order_items"] = (how, fact_order_items(items, orders, run_id, at))
     return out
+
+
+#: How the old rows of the touched buckets of a merged table and the new ones become one table.
+RECONCILE = {"fact_orders": lambda old, new: reconcile_orders(old, new, "incremental"), "fact_order_items": lambda old, new: reconcile_items(old, new, "incremental")}
+
+
+def _known_step(step: str) -> None:
+    if step not in STEPS:
+        raise ValueError(f"unknown step {step!r}; known: {', '.join(STEPS)}")

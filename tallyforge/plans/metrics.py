@@ -58,12 +58,8 @@ METRICS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
 }
 
 
-def list_metric_queries() -> list[str]:
-    return sorted(METRICS)
-
-
 def metric_query(name: str, orders: DataFrame, items: DataFrame) -> DataFrame:
     key = name.removesuffix(".sql")
     if key not in METRICS:
-        raise FileNotFoundError(f"no metric {name!r}; there are: {', '.join(list_metric_queries())}")
+        raise FileNotFoundError(f"no metric {name!r}; there are: {', '.join(sorted(METRICS))}")
     return METRICS[key](orders, items)

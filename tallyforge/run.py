@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import subprocess
-import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -14,13 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators import gates, quality, staging, warehouse
-from tallyforge.plans.views import apply_views
+from tallyforge.operators.mappings import mappings
+from tallyforge.plans.views import apply_views, check_views
 from tallyforge.schemas import STAGED, staging_spec
 from tallyforge.sources.adapters import PullResult, SnapshotSource, SourceAdapter, get_source_adapter
-from tallyforge.sources.events import RunLog
+from tallyforge.sources.commits import Commit
+from tallyforge.sources.events import EventLog
 from tallyforge.sources.files import Files
+from tallyforge.sources.landing import Landing, open_window
 from tallyforge.sources.snapshot import snapshot_root_for_key
-from tallyforge.sources.storage import Warehouse, as_json
+from tallyforge.sources.storage import Change, Warehouse, as_json
 from tallyforge.sources.window import DEFAULT_OVERLAP, ExtractionWindow, resolve_window
 
 
@@ -30,7 +32,10 @@ class GateFailed(RuntimeError):
 
 @dataclass(frozen=True)
 class RunSpec:
-    """snapshot_root, where given, stands in for the source in every mode; snapshot_key names one for snapshot mode."""
+    """snapshot_root, where given, stands in for the source in every mode; snapshot_key names one for snapshot mode.
+
+    transform_step names what is built; publish_views: whether the session gets the views; views_dir: a folder of further views;
+    buckets: into how many a new fact table is dealt; resume: an incremental run goes on with a pull that did not end."""
 
     mode: str = "snapshot"
     snapshot_root: str | None = None
@@ -42,6 +47,11 @@ class RunSpec:
     snapshot_key: str | None = "v1"
     page_size: int = 100
     watermark_column: str = "order_ts"
+    transform_step: str = "build_all"
+    publish_views: bool = True
+    views_dir: str | None = None
+    buckets: int = 16
+    resume: bool = True
 
     def resolved_snapshot_root(self) -> str | None:
         if self.snapshot_root:
@@ -49,7 +59,7 @@ class RunSpec:
         return snapshot_root_for_key(self.snapshot_key or "v1") if self.mode == "snapshot" else None
 
     def arguments(self) -> dict:
-        return {"page_size": self.page_size, "since": self.since, "until": self.until, "overlap_s": self.overlap.total_seconds(), "snapshot_root": self.resolved_snapshot_root(), "runs_root": str(self.runs_root)}
+        return {"page_size": self.page_size, "since": self.since, "until": self.until, "overlap_s": self.overlap.total_seconds(), "snapshot_root": self.resolved_snapshot_root(), "runs_root": str(self.runs_root), "transform_step": self.transform_step, "publish_views": self.publish_views}
 
 
 @dataclass
@@ -64,6 +74,7 @@ class RunManifest:
     rejects: dict = field(default_factory=dict)
     dq: dict = field(default_factory=dict)
     gate: dict = field(default_factory=dict)
+    transform: dict = field(default_factory=dict)
     published: dict = field(default_factory=dict)
     seconds: dict = field(default_factory=dict)
     artifacts: dict = field(default_factory=dict)
@@ -81,17 +92,28 @@ def git_sha() -> str | None:
         return None
 
 
-def load_batches(store: Warehouse, run_id: str, pulled: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
-    """(staged tables, rejects, load results) of mapped records. Mapped rows are written once, in the run's work folder; first
-    rows and repeats are both split from there, so sources are parsed and looked up once."""
-    mapped, bad = staging.map_all(pulled["users"], pulled["products"], pulled["carts"])
-    kept = {t: store.stage(f"work/{t}", rows, run_id) for t, rows in mapped.items()}
-    bad = store.stage("work/reject_rows", bad, run_id)
-    firsts, repeats = staging.split_first(kept)
-    staged = {t: store.stage(t, rows, run_id) for t, rows in firsts.items()}
+def load_batches(store: Warehouse, run_id: str, pulled: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame, dict[str, dict[str, int]]]:
+    """(staged tables, rejects, counts by table and branch) of pulled records.
+
+    Each table is mapped, split into first rows, repeats and rejects and written in one pass, in which its rows are counted too;
+    what is staged already serves as the lookup of what comes next.
+    """
+    staged: dict[str, DataFrame] = {}
+    splits: dict[str, dict[str, DataFrame]] = {}
+    counts: dict[str, dict[str, int]] = {}
+
+    def load(table: str, tagged: DataFrame) -> None:
+        splits[table], counts[table] = store.stage_split(table, staging.branches(tagged, STAGED[table]), run_id)
+        staged[table] = splits[table]["first"].select(*STAGED[table].names)
+
+    for table, make in mappings(pulled):
+        load(table, make(staged))
+    rejects = [staging.rejects_of(s, t) for t, s in splits.items()]
+    every = rejects[0]
+    for r in rejects[1:]:
+        every = every.unionByName(r)
     at = F.lit(datetime.now(timezone.utc)).cast("timestamp")
-    rejects = store.stage("reject_rows", bad.unionByName(repeats).withColumns({"run_id": F.lit(run_id), "rejected_at": at}), run_id)
-    return staged, rejects, staging.load_results(staged, rejects)
+    return staged, store.stage("reject_rows", every.withColumns({"run_id": F.lit(run_id), "rejected_at": at}), run_id), counts
 
 
 def run_table_dq(store: Warehouse, run_id: str, table: str) -> dict:
@@ -107,53 +129,69 @@ def run_table_dq(store: Warehouse, run_id: str, table: str) -> dict:
     return next(r.asDict() for r in quality.summary(fresh.where(F.col("table_name") == table)).collect())
 
 
-def run_pipeline(spark: SparkSession, root: str | Path, spec: RunSpec, extract: Callable[[SparkSession], dict[str, DataFrame]] | None = None, adapter: SourceAdapter | None = None, step: str = "build_all", echo: bool = False) -> RunManifest:
-    """extract gives users, products and carts with source_ref and raw_payload, in the place of a source."""
-    store, now = Warehouse(spark, root), lambda: datetime.now(timezone.utc)
+def run_pipeline(spark: SparkSession, root: str | Path, spec: RunSpec, extract: Callable[[SparkSession], dict[str, DataFrame]] | None = None, adapter: SourceAdapter | None = None, echo: bool = False) -> RunManifest:
+    """extract gives users, products and carts with source_ref and raw_payload, in the place of a source.
+
+    Tables, views and the run's success are one commit, made last: if anything fails before, the run failed and the published
+    state is the old one. The ledger holds a run from its start, and the manifest and the events are written in any case.
+    """
+    store, now = Warehouse(spark, root, spec.buckets), lambda: datetime.now(timezone.utc)
     out = RunManifest(str(uuid.uuid4()), spec.mode)
     runs = Files(spark, spec.runs_root)
-    log = RunLog(out.run_id, Path(spec.runs_root) / out.run_id / "logs.jsonl", echo)
-    out.artifacts = {"manifest": runs.path(f"{out.run_id}/manifest.json"), "log": str(log.path)}
+    log = EventLog(runs, out.run_id, show=echo)
+    out.artifacts = {"manifest": runs.path(f"{out.run_id}/manifest.json"), "events": runs.path(log.folder)}
     at = now()
     row = {"run_id": out.run_id, "source_system": spec.source_system, "mode": spec.mode, "snapshot_key": spec.snapshot_key if spec.mode == "snapshot" else None, "started_at": at, "finished_at": None, "status": "running", "git_sha": git_sha(), "args_json": as_json(spec.arguments())}
-    store.record(row)
-    log.event("run_started", mode=spec.mode)
-    current = ["start"]
-
-    def phase(name: str, f: Callable):
-        current[0] = name
-        log.phase_started(name)
-        began = time.perf_counter()
-        try:
-            got = f()
-        finally:
-            out.seconds[name] = round(time.perf_counter() - began, 6)
-        log.phase_finished(name, out.seconds[name])
+
+    def phase(name: str, work: Callable):
+        got, out.seconds[name] = log.timed(name, work)
         return got
 
     def pull(source: SourceAdapter, window: ExtractionWindow | None) -> PullResult:
         if extract:
             return PullResult(extract(spark))
-        return source.pull_incremental(spark, spec.page_size, window) if window else source.pull_full(spark, spec.page_size)
+
+        def noted(state: dict) -> None:
+            row["cursor_state_json"] = as_json(state)
+            store.record(row)
+
+        landing = Landing(store.files, spec.source_system, window, out.run_id, noted)
+        return source.pull_incremental(spark, spec.page_size, window, landing) if window else source.pull_full(spark, spec.page_size, landing)
+
+    def transform() -> Commit:
+        def build(base: Commit) -> dict[str, Change]:
+            made = warehouse.changes(staged, store.current(base), out.run_id, at, spec.mode, spec.transform_step)
+            return {t: Change(rows, how, warehouse.RECONCILE.get(t)) for t, (how, rows) in made.items()}
+
+        done = row | {"status": "succeeded", "finished_at": now()}
+        check = (lambda c: check_views(spark, store, c, spec.views_dir)) if spec.publish_views else None
+        commit = store.publish(done, build, check)
+        out.transform = {"step": spec.transform_step, "tables": list(warehouse.STEPS[spec.transform_step])}
+        out.status = "succeeded"
+        return commit
 
     try:
         if spec.mode not in warehouse.MODES:
             raise ValueError(f"unknown mode {spec.mode!r}")
+        store.record(row)
+        log.add("run started", mode=spec.mode, source=spec.source_system)
         source = adapter or adapter_of(spec)
         window = None
         if spec.mode == "incremental":
             source.validate_watermark_column(spec.watermark_column)
-            prior = store.prior_watermark(spec.source_system, spec.watermark_column)
-            window = resolve_window(spec.watermark_column, prior, at, spec.since, spec.until, spec.overlap, source.default_high_watermark(spec.watermark_column, at))
+            window = open_window(store.files, spec.source_system, spec.watermark_column) if spec.resume and not (spec.since or spec.until) else None
+            if window is None:
+                prior = store.prior_watermark(spec.source_system, spec.watermark_column)
+                window = resolve_window(spec.watermark_column, prior, at, spec.since, spec.until, spec.overlap, source.default_high_watermark(spec.watermark_column, at))
             row |= {"watermark_column": spec.watermark_column, "watermark_low": window.low, "watermark_high": window.high}
             store.record(row)  # kept even if the run fails later
             out.window = window.meta()
         got = phase("extract", lambda: pull(source, window))
         out.source = got.meta
         out.counts |= {k: v for k, v in got.meta.items() if k.startswith("carts_")}
-        staged, rejects, loads = phase("stage_load", lambda: load_batches(store, out.run_id, got.records))
-        out.rejects = {r["table_name"]: {"loaded": r["inserted_count"], "duplicates": r["duplicate_reject_count"], "rejected": r["explicit_reject_count"]} for r in loads.collect()}
-        out.counts |= {t: out.rejects.get(t, {}).get("loaded", 0) for t in staged}
+        staged, rejects, counts = phase("stage_load", lambda: load_batches(store, out.run_id, got.records))
+        out.rejects = {t: {"loaded": n["first"], "duplicates": n["repeat"], "rejected": n["reject"]} for t, n in counts.items() if any(n.values())}
+        out.counts |= {t: n["first"] for t, n in counts.items()}
         metrics = quality.run_stage_dq(staged, rejects).withColumns({"run_id": F.lit(out.run_id), "created_at": F.lit(now()).cast("timestamp")})
         dq = phase("dq", lambda: store.stage("dq_results", metrics, out.run_id))
         out.dq = {r["table_name"]: {"metrics_written": r["metrics_written"], "failed_metrics": r["failed_metrics"], "passed": r["passed"]} for r in quality.summary(dq).collect()}
@@ -161,16 +199,19 @@ def run_pipeline(spark: SparkSession, root: str | Path, spec: RunSpec, extract:
         out.gate = {"passed": decision.passed, "failures": decision.failures, "warnings": decision.warnings}
         if not decision.passed:
             raise GateFailed("; ".join(decision.failures))
-        phase("transform_publish", lambda: store.publish(warehouse.build(staged, store.current(), out.run_id, at, spec.mode, step), out.run_id))
-        row["cursor_state_json"] = as_json({"watermark_high": window.high}) if window else None
-        out.status = "succeeded"
+        commit = phase("transform_publish", transform)
+        out.published = {"commit": commit.number}
+        if spec.publish_views:
+            views = apply_views(spark, store, spec.views_dir)
+            out.published |= {"views": views.views, "metrics": views.metrics}
     except Exception as e:  # the manifest, the ledger and the log tell what went wrong
-        out.status, out.error = "failed", f"{type(e).__name__}: {e}"
-        log.error(current[0], out.error)
-    store.record(row | {"status": out.status, "finished_at": now(), "error_message": out.error})
-    if out.status == "succeeded":
-        views = apply_views(spark, store)
-        out.published = {"views": views.views, "metrics": views.metrics}
-    log.event("run_finished", status=out.status)
-    runs.write(f"{out.run_id}/manifest.json", as_json(out.__dict__))
+        out.error = f"{type(e).__name__}: {e}"
+        if out.status != "succeeded":  # after its commit a run has succeeded, whatever the session makes of it
+            out.status = "failed"
+            if spec.mode in warehouse.MODES:
+                store.record(row | {"status": "failed", "finished_at": now(), "error_message": out.error})
+    finally:
+        log.add("run finished", message=out.error, status=out.status)
+        log.flush()
+        runs.write(f"{out.run_id}/manifest.json", as_json(out.__dict__))
     return out

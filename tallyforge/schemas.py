@@ -16,6 +16,15 @@ RECORDS = {
     "carts": f"id string, userId string, total string, discountedTotal string, totalProducts string, totalQuantity string, products array<{LINE}>",
 }
 
+_MONEY = "struct<amount:bigint,currency:string>"
+#: An order of a search service: money in minor units, line items, tenders and refunds within the order.
+SEARCH_ORDER = (
+    "id string, location_id string, customer_id string, state string, created_at timestamp, updated_at timestamp, closed_at timestamp, "
+    f"total_money {_MONEY}, line_items array<struct<uid:string,name:string,quantity:string,catalog_object_id:string,base_price_money:{_MONEY},gross_sales_money:{_MONEY},total_discount_money:{_MONEY},total_money:{_MONEY}>>, "
+    f"tenders array<struct<id:string,type:string,amount_money:{_MONEY}>>, refunds array<struct<id:string,status:string,amount_money:{_MONEY}>>, "
+    "fulfillments array<struct<type:string,shipment_details:struct<recipient:struct<display_name:string,address:struct<country:string>>>>>"
+)
+
 
 @dataclass(frozen=True)
 class TableSpec:
@@ -37,7 +46,7 @@ STAGED = {
         TableSpec("stg_order_items", "order_id bigint, line_id int, product_id bigint, sku string, qty int, unit_price_usd decimal(12,2), discount_pct decimal(8,4), gross_usd decimal(12,2), net_usd decimal(12,2)", ("order_id", "line_id")),
     )
 }
-REJECTS = "run_id string, table_name string, source_ref int, raw_payload string, reason_code string, reason_detail string, rejected_at timestamp"
+REJECTS = "run_id string, table_name string, source_ref bigint, raw_payload string, reason_code string, reason_detail string, rejected_at timestamp"
 DQ = "run_id string, table_name string, check_name string, metric_name string, metric_value decimal(18,6), passed boolean, details_json string, created_at timestamp"
 LEDGER = "run_id string, source_system string, mode string, snapshot_key string, started_at timestamp, finished_at timestamp, status string, error_message string, git_sha string, args_json string, watermark_column string, watermark_low timestamp, watermark_high timestamp, cursor_state_json string"
 WAREHOUSE = {
@@ -46,6 +55,8 @@ WAREHOUSE = {
     "fact_orders": "order_id bigint, customer_id bigint, date date, order_ts timestamp, country string, status string, total_usd decimal(12,2), source_run_id string, built_at timestamp",
     "fact_order_items": "order_id bigint, line_id int, customer_id bigint, date date, product_id bigint, sku string, qty int, unit_price_usd decimal(12,2), gross_usd decimal(12,2), net_usd decimal(12,2), source_run_id string, built_at timestamp",
 }
+#: Fact tables are dealt into buckets by their order, so that a run rewrites those of its orders only.
+BUCKET_KEY = {"fact_orders": "order_id", "fact_order_items": "order_id"}
 KEYS = {"dim_customer": ["customer_id"], "dim_date": ["date"], "fact_orders": ["order_id"], "fact_order_items": ["order_id", "line_id"]}
 
 

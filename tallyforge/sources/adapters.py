@@ -10,19 +10,21 @@ from dataclasses import dataclass, field
 from datetime import datetime
 from typing import Any, Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.derive import ORDER_TS_HIGH, order_ts
-from tallyforge.schemas import RECORDS
-from tallyforge.sources.paging import Client
-from tallyforge.sources.snapshot import checked_records, write_snapshot
+from tallyforge.schemas import RECORDS, SEARCH_ORDER
+from tallyforge.session import counted, package_on_workers
+from tallyforge.sources.landing import Landing
+from tallyforge.sources.pages import PagedResource
+from tallyforge.sources.snapshot import checked_records, read_snapshot, write_resource
 from tallyforge.sources.window import ExtractionWindow, in_window
 
 
 @dataclass(frozen=True)
 class PullResult:
-    """records: users, products and carts with source_ref and raw_payload. meta: what was pulled, and how."""
+    """records: users, products and carts, or orders, with source_ref and raw_payload. meta: what was pulled, and how."""
 
     records: dict[str, DataFrame]
     meta: dict[str, Any] = field(default_factory=dict)
@@ -35,27 +37,29 @@ class SourceAdapter(Protocol):
 
     def default_high_watermark(self, column: str, run_started_at: datetime) -> datetime | None: ...
 
-    def pull_full(self, spark: SparkSession, page_size: int) -> PullResult: ...
+    def pull_full(self, spark: SparkSession, page_size: int, landing: Landing) -> PullResult: ...
 
-    def pull_incremental(self, spark: SparkSession, page_size: int, window: ExtractionWindow) -> PullResult: ...
+    def pull_incremental(self, spark: SparkSession, page_size: int, window: ExtractionWindow, landing: Landing) -> PullResult: ...
 
 
-def frame_of(spark: SparkSession, name: str, items: list[dict], check: bool = True) -> DataFrame:
-    """Records of one resource, as a snapshot's would be."""
-    rows = [(k, json.dumps(x, sort_keys=True)) for k, x in enumerate(items, 1)]
-    text = spark.createDataFrame(rows, "source_ref int, raw_payload string")
-    out = text.select(F.from_json("raw_payload", RECORDS[name]).alias("r"), "source_ref", "raw_payload").select("r.*", "source_ref", "raw_payload")
-    return checked_records(out, name, name) if check else out
+def parsed(raw: DataFrame, name: str) -> DataFrame:
+    """Records of one resource, as a snapshot's would be, of source_ref and raw_payload."""
+    rows = raw.select(F.from_json("raw_payload", RECORDS[name]).alias("r"), "source_ref", "raw_payload").select("r.*", "source_ref", "raw_payload")
+    return checked_records(rows, name, name)
 
 
 class ShopSource:
     """The three paged resources of the demo shop. It keeps no change times, so an incremental pull is a full pull whose carts are
-    filtered by their derived order time; users and products stay whole."""
+    filtered by their derived order time; users and products stay whole.
+
+    Executors read the pages and write them to the run's landing folder, once; no page comes to the driver.
+    """
 
     source_system = "dummyjson"
 
-    def __init__(self, client: Client | None = None):
-        self.client = client or Client(os.environ.get("SHOP_BASE_URL", "https://dummyjson.com"))
+    def __init__(self, url: str | None = None, **options: object):
+        """options: of the data source (readers, interval_s, max_pages)."""
+        self.options = {"url": url or os.environ.get("SHOP_BASE_URL", "https://dummyjson.com")} | {k: str(v) for k, v in options.items()}
 
     def validate_watermark_column(self, column: str) -> None:
         if column != "order_ts":
@@ -65,20 +69,29 @@ class ShopSource:
         self.validate_watermark_column(column)
         return ORDER_TS_HIGH
 
-    def _pull(self, spark: SparkSession, page_size: int) -> tuple[dict[str, DataFrame], dict]:
-        pages = {n: self.client.fetch_all(n, page_size) for n in ("users", "products", "carts")}
-        meta = {"source_system": self.source_system, "native_incremental": False, "page_size": page_size, "totals": {n: p.total for n, p in pages.items()}, "pages_fetched": {n: p.pages for n, p in pages.items()}}
-        return {n: frame_of(spark, n, p.items) for n, p in pages.items()}, meta
-
-    def pull_full(self, spark: SparkSession, page_size: int = 100) -> PullResult:
-        records, meta = self._pull(spark, page_size)
-        return PullResult(records, meta | {"selection_strategy": "full_pull"})
-
-    def pull_incremental(self, spark: SparkSession, page_size: int, window: ExtractionWindow) -> PullResult:
+    def pages(self, spark: SparkSession, name: str, page_size: int) -> DataFrame:
+        """source_ref, raw_payload of a resource; every action asks for its pages again."""
+        package_on_workers(spark)
+        spark.dataSource.register(PagedResource)
+        return spark.read.format("paged_resource").options(**self.options, resource=name, page_size=str(page_size)).load()
+
+    def _pull(self, spark: SparkSession, page_size: int, landing: Landing) -> tuple[dict[str, DataFrame], dict]:
+        records, counts = {}, {}
+        for name in RECORDS:
+            seen = Observation()
+            self.pages(spark, name, page_size).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(landing.path(name))
+            counts[name] = counted(seen, "n")["n"]
+            records[name] = parsed(spark.read.schema("source_ref bigint, raw_payload string").parquet(landing.path(name)), name)
+        return records, {"source_system": self.source_system, "selection": "all pages", "page_size": page_size, "records": counts, "landing": landing.path()}
+
+    def pull_full(self, spark: SparkSession, page_size: int, landing: Landing) -> PullResult:
+        return PullResult(*self._pull(spark, page_size, landing))
+
+    def pull_incremental(self, spark: SparkSession, page_size: int, window: ExtractionWindow, landing: Landing) -> PullResult:
         self.validate_watermark_column(window.watermark_column)
-        records, meta = self._pull(spark, page_size)
+        records, meta = self._pull(spark, page_size, landing)
         carts = in_window(records["carts"], order_ts(F.col("id").cast("bigint"), F.col("userId").cast("bigint")), window.low, window.high)
-        meta |= {"selection_strategy": "full_pull_plus_client_side_filter", "carts_pre_filter": meta["totals"]["carts"], "carts_post_filter": carts.count()} | window.meta()
+        meta |= {"selection": "all pages, carts of the window kept", "carts_pre_filter": meta["records"]["carts"], "carts_post_filter": carts.count()} | window.meta()
         return PullResult(records | {"carts": carts}, meta)
 
 
@@ -93,12 +106,10 @@ class SnapshotSource:
     validate_watermark_column = ShopSource.validate_watermark_column
     default_high_watermark = ShopSource.default_high_watermark
 
-    def pull_full(self, spark: SparkSession, page_size: int = 100) -> PullResult:
-        from tallyforge.sources.snapshot import read_snapshot
+    def pull_full(self, spark: SparkSession, page_size: int = 100, landing: Landing | None = None) -> PullResult:
+        return PullResult(read_snapshot(spark, self.root), {"source_system": self.source_system, "selection": "snapshot", "snapshot_root": str(self.root)})
 
-        return PullResult(read_snapshot(spark, self.root), {"source_system": self.source_system, "selection_strategy": "snapshot", "snapshot_root": str(self.root)})
-
-    def pull_incremental(self, spark: SparkSession, page_size: int, window: ExtractionWindow) -> PullResult:
+    def pull_incremental(self, spark: SparkSession, page_size: int, window: ExtractionWindow, landing: Landing | None = None) -> PullResult:
         self.validate_watermark_column(window.watermark_column)
         got = self.pull_full(spark, page_size)
         every = got.records["carts"]
@@ -113,13 +124,14 @@ SEARCH_FIELDS = {"created_at": "CREATED_AT", "updated_at": "UPDATED_AT", "closed
 class OrderSearchSource:
     """Orders from a search service that filters by time on its side and hands out cursors. Both ends of its window are inclusive.
 
-    It is not in the registry: staging knows no records of its kind yet, so a pull gives the orders as JSON rows only.
+    One reader follows the cursors (each is only known from the page before it) and lands page after page; what has landed is
+    read by all executors. A pull that ended early goes on behind its last landed page.
     """
 
     source_system = "square_orders"
 
-    def __init__(self, access_token: str, location_ids: tuple[str, ...], version: str = "2026-01-22", base_url: str = "https://connect.squareupsandbox.com", post: Callable[[str, dict, dict], dict] | None = None):
-        self.location_ids, self.base_url = tuple(location_ids), base_url.rstrip("/")
+    def __init__(self, access_token: str, location_ids: tuple[str, ...], version: str = "2026-01-22", base_url: str = "https://connect.squareupsandbox.com", post: Callable[[str, dict, dict], dict] | None = None, max_pages: int = 100_000):
+        self.location_ids, self.base_url, self.max_pages = tuple(location_ids), base_url.rstrip("/"), max_pages
         self.headers = {"Authorization": f"Bearer {access_token}", "Square-Version": version, "Content-Type": "application/json", "Accept": "application/json"}
         self.post = post or _post
 
@@ -146,30 +158,21 @@ class OrderSearchSource:
         }
         return body | ({"cursor": cursor} if cursor else {})
 
-    def search(self, window: ExtractionWindow, page_size: int = 100, max_pages: int = 100_000) -> list[dict]:
-        """All orders of the window, page by page until there is no cursor; a cursor that comes twice is an error."""
-        self.validate_watermark_column(window.watermark_column)
-        orders, cursor, seen = [], None, set()
-        for _ in range(max_pages):
-            answer = self.post(f"{self.base_url}/v2/orders/search", self.request(window, page_size, cursor), self.headers)
-            orders += answer.get("orders", [])
-            cursor = answer.get("cursor")
-            if not cursor:
-                return orders
-            if cursor in seen:
-                raise RuntimeError(f"cursor {cursor!r} came twice")
-            seen.add(cursor)
-        raise RuntimeError(f"more than {max_pages} pages")
-
-    def pull_full(self, spark: SparkSession, page_size: int = 100) -> PullResult:
+    def page(self, window: ExtractionWindow, page_size: int, cursor: str | None) -> tuple[list[dict], str | None]:
+        """(orders, next cursor) of the page behind a cursor."""
+        answer = self.post(f"{self.base_url}/v2/orders/search", self.request(window, page_size, cursor), self.headers)
+        return answer.get("orders", []), answer.get("cursor")
+
+    def pull_full(self, spark: SparkSession, page_size: int, landing: Landing) -> PullResult:
         raise NotImplementedError("orders are searched by a window; run this source incrementally")
 
-    def pull_incremental(self, spark: SparkSession, page_size: int, window: ExtractionWindow) -> PullResult:
-        orders = self.search(window, page_size)
-        empty = {n: frame_of(spark, n, [], check=False) for n in RECORDS}
-        rows = spark.createDataFrame([(k, x.get("id"), json.dumps(x, sort_keys=True)) for k, x in enumerate(orders, 1)], "source_ref int, order_id string, raw_payload string")
-        meta = {"source_system": self.source_system, "native_incremental": True, "selection_strategy": "server_side_search_orders", "low_boundary": "inclusive", "high_boundary": "inclusive", "sort_field": SEARCH_FIELDS[window.watermark_column], "sort_order": "ASC", "orders_pulled": len(orders)}
-        return PullResult(empty | {"orders": rows}, meta | window.meta())
+    def pull_incremental(self, spark: SparkSession, page_size: int, window: ExtractionWindow, landing: Landing) -> PullResult:
+        self.validate_watermark_column(window.watermark_column)
+        pages, before = landing.pull(lambda cursor: self.page(window, page_size, cursor), self.max_pages)
+        raw = landing.records(spark)
+        orders = raw.select(F.from_json("raw_payload", SEARCH_ORDER).alias("r"), "source_ref", "raw_payload").select("r.*", "source_ref", "raw_payload")
+        meta = {"source_system": self.source_system, "selection": "search by time, both ends included", "sorted_by": SEARCH_FIELDS[window.watermark_column], "pages": pages, "pages_of_earlier_pulls": before, "landing": landing.path()}
+        return PullResult({"orders": orders}, meta | window.meta())
 
 
 def _post(url: str, body: dict, headers: dict) -> dict:
@@ -177,7 +180,7 @@ def _post(url: str, body: dict, headers: dict) -> dict:
         return json.load(r)
 
 
-REGISTRY: dict[str, Callable[[], SourceAdapter]] = {"dummyjson": ShopSource}
+REGISTRY: dict[str, Callable[[], SourceAdapter]] = {ShopSource.source_system: ShopSource, OrderSearchSource.source_system: OrderSearchSource.from_env}
 
 
 def get_source_adapter(name: str) -> SourceAdapter:
@@ -186,7 +189,7 @@ def get_source_adapter(name: str) -> SourceAdapter:
     return REGISTRY[name]()
 
 
-def extract_snapshots(root: str, client: Client | None = None, page_size: int = 100) -> dict:
+def extract_snapshots(spark: SparkSession, root: str, source: ShopSource | None = None, page_size: int = 100) -> dict[str, str]:
     """Pull the shop's resources and keep them as a snapshot; the files written, by resource."""
-    source = ShopSource(client)
-    return write_snapshot({n: source.client.fetch_all(n, page_size).items for n in RECORDS}, root, page_size)
+    source = source or ShopSource()
+    return {n: write_resource(root, n, source.pages(spark, n, page_size), page_size) for n in RECORDS}

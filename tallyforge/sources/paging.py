@@ -1,4 +1,4 @@
-"""Offset paging with retries and a request rate limit, on the driver: a source's rate limit is global, so it is one reader."""
+"""GET of pages of records, with retries and a limit of the request rate, and the check of a page."""
 
 from __future__ import annotations
 
@@ -7,43 +7,11 @@ import random
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable
-from dataclasses import dataclass
 
 #: Statuses worth another attempt.
 RETRY = {408, 429, 500, 502, 503, 504}
 
 
-@dataclass(frozen=True)
-class Pages:
-    items: list
-    total: int
-    pages: int
-
-
-def fetch_all(page: Callable[[int, int], dict], name: str, page_size: int = 100, max_pages: int = 1000) -> Pages:
-    """page(limit, skip) -> {name: [...], total, skip, limit}. Stops at an empty page or when `total` items are there."""
-    items: list = []
-    seen: set[int] = set()
-    total, skip, n = None, 0, 0
-    while True:
-        if n >= max_pages:
-            raise RuntimeError(f"more than {max_pages} pages")
-        p = checked_page(page(page_size, skip), name)
-        n += 1
-        if total is None:
-            total = p["total"]
-        elif p["total"] != total:
-            raise RuntimeError(f"total changed from {total} to {p['total']} while paging")
-        if p["skip"] in seen:
-            raise RuntimeError(f"page at {p['skip']} came twice")
-        seen.add(p["skip"])
-        items += p[name]
-        if not p[name] or len(items) >= total:
-            return Pages(items[:total], total, n)
-        skip = p["skip"] + p["limit"]
-
-
 def checked_page(page: dict, name: str) -> dict:
     """A page whose list and numbers are what they must be."""
     whole = lambda k, low: isinstance(page.get(k), int) and not isinstance(page[k], bool) and page[k] >= low
@@ -84,6 +52,3 @@ class Client:
             delay = min(self.backoff * 2 ** (attempt - 1), self.max_backoff)
             self.sleep(float(after) if after and after.replace(".", "", 1).isdigit() else delay * (1 + random.random() / 4))
         raise AssertionError("unreachable")
-
-    def fetch_all(self, resource: str, page_size: int = 100) -> Pages:
-        return fetch_all(lambda limit, skip: self.get(resource, limit, skip), resource, page_size)

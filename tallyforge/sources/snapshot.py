@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
 import json
-import os
-import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +42,7 @@ def read_resource(spark: SparkSession, root: str | Path, name: str) -> DataFrame
     files = Files(spark, root)
     for kind, reader in (("jsonl", "json"), ("parquet", "parquet")):
         if files.exists(f"{name}.{kind}"):
-            rows = spark.read.schema(f"{RECORDS[name]}, source_ref int").format(reader).load(files.path(f"{name}.{kind}"))
+            rows = spark.read.schema(f"{RECORDS[name]}, source_ref bigint").format(reader).load(files.path(f"{name}.{kind}"))
             fields = [c for c in rows.columns if c != "source_ref"]
             return checked_records(rows.withColumn("raw_payload", F.to_json(F.struct(*fields))), name, f"{name}.{kind}")
     if not files.exists(f"{name}.json"):
@@ -52,7 +51,7 @@ def read_resource(spark: SparkSession, root: str | Path, name: str) -> DataFrame
     ok = page.select(F.expr(f"{name} is not null and {_int('total', 0)} and {_int('skip', 0)} and {_int('limit', 1)}").alias("ok")).collect()
     if len(ok) != 1 or not ok[0]["ok"]:
         raise ValueError(f"{name}.json is not a page of {name}")
-    rows = page.select(F.posexplode(name).alias("pos", "r")).select("r.*", (F.col("pos") + 1).alias("source_ref"), F.to_json("r").alias("raw_payload"))
+    rows = page.select(F.posexplode(name).alias("pos", "r")).select("r.*", (F.col("pos") + 1).cast("bigint").alias("source_ref"), F.to_json("r").alias("raw_payload"))
     return checked_records(rows, name, f"{name}.json")
 
 
@@ -77,16 +76,29 @@ def read_snapshot(spark: SparkSession, root: str | Path) -> dict[str, DataFrame]
     return {n: read_resource(spark, root, n) for n in RECORDS}
 
 
-def write_snapshot(bundle: dict[str, list[dict]], root: str | Path, page_size: int | None = None) -> dict[str, Path]:
-    """One file a resource, each put in place whole."""
-    root = Path(root)
-    root.mkdir(parents=True, exist_ok=True)
+def write_resource(root: str | Path, name: str, rows: DataFrame, page_size: int) -> str:
+    """One envelope of a resource's records (source_ref, raw_payload), in their order, put in place whole, on any file system.
+
+    Records pass through the driver one by one, as an envelope is one JSON document; a resource too large for that is written
+    with rows.write as JSON Lines instead, which read_resource reads as well.
+    """
+    files = Files(rows.sparkSession, root)
+    ordered = rows.orderBy("source_ref").select("raw_payload").persist()
+    try:
+        n = ordered.count()
+        head = json.dumps({"limit": page_size or max(n, 1), "skip": 0, "total": n})[:-1]
+        records = (r["raw_payload"] for r in ordered.toLocalIterator())
+        pieces = itertools.chain([f"{head}, {json.dumps(name)}: [\n"], (f"{', ' if k else ''}{x}\n" for k, x in enumerate(records)), ["]}\n"])
+        files.write_all(f"{name}.json", pieces)
+    finally:
+        ordered.unpersist()
+    return files.path(f"{name}.json")
+
+
+def write_snapshot(spark: SparkSession, bundle: dict[str, list[dict]], root: str | Path, page_size: int | None = None) -> dict[str, str]:
+    """A snapshot of records that are at hand; the files written, by resource."""
     out = {}
-    for name, rows in bundle.items():
-        body = {name: rows, "total": len(rows), "skip": 0, "limit": page_size or max(len(rows), 1)}
-        fd, temp = tempfile.mkstemp(dir=root, suffix=".tmp")
-        with os.fdopen(fd, "w", encoding="utf-8") as f:
-            json.dump(body, f, sort_keys=True, indent=2)
-        out[name] = root / f"{name}.json"
-        os.replace(temp, out[name])
+    for name, records in bundle.items():
+        rows = spark.createDataFrame([(k, json.dumps(x, sort_keys=True)) for k, x in enumerate(records, 1)], "source_ref bigint, raw_payload string")
+        out[name] = write_resource(root, name, rows, page_size or 0)
     return out

@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import gates, quality, staging, warehouse
+from tallyforge.operators import gates, mappings, quality, warehouse
 from tallyforge.schemas import RECORDS, STAGED
 
 AT = datetime(2025, 1, 1, tzinfo=timezone.utc)
@@ -18,7 +18,7 @@ def staged(spark, carts, products=((10, "Tea", "Groceries", "4.99", "3"),), user
     u = records(spark, "users", [(str(i), f, l, None, None, None, (None, "UK"), None, k, "{}") for k, (i, f, l) in enumerate(users, 1)])
     p = records(spark, "products", [(str(i), t, c, price, stock, None, None, None, k, "{}") for k, (i, t, c, price, stock) in enumerate(products, 1)])
     c = records(spark, "carts", [(str(i), str(user), "9.98", total, str(len(lines)), "2", [(str(pid), None, str(q), "4.99", "9.98", None, "9.98") for pid, q in lines], k, "{}") for k, (i, user, total, lines) in enumerate(carts, 1)])
-    return staging.stage_all(u, p, c)
+    return mappings.stage_all({"users": u, "products": p, "carts": c})
 
 
 def test_smoke_and_gates(spark):
