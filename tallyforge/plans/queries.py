@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import derive as D
-from tallyforge.operators import gates, quality, staging, warehouse
+from tallyforge.operators import constraints, gates, quality, search_orders, staging, warehouse
+from tallyforge.operators.constraints import Rules
 from tallyforge.plans import metrics, views
-from tallyforge.schemas import STAGED
+from tallyforge.schemas import SEARCH_ORDER, STAGED
 
 AT = datetime(2025, 1, 1, tzinfo=timezone.utc)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -300,11 +301,11 @@ def records(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     users = named.select(
         text(c("c_custkey")).alias("id"), F.when(blank, " ").otherwise(pad(c("c_name"))).alias("firstName"), F.when(blank, "").otherwise(F.when(c("c_custkey") % 3 > 0, c("c_mktsegment"))).alias("lastName"),
         F.concat(F.lit(" "), c("c_name"), F.lit("@Mail.COM")).alias("email"), null.alias("phone"), F.struct(c("c_mktsegment").alias("city"), c("n_name").alias("country")).alias("address"), F.struct(pad(c("c_mktsegment")).alias("name")).alias("company"),
-        (c("c_custkey") + 1).cast("int").alias("source_ref"), F.lit("{}").alias("raw_payload"),
+        (c("c_custkey") + 1).cast("bigint").alias("source_ref"), F.lit("{}").alias("raw_payload"),
     )
     products = read("part").select(
         text(c("p_partkey")).alias("id"), F.when(c("p_partkey") % 40 == 0, " ").otherwise(c("p_name")).alias("title"), c("p_type").alias("category"), text(D.money(c("p_retailprice"))).alias("price"), text(c("p_size")).alias("stock"), c("p_brand").alias("brand"),
-        text(c("p_size")).alias("discountPercentage"), text((c("p_size") / 10).cast("decimal(6,3)")).alias("rating"), (c("p_partkey") + 1).cast("int").alias("source_ref"), F.lit("{}").alias("raw_payload"),
+        text(c("p_size")).alias("discountPercentage"), text((c("p_size") / 10).cast("decimal(6,3)")).alias("rating"), (c("p_partkey") + 1).cast("bigint").alias("source_ref"), F.lit("{}").alias("raw_payload"),
     )
     ext = D.money(c("l_extendedprice"))
     paid = D.money(ext * (F.lit(1).cast("decimal(8,4)") - D.fraction(c("l_discount"))))
@@ -317,7 +318,7 @@ def records(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     empty = F.expr("cast(array() as array<struct<id:string,title:string,quantity:string,price:string,total:string,discountPercentage:string,discountedTotal:string>>)")
     carts = read("orders").join(lines, "o_orderkey", "left").select(
         text(c("o_orderkey")).alias("id"), text(c("o_custkey")).alias("userId"), text(D.money(c("o_totalprice"))).alias("total"), text(D.money(c("o_totalprice"))).alias("discountedTotal"),
-        text(F.coalesce(F.size("products"), F.lit(0))).alias("totalProducts"), text(F.coalesce("q", F.lit(0))).alias("totalQuantity"), F.coalesce("products", empty).alias("products"), (c("o_orderkey") + 1).cast("int").alias("source_ref"), F.lit("{}").alias("raw_payload"),
+        text(F.coalesce(F.size("products"), F.lit(0))).alias("totalProducts"), text(F.coalesce("q", F.lit(0))).alias("totalQuantity"), F.coalesce("products", empty).alias("products"), (c("o_orderkey") + 1).cast("bigint").alias("source_ref"), F.lit("{}").alias("raw_payload"),
     )
     return {"users": users, "products": products, "carts": carts}
 
@@ -339,12 +340,12 @@ b AS (SELECT order_id, lines, quantity, coalesce(sum(lines) OVER (ORDER BY order
 o AS (SELECT o_orderkey AS order_id, o_custkey AS customer_id, strftime(TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey % 365 AS INTEGER)) + to_minutes((o_custkey * 17 + o_orderkey) % 1440) + to_seconds(o_orderkey % 60), '%Y-%m-%d %H:%M:%S') AS order_ts, u.country,
   CASE WHEN lines = 0 OR quantity = 0 THEN 'canceled' ELSE {STATUS} END AS status, {MONEY('o_totalprice')} AS total_usd, CAST(lines AS INTEGER) AS total_products, CAST(quantity AS INTEGER) AS total_quantity
   FROM orders JOIN b ON b.order_id = o_orderkey LEFT JOIN u ON u.customer_id = o_custkey),
-x AS (SELECT l1.*, CAST(before + line_id AS INTEGER) AS source_ref, p.sku FROM l1 JOIN b USING (order_id) LEFT JOIN p USING (product_id)),
+x AS (SELECT l1.*, CAST(before + line_id AS BIGINT) AS source_ref, p.sku FROM l1 JOIN b USING (order_id) LEFT JOIN p USING (product_id)),
 i AS (SELECT order_id, CAST(line_id AS INTEGER) AS line_id, source_ref, product_id, sku, qty, ext AS unit_price_usd,
   CASE WHEN disc IS NULL OR ext <= 0 THEN CAST(0 AS DECIMAL(8,4)) ELSE CAST(CAST((20000 * CAST((ext - disc) * 100 AS HUGEINT) + CAST(ext * 100 AS HUGEINT)) // (2 * CAST(ext * 100 AS HUGEINT)) AS DOUBLE) / 10000 AS DECIMAL(8,4)) END AS discount_pct,
   CAST(ext * qty AS DECIMAL(12,2)) AS gross_usd, coalesce(disc, CAST(ext * qty AS DECIMAL(12,2))) AS net_usd FROM x WHERE qty > 0 AND sku IS NOT NULL),
-r AS (SELECT 'stg_customers' AS table_name, CAST(c_custkey + 1 AS INTEGER) AS source_ref, 'missing_name' AS reason_code FROM u0 WHERE blank
-  UNION ALL SELECT 'stg_products', CAST(p_partkey + 1 AS INTEGER), 'missing_product_fields' FROM part WHERE p_partkey % 40 = 0
+r AS (SELECT 'stg_customers' AS table_name, CAST(c_custkey + 1 AS BIGINT) AS source_ref, 'missing_name' AS reason_code FROM u0 WHERE blank
+  UNION ALL SELECT 'stg_products', CAST(p_partkey + 1 AS BIGINT), 'missing_product_fields' FROM part WHERE p_partkey % 40 = 0
   UNION ALL SELECT 'stg_order_items', source_ref, CASE WHEN qty <= 0 THEN 'invalid_quantity' ELSE 'unknown_product' END FROM x WHERE qty <= 0 OR sku IS NULL)
 """
 
@@ -375,12 +376,17 @@ def map_rejects(spark, d):
     return mapped(spark, d)[1].select("table_name", "source_ref", "reason_code")
 
 
-@query(MAPPED + """, c AS (SELECT 'stg_customers' AS table_name, count(*) AS n FROM u UNION ALL SELECT 'stg_products', count(*) FROM p UNION ALL SELECT 'stg_orders', count(*) FROM o UNION ALL SELECT 'stg_order_items', count(*) FROM i)
-SELECT c.table_name, c.n AS inserted_count, CAST(0 AS BIGINT) AS duplicate_reject_count, count(r.table_name) AS explicit_reject_count FROM c LEFT JOIN r USING (table_name) GROUP BY 1, 2""")
+@query(MAPPED + """, c AS (SELECT 'stg_customers' AS table_name, count(*) AS n, 0 AS again FROM u UNION ALL SELECT 'stg_products', count(*), 0 FROM p UNION ALL SELECT 'stg_orders', count(*), count(*) FILTER (WHERE order_id % 10 = 0) FROM o UNION ALL SELECT 'stg_order_items', count(*), count(*) FILTER (WHERE order_id % 10 = 0) FROM i),
+bad AS (SELECT table_name FROM r UNION ALL SELECT 'stg_order_items' FROM x WHERE order_id % 10 = 0 AND (qty <= 0 OR sku IS NULL))
+SELECT c.table_name, c.n AS inserted_count, CAST(any_value(again) AS BIGINT) AS duplicate_reject_count, count(bad.table_name) AS explicit_reject_count FROM c LEFT JOIN bad USING (table_name) GROUP BY 1, 2""")
 def load_results(spark, d):
-    rows, bad = mapped(spark, d)
-    staged, repeats = staging.split_first(rows)
-    return staging.load_results(staged, bad.unionByName(repeats))
+    """Every tenth cart comes twice: its header and its lines are repeats the second time, and its faulty lines rejects again."""
+    r = records(spark, d)
+    again = r["carts"].where("cast(id as bigint) % 10 = 0").withColumn("source_ref", F.col("source_ref") + (1 << 40))
+    users, products = staging.tag_users(r["users"]), staging.tag_products(r["products"])
+    known = lambda rows, *columns: rows.where("reason_code is null").select(*columns)
+    orders, items = staging.tag_carts(r["carts"].unionByName(again), known(users, "customer_id", "country"), known(products, "product_id", "sku"))
+    return staging.load_results(dict(zip(STAGED, (users, products, orders, items))))
 
 
 SUMMARY = """, t AS (SELECT table_name, count(*) AS rejects, count(DISTINCT reason_code) AS reasons FROM r GROUP BY 1), c AS (SELECT 'stg_customers' AS table_name, 0 AS relations, 0 AS broken UNION ALL SELECT 'stg_products', 0, 0
@@ -411,11 +417,11 @@ CASE WHEN o_orderkey % 11 > 0 THEN o_orderdate + to_seconds(o_orderkey % 86400)
 LATEST = "latest AS (SELECT run_id FROM l WHERE status = 'succeeded' ORDER BY finished_at DESC NULLS LAST, started_at DESC NULLS FIRST LIMIT 1) "
 
 
-@query(LEDGER + "w AS (SELECT run_id, strftime(watermark_high, '%Y-%m-%d %H:%M:%S') AS watermark_high FROM l WHERE status = 'succeeded' AND mode = 'incremental' AND source_system = 's1' AND watermark_column = 'order_ts' AND watermark_high IS NOT NULL AND finished_at IS NOT NULL ORDER BY finished_at DESC LIMIT 1) SELECT * FROM w")
+@query(LEDGER + "w AS (SELECT run_id, strftime(watermark_high, '%Y-%m-%d %H:%M:%S') AS watermark_high FROM l WHERE status = 'succeeded' AND mode = 'incremental' AND source_system = 's1' AND watermark_column = 'order_ts' AND watermark_high IS NOT NULL ORDER BY finished_at DESC NULLS FIRST, started_at DESC NULLS FIRST, run_id DESC LIMIT 1) SELECT * FROM w")
 def latest_watermark(spark, d):
     from tallyforge.sources.window import latest_watermark as top
 
-    return top(ledger(spark, d).where("finished_at is not null"), "s1", "order_ts").select("run_id", F.date_format("watermark_high", "yyyy-MM-dd HH:mm:ss").alias("watermark_high"))
+    return top(ledger(spark, d), "s1", "order_ts").select("run_id", F.date_format("watermark_high", "yyyy-MM-dd HH:mm:ss").alias("watermark_high"))
 
 
 @query(LEDGER + LATEST + "SELECT run_id FROM latest")
@@ -426,19 +432,23 @@ def latest_succeeded_run(spark, d):
 
 
 def _views(spark, d) -> dict[str, DataFrame]:
-    """The views over dimension and quality rows of several runs, of which one is the latest that succeeded."""
-    t = Tables(spark, d)
-    runs = ledger(spark, d).select("run_id")
-    dim = warehouse.dim_customer(t.customers(), "x", AT).withColumn("source_run_id", (F.col("customer_id") % 5).cast("string"))
-    latest = ledger(spark, d).where("cast(run_id as bigint) < 5")
-    dq = runs.where("cast(run_id as bigint) < 5").join(F.broadcast(quality.volume_and_keys(t.customers(), "stg_customers")), F.lit(True))  # two rows for each of five runs
-    return views.view_frames({"dim_customer": dim, "fact_orders": t.fact_orders(), "fact_order_items": t.fact_items()}, dq, latest)
-
-
-FEW = LEDGER.replace("FROM orders), ", "FROM orders WHERE o_orderkey < 5), ") + LATEST
-
-
-@query(FEW + ", c AS (SELECT c_custkey AS customer_id, trim(c_name) AS full_name, n_name AS country, CAST(c_custkey % 5 AS VARCHAR) AS source_run_id FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT c.* FROM c WHERE source_run_id IN (SELECT run_id FROM latest)")
+    """The views over dimension and quality rows of all runs of the ledger: a customer's row is of the run that ended last in its
+    nation, and each run has stored two metrics of its lines."""
+    t, c = Tables(spark, d), F.col
+    runs = ledger(spark, d)
+    of_nation = t.read("customer").select("c_custkey", c("c_nationkey").alias("nation"))
+    ended = runs.where("status = 'succeeded'").join(t.read("orders").select(c("o_orderkey").cast("string").alias("run_id"), c("o_custkey").alias("c_custkey")), "run_id").join(of_nation, "c_custkey")
+    # by the end, nulls last, then by the start
+    last = ended.groupBy("nation").agg(F.max_by("run_id", F.struct(F.coalesce(c("finished_at"), F.lit("0001-01-01").cast("timestamp")).alias("a"), c("started_at").alias("b"))).alias("source_run_id"))
+    dim = warehouse.dim_customer(t.customers(), "x", AT).drop("source_run_id").join(of_nation.withColumnRenamed("c_custkey", "customer_id").join(F.broadcast(last), "nation"), "customer_id").drop("nation")  # a row for each of 25 nations
+    lines = t.read("lineitem").groupBy(c("l_orderkey").cast("string").alias("run_id"), "l_linenumber").agg(F.count(F.lit(1)).alias("n")).groupBy("run_id").agg(F.sum("n").alias("rows"), F.count_if(c("n") > 1).alias("repeated"))
+    metric = lambda name, value: F.struct(F.lit(name).alias("metric_name"), D.six_places(c(value)).alias("metric_value"))
+    dq = lines.select("run_id", F.explode(F.array(metric("row_count", "rows"), metric("duplicate_keys.count", "repeated"))).alias("m")).select("run_id", "m.*")
+    return views.view_frames({"dim_customer": dim, "fact_orders": t.fact_orders(), "fact_order_items": t.fact_items()}, dq, runs)
+
+
+@query(LEDGER + LATEST + """, n AS (SELECT c_nationkey AS nation, run_id AS source_run_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY finished_at DESC NULLS LAST, started_at DESC NULLS FIRST) AS k FROM l JOIN orders ON CAST(o_orderkey AS VARCHAR) = run_id JOIN customer ON c_custkey = o_custkey WHERE status = 'succeeded')
+SELECT c_custkey AS customer_id, trim(c_name) AS full_name, n_name AS country, source_run_id FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN n ON n.nation = c_nationkey AND k = 1 WHERE source_run_id IN (SELECT run_id FROM latest)""")
 def view_dim_customer_latest(spark, d):
     return _views(spark, d)["v_dim_customer_latest"].select("customer_id", "full_name", "country", "source_run_id")
 
@@ -463,7 +473,8 @@ def view_fact_order_items_latest(spark, d):
     return _views(spark, d)["v_fact_order_items_latest"].drop("unit_price_usd", "source_run_id", "built_at")
 
 
-@query(FEW + "SELECT run_id, 'row_count' AS metric_name, CAST((SELECT count(*) FROM customer) AS DECIMAL(18,6)) AS metric_value FROM latest UNION ALL SELECT run_id, 'duplicate_keys.count', CAST(0 AS DECIMAL(18,6)) FROM latest")
+@query(LEDGER + LATEST + """, k AS (SELECT l_linenumber, count(*) AS n FROM lineitem WHERE CAST(l_orderkey AS VARCHAR) IN (SELECT run_id FROM latest) GROUP BY 1), s AS (SELECT sum(n) AS n, count(*) FILTER (WHERE n > 1) AS repeated FROM k HAVING count(*) > 0)
+SELECT run_id, 'row_count' AS metric_name, CAST(n AS DECIMAL(18,6)) AS metric_value FROM latest, s UNION ALL SELECT run_id, 'duplicate_keys.count', CAST(repeated AS DECIMAL(18,6)) FROM latest, s""")
 def view_dq_results_latest(spark, d):
     return _views(spark, d)["v_dq_results_latest"].select("run_id", "metric_name", "metric_value")
 
@@ -476,5 +487,98 @@ def dim_date_append_only(spark, d):
     return warehouse.append_new(old, warehouse.calendar(t.orders()).select("date", F.lit("r2").alias("built")), ["date"])
 
 
+#: Promises about the star schema, some of which its rows break.
+STAR_RULES = {
+    "customer": Rules(("c_custkey", "c_name"), (), ("c_custkey",), (("c_nationkey", "nation", "n_nationkey"),)),
+    "orders": Rules(("o_orderkey", "o_custkey"), (("status", "o_orderstatus in ('F', 'O')"), ("price", "o_totalprice > 1000")), ("o_orderkey",), (("o_custkey", "customer", "c_custkey"),)),
+    "lineitem": Rules(("l_orderkey", "l_linenumber"), (("quantity", "l_quantity between 1 and 40"),), ("l_orderkey", "l_linenumber"), (("l_orderkey", "orders", "o_orderkey"), ("l_partkey", "part", "p_partkey"))),
+    "events": Rules(("event_id", "user_id"), (), (), (("user_id", "part", "p_partkey"),)),
+}
+
+
+def _rules_sql() -> str:
+    out = []
+    for table, r in STAR_RULES.items():
+        row = lambda rule, n: f"SELECT '{table}' AS table_name, '{rule}' AS rule, {n} AS n"  # noqa: B023, E731
+        out += [row(f"not_null({c})", "count(*)") + f" FROM {table} WHERE {c} IS NULL" for c in r.not_null]
+        out += [row(f"check({name})", "count(*)") + f" FROM {table} WHERE NOT ({sql})" for name, sql in r.checks]
+        if r.key:
+            out.append(row(f"unique({', '.join(r.key)})", "count(*)") + f" FROM (SELECT 1 FROM {table} GROUP BY {', '.join(r.key)} HAVING count(*) > 1)")
+        out += [row(f"references({c}: {other}.{key})", "count(*)") + f" FROM {table} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {key} FROM {other})" for c, other, key in r.references]
+    return " UNION ALL ".join(out)
+
+
+@query(_rules_sql())
+def constraint_violations(spark, d):
+    read = Tables(spark, d).read
+    return constraints.violations({t: read(t) for t in (*STAR_RULES, "nation", "part")}, STAR_RULES)
+
+
+def search_orders_of(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as a search service gives them, as JSON: guests, foreign money, tenders, refunds, and lines without a quantity, with
+    a broken one, in no catalogue, or without a gross amount."""
+    read, c = Tables(spark, d).read, F.col
+    cents = lambda x: (D.money(x) * 100).cast("bigint")
+    text = lambda x: x.cast("string")
+    usd = lambda x: F.struct(x.alias("amount"), F.lit("USD").alias("currency"))
+    qty, base = c("l_quantity").cast("int"), cents(c("l_extendedprice"))
+    gross = base * qty
+    line = F.struct(
+        text(c("l_linenumber")).alias("uid"), F.concat(F.lit(" part "), text(c("l_partkey"))).alias("name"), F.when(qty <= 2, "0").when(qty == 13, "13.5").otherwise(text(qty)).alias("quantity"), F.when(c("l_partkey") % 5 > 0, F.concat(F.lit("P-"), text(c("l_partkey")))).alias("catalog_object_id"),
+        usd(base).alias("base_price_money"), F.when(c("l_linenumber") % 3 > 0, usd(gross)).alias("gross_sales_money"), F.when(c("l_linenumber") % 2 > 0, usd(F.floor(gross * (c("l_discount") * 100).cast("decimal(4,0)") / 100).cast("bigint"))).alias("total_discount_money"),
+    )
+    sort = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate", "l_tax")
+    lines = read("lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.transform(F.sort_array(F.collect_list(F.struct(sort.alias("k"), line.alias("v")))), lambda x: x["v"]).alias("line_items"))
+    total, key = cents(c("o_totalprice")), c("o_orderkey")
+    pay = lambda when, amount: F.when(when, F.array(F.struct(F.lit("COMPLETED").alias("status"), usd(amount).alias("amount_money"))))
+    orders = read("orders").join(lines, "o_orderkey", "left").select(
+        (key + 1).alias("source_ref"),
+        F.to_json(F.struct(
+            F.concat(F.lit("O-"), text(key)).alias("id"), F.when(c("o_custkey") % 10 > 0, F.concat(F.lit("C-"), text(c("o_custkey")))).alias("customer_id"), F.element_at(F.create_map(*(F.lit(x) for x in ("F", "COMPLETED", "O", "OPEN", "P", "CANCELED"))), c("o_orderstatus")).alias("state"),
+            F.date_format(c("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), F.struct(total.alias("amount"), F.when(key % 97 == 0, "EUR").otherwise("USD").alias("currency")).alias("total_money"), "line_items",
+            pay(key % 4 == 0, total).alias("tenders"), pay(key % 20 == 0, F.lit(100).cast("bigint")).alias("refunds"),
+        )).alias("raw_payload"),
+    )
+    return orders.select(F.from_json("raw_payload", SEARCH_ORDER).alias("r"), "source_ref", "raw_payload").select("r.*", "source_ref", "raw_payload")
+
+
+SEARCHED = f"""WITH l AS (SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_shipdate, l_tax) AS line_id, CAST(l_quantity AS INTEGER) AS q,
+  CAST({MONEY('l_extendedprice')} * 100 AS BIGINT) AS base, CAST(l_discount * 100 AS DECIMAL(4,0)) AS pct FROM lineitem),
+g AS (SELECT *, CASE WHEN l_linenumber % 3 > 0 THEN base * q WHEN q <= 2 THEN 0 ELSE base * q END AS gross, CASE WHEN l_linenumber % 2 > 0 THEN CAST(floor(CAST(base * q AS HUGEINT) * CAST(pct AS HUGEINT) // 100) AS BIGINT) ELSE 0 END AS off FROM l),
+i AS (SELECT g.*, CASE WHEN l_orderkey % 97 = 0 THEN 'rejected_order' WHEN q <= 2 THEN 'invalid_quantity' WHEN q = 13 THEN 'fractional_quantity' END AS why FROM g),
+n AS (SELECT l_orderkey, count(*) AS lines, sum(CASE WHEN q <= 2 THEN 0 WHEN q = 13 THEN 13.5 ELSE q END) AS units FROM l GROUP BY 1)
+"""
+
+
+@query(SEARCHED + f"""SELECT CAST(o_orderkey + 1 AS BIGINT) AS source_ref, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS order_ts, CASE WHEN o_orderstatus = 'P' THEN 'canceled' WHEN o_orderkey % 20 = 0 THEN 'refunded' WHEN o_orderstatus = 'F' OR o_orderkey % 4 = 0 THEN 'paid' ELSE 'pending' END AS status, {MONEY('o_totalprice')} AS total_usd,
+CAST(coalesce(lines, 0) AS INTEGER) AS total_products, CAST(floor(coalesce(units, 0)) AS INTEGER) AS total_quantity, o_custkey % 10 = 0 AS guest FROM orders LEFT JOIN n ON l_orderkey = o_orderkey WHERE o_orderkey % 97 > 0""")
+def search_order_headers(spark, d):
+    rows = staging.parted(search_orders.tag_orders(search_orders_of(spark, d)), "stg_orders")[0]
+    return rows.select("source_ref", F.date_format("order_ts", "yyyy-MM-dd HH:mm:ss").alias("order_ts"), "status", "total_usd", "total_products", "total_quantity", (F.col("customer_id") == 0).alias("guest"))
+
+
+@query(SEARCHED + """SELECT CAST((l_orderkey + 1) * 10000 + line_id AS BIGINT) AS source_ref, CAST(line_id AS INTEGER) AS line_id, q AS qty, CAST(base / 100.0 AS DECIMAL(12,2)) AS unit_price_usd, CAST(gross / 100.0 AS DECIMAL(12,2)) AS gross_usd, CAST((gross - least(off, gross)) / 100.0 AS DECIMAL(12,2)) AS net_usd,
+CAST(CAST(CASE WHEN gross > 0 THEN (20000 * CAST(least(off, gross) AS HUGEINT) + gross) // (2 * CAST(gross AS HUGEINT)) ELSE 0 END AS DOUBLE) / 10000 AS DECIMAL(8,4)) AS discount_pct FROM i WHERE why IS NULL""")
+def search_order_items(spark, d):
+    return staging.parted(search_orders.tag_items(search_orders_of(spark, d)), "stg_order_items")[0].select("source_ref", "line_id", "qty", "unit_price_usd", "gross_usd", "net_usd", "discount_pct")
+
+
+@query(SEARCHED + "SELECT 'stg_orders' AS table_name, CAST(o_orderkey + 1 AS BIGINT) AS source_ref, 'unsupported_currency' AS reason_code FROM orders WHERE o_orderkey % 97 = 0 UNION ALL SELECT 'stg_order_items', CAST((l_orderkey + 1) * 10000 + line_id AS BIGINT), why FROM i WHERE why IS NOT NULL")
+def search_order_rejects(spark, d):
+    o = search_orders_of(spark, d)
+    bad = staging.parted(search_orders.tag_orders(o), "stg_orders")[1].unionByName(staging.parted(search_orders.tag_items(o), "stg_order_items")[1])
+    return bad.select("table_name", "source_ref", "reason_code")
+
+
+@query(SEARCHED + """, k AS (SELECT DISTINCT CASE WHEN l_partkey % 5 > 0 THEN 'P-' || l_partkey ELSE 'name:part ' || l_partkey END AS key, 'part ' || l_partkey AS title FROM l WHERE l_orderkey % 97 > 0 AND l_orderkey IN (SELECT o_orderkey FROM orders)),
+p AS (SELECT title, count(*) AS products FROM k GROUP BY 1) SELECT 'product' AS kind, title AS name, products AS n FROM p
+UNION ALL SELECT 'customer', CASE WHEN o_custkey % 10 = 0 THEN 'guest' ELSE 'customer C-' || o_custkey END, 1 FROM orders WHERE o_orderkey % 97 > 0 GROUP BY 1, 2""")
+def search_order_dimensions(spark, d):
+    """Customers and products that the orders tell of, once each."""
+    o = search_orders_of(spark, d)
+    named = lambda rows, kind, name: rows.groupBy(F.lit(kind).alias("kind"), F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return named(search_orders.tag_products(o), "product", "title").unionByName(named(search_orders.tag_customers(o), "customer", "full_name"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return QUERIES["metric_revenue_by_day_country"](spark, d)
