@@ -12,7 +12,7 @@ SHARD_IDS ids within one range, stored as one binary record:
   document; rules as pairs of uint32 symbols; uint32 expansion lengths of the rules; symbols.
 Re-Pair: in each round the frequent pairs of neighbouring symbols (at least MIN_PAIR times; never across documents, never the
 end id) become nonterminals, from FIRST_RULE on, up to RULES a round, until no pair is frequent; overlaps are replaced left to
-right. Expansion lengths let a reader find a document's symbols, or an id inside a document, without expanding what lies before.
+right. Expansion lengths let a reader find an id inside a document without expanding what lies before it (Shard.ids).
 
 Records are written as a Parquet table in the shared folder, with an index of the ids before each range beside them, and read
 back; the results come from what was read.
@@ -245,7 +245,9 @@ def pack_shard(doc_ids: list[int | None], ids: list[np.ndarray], before: int) ->
 
 
 class Shard:
-    """A reader of one record. document(k) expands only that document's symbols."""
+    """A reader of one record. Any run of ids of a document is found by the lengths of what its symbols stand for: a bisection
+    among its symbols, then a walk down the rules of the first and the last one; no other rule is looked at but those of the
+    symbols in between. `visited` counts the rules that were."""
 
     def __init__(self, blob: bytes):
         magic, docs, rules, symbols, wide, self.before = struct.unpack_from("<4s4IQ", blob)
@@ -265,9 +267,47 @@ class Shard:
         self.rules, self.lengths = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules)
         self.symbols = take(f"<u{wide}", symbols).astype(np.uint32)
         self.starts = np.cumsum(self.widths, dtype=np.int64) - self.widths
+        self.visited = 0
+
+    def _sizes(self, symbols: np.ndarray) -> np.ndarray:
+        out = np.ones(len(symbols), np.int64)
+        rules = symbols >= FIRST_RULE
+        out[rules] = self.lengths[symbols[rules] - FIRST_RULE]
+        return out
+
+    def ids(self, k: int, i: int = 0, j: int | None = None) -> np.ndarray:
+        """Ids i..j (end exclusive, as slices have it) of document k."""
+        i, j, _ = slice(i, j).indices(int(self.counts[k]))
+        if i >= j:
+            return np.zeros(0, np.uint32)
+        own = self.symbols[self.starts[k] : self.starts[k] + self.widths[k]]
+        size = self._sizes(own)
+        ends = np.cumsum(size)
+        first, last = int(np.searchsorted(ends, i, "right")), int(np.searchsorted(ends, j, "left"))
+        out: list[int] = []
+        for m in range(first, last + 1):
+            at = int(ends[m] - size[m])
+            self._walk(int(own[m]), i - at, j - at, out)
+        return np.array(out, np.uint32)
+
+    def _walk(self, symbol: int, i: int, j: int, out: list[int]) -> None:
+        """Add ids i..j of what a symbol stands for."""
+        todo = [(symbol, i, j)]
+        while todo:
+            symbol, i, j = todo.pop()
+            if symbol < FIRST_RULE:
+                out.append(symbol)
+                continue
+            self.visited += 1
+            left, right = self.rules[symbol - FIRST_RULE].tolist()
+            n = int(self.lengths[left - FIRST_RULE]) if left >= FIRST_RULE else 1
+            if j > n and i < int(self.lengths[symbol - FIRST_RULE]):
+                todo.append((right, i - n, j - n))
+            if i < n:
+                todo.append((left, i, j))
 
     def document(self, k: int) -> np.ndarray:
-        return expand(self.symbols[self.starts[k] : self.starts[k] + self.widths[k]], self.rules, self.lengths)
+        return self.ids(k)
 
     def all(self) -> np.ndarray:
         return expand(self.symbols, self.rules, self.lengths)
