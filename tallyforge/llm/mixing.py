@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import durable, fresh
+from tallyforge.llm.common import durable, fresh, split_join
 
 BROADCAST_LEAVES, RANGES, SORT_ROWS = 100_000, 1024, 20_000
 
@@ -99,10 +99,11 @@ def mix(docs: DataFrame, path: list[str], weights: dict[tuple, float], budget: i
     else:
         count = tokens
     rows = docs.withColumn(leaf, F.to_json(F.array(*(F.col(f"`{c}`").cast("string") for c in path))))
-    have = {tuple(json.loads(r[0])): int(r[1] or 0) for r in rows.groupBy(leaf).agg(F.sum(count)).toLocalIterator()}
+    sums = [(r[0], int(r[1] or 0), r[2]) for r in rows.groupBy(leaf).agg(F.sum(count), F.count(F.lit(1))).toLocalIterator()]
+    names = {tuple(json.loads(k)): k for k, _, _ in sums}
+    have = {tuple(json.loads(k)): t for k, t, _ in sums}
     total = sum(have.values())
     want = allocate(have, weights, int(total * budget) if isinstance(budget, float) and budget <= 1 else int(budget), epochs)
-    names = {tuple(json.loads(k)): k for k in (r[0] for r in rows.select(leaf).distinct().toLocalIterator())}
     table = []
     for p, t in want.items():
         whole, rest = divmod(t, have[p]) if have[p] else (0, 0)
@@ -110,36 +111,58 @@ def mix(docs: DataFrame, path: list[str], weights: dict[tuple, float], budget: i
             whole, rest = epochs, 0
         table += [(names[p], e, None if e < whole else rest) for e in range(int(whole) + (rest > 0))]
     plan = spark.createDataFrame(table, f"`{leaf}` string, `{when}` int, `{left}` bigint")
-    small = F.broadcast if len(table) <= BROADCAST_LEAVES else lambda df: df
     order = F.xxhash64(F.lit(seed), F.col(when), F.col("doc_id"), F.xxhash64("text"))
-    taken = rows.join(small(plan), leaf).withColumn(hashed, order)
+    [size] = fresh(rows, "size")
+    sizes = spark.createDataFrame([(k, n) for k, _, n in sums], f"`{leaf}` string, `{size}` bigint") if len(table) > BROADCAST_LEAVES else None
+    docs_in_all = sum(n for _, _, n in sums)
+
+    def with_leaf(df: DataFrame, per_leaf: DataFrame, columns: list[str], how: str) -> DataFrame:
+        """df joined with what is known of its leaf (and epoch): by broadcast, or beyond BROADCAST_LEAVES with large leaves in parts."""
+        if sizes is None:
+            return df.join(F.broadcast(per_leaf), columns, how)
+        lists = per_leaf.groupBy(leaf).agg(F.collect_list(F.struct(*(c for c in per_leaf.columns if c != leaf))).alias("__plan")).join(sizes, leaf)  # an entry for each epoch
+        joined = split_join(df, lists, leaf, size, docs_in_all, "inner" if how == "inner" else "left")
+        if how == "inner":
+            return joined.withColumn("__p", F.explode("__plan")).select(*df.columns, *(F.col(f"__p.`{c}`").alias(c) for c in per_leaf.columns if c != leaf))
+        match = F.filter(F.coalesce("__plan", F.array()), lambda x: x[when] == F.col(when))
+        return joined.select(*df.columns, *(F.get(match, F.lit(0))[c].alias(c) for c in per_leaf.columns if c not in (leaf, when)))
+
+    taken = with_leaf(rows, plan, [leaf], "inner").withColumn(hashed, order)
     items = taken.where(F.col(left).isNotNull()).select(F.col(leaf).alias("leaf"), F.col(when).alias("epoch"), F.col(hashed).alias("h"), F.col(count).alias("t"))
-    ends = _ends(items, [r for r in table if r[2] is not None])
+    ends = _ends(items, [r for r in table if r[2] is not None], {k: n for k, _, n in sums})
     if ends is None:
         out = taken
     else:
         ends = ends.select(F.col("leaf").alias(leaf), F.col("epoch").alias(when), F.col("end").alias(end))
-        out = taken.join(small(ends), [leaf, when], "left").where(F.col(left).isNull() | F.col(end).isNull() | (F.col(hashed) < F.col(end)))
+        out = with_leaf(taken, ends, [leaf, when], "left").where(F.col(left).isNull() | F.col(end).isNull() | (F.col(hashed) < F.col(end)))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns), when)
 
 
-def _ends(items: DataFrame, partial: list[tuple]) -> DataFrame | None:
+def _ends(items: DataFrame, partial: list[tuple], docs: dict[str, int]) -> DataFrame | None:
     """leaf, epoch, end: a leaf's last epoch takes the documents whose hash is below end (null: all of them).
 
-    items: leaf, epoch, h, t (tokens) of the documents of last epochs; partial: (leaf, epoch, tokens to take)."""
+    items: leaf, epoch, h, t (tokens) of the documents of last epochs; partial: (leaf, epoch, tokens to take);
+    docs: number of documents of each leaf."""
     if not partial:
         return None
     spark = items.sparkSession
     # u: the hash with its sign bit turned, so that its bits from the top are its order
     items = durable(items.withColumn("u", F.col("h").bitwiseXOR(F.lit(-(1 << 63)))), "order")
-    small = F.broadcast if len(partial) <= BROADCAST_LEAVES else lambda df: df
+    of_last = sum(docs[leaf] for leaf, _, _ in partial)
+
+    def placed(grid: list[tuple], columns: str) -> DataFrame:
+        """items with what the grid (leaf, epoch, ...) says of their leaf: large leaves in parts where it is not broadcast."""
+        frame = spark.createDataFrame([(*g, docs[g[0]]) for g in grid], f"leaf string, epoch int, {columns}, docs bigint")
+        on = ["leaf", "epoch"]
+        return (items.join(F.broadcast(frame), on) if len(partial) <= BROADCAST_LEAVES else split_join(items, frame, on, "docs", of_last)).drop("docs")
+
     state = {(leaf, e): (0, 64, left) for leaf, e, left in partial}  # (top bits so far, bits below them, tokens still to take)
     done: dict[tuple, int | None] = {}
     step = RANGES.bit_length() - 1
     while state:
         signed = lambda x: x - (1 << 64) if x >> 63 else x
-        grid = spark.createDataFrame([(leaf, e, signed(top << bits) if bits < 64 else 0, bits, max(bits - step, 0), left) for (leaf, e), (top, bits, left) in state.items()], "leaf string, epoch int, top bigint, bits int, fine int, room bigint")
-        here = items.join(small(grid), ["leaf", "epoch"]).where("bits = 64 or shiftrightunsigned(u, bits) = shiftrightunsigned(top, bits)")
+        grid = [(leaf, e, signed(top << bits) if bits < 64 else 0, bits, max(bits - step, 0), left) for (leaf, e), (top, bits, left) in state.items()]
+        here = placed(grid, "top bigint, bits int, fine int, room bigint").where("bits = 64 or shiftrightunsigned(u, bits) = shiftrightunsigned(top, bits)")
         ranges = here.withColumn("r", F.expr(f"shiftrightunsigned(u, fine) & {RANGES - 1} & (shiftleft(1L, least(bits, 62)) - 1)"))
         got = ranges.groupBy("leaf", "epoch", "r", "room").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n"))
         w = W.partitionBy("leaf", "epoch").orderBy("r")
@@ -160,8 +183,7 @@ def _ends(items: DataFrame, partial: list[tuple]) -> DataFrame | None:
             else:
                 nxt[k] = now
         if short:  # few rows: a running sum over them
-            grid = spark.createDataFrame(short, "leaf string, epoch int, top bigint, bits int, room bigint")
-            here = items.join(small(grid), ["leaf", "epoch"]).where("shiftrightunsigned(u, bits) = shiftrightunsigned(top, bits)")
+            here = placed(short, "top bigint, bits int, room bigint").where("shiftrightunsigned(u, bits) = shiftrightunsigned(top, bits)")
             w = W.partitionBy("leaf", "epoch").orderBy("h").rangeBetween(W.unboundedPreceding, 0)
             ends = here.withColumn("run", F.sum("t").over(w)).where("run > room").groupBy("leaf", "epoch").agg(F.min("h").alias("end")).collect()
             done |= {(r["leaf"], r["epoch"]): r["end"] for r in ends}
