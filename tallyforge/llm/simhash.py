@@ -215,43 +215,68 @@ def links(fps: DataFrame, tau: int = DISTANCE, small: int = SMALL) -> DataFrame
 
 
 def classes(fingerprints: DataFrame, tau: int = DISTANCE) -> DataFrame:
-    """fp, component_id, n (rows of the fp) for every distinct fp of a table (doc_id, fp)."""
+    """fp, component_id, n (rows of the fp), root for every distinct fp of a table (doc_id, fp)."""
     reps = durable(fingerprints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "fps")
     return _named(reps, links(reps, tau))
 
 
 def _named(reps: DataFrame, found: DataFrame | None) -> DataFrame:
-    """fp, component_id, n: the smallest doc_id of all fps that links (a, b) connect."""
+    """fp, component_id, n, root: the smallest doc_id of all fps that links (a, b) connect, and a fp that they have in common."""
     if found is None:
-        return reps.select("fp", F.col("first").alias("component_id"), "n")
+        return reps.select("fp", F.col("first").alias("component_id"), "n", F.col("fp").alias("root"))
     roots = durable(components(found), "roots")
     rooted = reps.join(roots, reps.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     best = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    return split_join(rooted, best, "root", "members", reps.count()).select("fp", "component_id", "n")
+    return split_join(rooted, best, "root", "members", reps.count()).select("fp", "component_id", "n", "root")
 
 
 def near_duplicates(docs: DataFrame, tau: int | None = None, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (signed long), component_id for every row of docs. With tau, fp is the SimHash and classes are those of
     fingerprints within tau bits; without, fp is a hash of the words and classes are those of alike()."""
+    return _near(docs, tau, shingle)[0].drop("root")
+
+
+def _near(docs: DataFrame, tau: int | None, shingle: int = SHINGLE) -> tuple[DataFrame, frozenset[int]]:
+    """near_duplicates with each class's root, and the hashes that several texts have."""
+    moved: frozenset[int] = frozenset()
     if tau is None:
-        rows, found = alike(docs)
+        rows, found, moved = alike(docs)
     else:
         rows = durable(with_fingerprints(docs.select("doc_id", "text"), "fp", shingle).select("doc_id", "fp"), "simhash")
         found = classes(rows, tau)
-    return split_join(rows, found, "fp", "n", rows.count()).select("doc_id", "fp", "component_id")
+    return split_join(rows, found, "fp", "n", rows.count()).select("doc_id", "fp", "component_id", "root"), moved
 
 
 def words_hash(text: str | None) -> int:
     return signed(xxhash.xxh64_intdigest(b" ".join(words_of(text)), SEED))
 
 
-def bands(text: str | None) -> tuple[int, list[int]]:
-    """A hash of the words, and the min-hash bands of their shingles of five (none for fewer words)."""
+def second_hash(text: str | None) -> int:
+    """Another 64 bits of the words: texts are equal if both hashes are."""
+    return signed(xxhash.xxh3_64_intdigest(b" ".join(words_of(text)), SEED))
+
+
+def moved_on(fp: int, other: int) -> int:
+    """What xxhash64(fp, other) is in SQL: the fp of a text whose hash another text has as well."""
+    as_bytes = lambda v: (v & ((1 << 64) - 1)).to_bytes(8, "little")
+    return signed(xxhash.xxh64_intdigest(as_bytes(other), xxhash.xxh64_intdigest(as_bytes(fp), SEED)))
+
+
+def identity(text: str | None, moved: frozenset[int]) -> int:
+    """The fp of a text's words: their hash, but for those that several texts have."""
+    fp = words_hash(text)
+    while fp in moved:
+        fp = moved_on(fp, second_hash(text))
+    return fp
+
+
+def bands(text: str | None) -> tuple[int, int, list[int]]:
+    """Two hashes of the words, and the min-hash bands of their shingles of five (none for fewer words)."""
     words = words_of(text)
     x = np.unique(shingles(words))
-    fp = words_hash(text)
+    fp, other = words_hash(text), second_hash(text)
     if not len(x):
-        return fp, []
+        return fp, other, []
     low = np.full(BANDS * ROWS, ~np.uint64(0))
     for k in range(0, len(x), 1024):
         low = np.minimum(low, (x[k : k + 1024, None] * _MIX[0] + _MIX[1]).min(axis=0))
@@ -259,17 +284,29 @@ def bands(text: str | None) -> tuple[int, list[int]]:
     for column in low.reshape(BANDS, ROWS).T:
         keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
-    return fp, keys.view(np.int64).tolist()
-
-
-def alike(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every row, and (fp, component_id): classes linked by a Jaccard similarity of five-word shingles of at
-    least `similarity`, verified on the texts. Equal words are one fp. Documents that share a min-hash band are compared, all of
-    a small bucket; a larger one is split by the next band, and what stays large is compared with one fp of it, another one in
-    each band (in a large cluster most texts are alike enough to several of these; see the tests for the share of links)."""
-    fields = [("fp", pa.int64(), "bigint"), ("keys", pa.list_(pa.int64()), "array<bigint>")]
-    rows = durable(append_columns(docs.select("doc_id", "text"), lambda texts: list(zip(*map(bands, texts))) or [[], []], fields).drop("text"), "bands")
-    reps = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")), "words")
+    return fp, other, keys.view(np.int64).tolist()
+
+
+def alike(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """(doc_id, fp) of every row, (fp, component_id), and the hashes that several texts have: classes linked by a Jaccard
+    similarity of five-word shingles of at least `similarity`, verified on the texts. Equal words (by 128 bits) are one fp.
+    Documents that share a min-hash band are compared, all of a small bucket; a larger one is split by the next band, and what
+    stays large is compared with one fp of it, another one in each band (in a large cluster most texts are alike enough to
+    several of these; see the tests for the share of links)."""
+    fields = [("fp", pa.int64(), "bigint"), ("other", pa.int64(), "bigint"), ("keys", pa.list_(pa.int64()), "array<bigint>")]
+    rows = durable(append_columns(docs.select("doc_id", "text"), lambda texts: list(zip(*map(bands, texts))) or [[], [], []], fields).drop("text"), "bands")
+    moved: frozenset[int] = frozenset()
+    while True:
+        one = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n"), F.min("other").alias("low"), F.max("other").alias("high"))
+        reps = durable(one, "words")
+        again = {r["fp"] for r in reps.where("low <> high").select("fp").collect()}  # some hundreds for 10^11 texts
+        if not again:
+            break
+        moved |= again
+        discard(reps)
+        before = rows
+        rows = durable(rows.withColumn("fp", F.when(F.col("fp").isin(*again), F.xxhash64("fp", "other")).otherwise(F.col("fp"))), "bands")
+        discard(before)
     keyed = reps.select("fp", "keys", F.posexplode("keys").alias("k", "v")).select("fp", "k", "v", F.element_at("keys", (F.col("k") + 1) % BANDS + 1).alias("w"))
     total = BANDS * reps.count()
 
@@ -287,24 +324,29 @@ def alike(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -
     live = durable(sized(keyed, ["k", "v"]), "buckets")
     split = sized(live.where(F.col("n") > small).select("fp", "k", "v", "w"), ["k", "v", "w"])
     found = durable(pairs(live, ["k", "v"]).union(pairs(split, ["k", "v", "w"])).distinct(), "candidates")
+    discard(live)
+    pairs_in_all = found.count()
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("first"), "text").join(reps.select("fp", "first"), "first")
-    stars = found.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
-    one = split_join(found, texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")).join(stars, "a"), "a", "m", found.count())
-    both = one.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    for side in ("a", "b"):  # a text that is in very many pairs is joined in parts, whichever side it is on
+        many = found.groupBy(side).agg(F.count(F.lit(1)).alias(f"m{side}"))
+        held = texts.select(F.col("fp").alias(side), F.col("text").alias(f"t{side}")).join(many, side)
+        both = split_join(found if side == "a" else both, held, side, f"m{side}", pairs_in_all)
+    both = both.select("a", "b", "ta", "tb")
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         made: dict = {}
 
         def tokens(fp: int, text: str | None) -> np.ndarray | None:  # a repeated doc_id may bring other texts
             if (fp, text) not in made:
-                made[fp, text] = shingles(words_of(text)) if words_hash(text) == fp else None
+                made[fp, text] = shingles(words_of(text)) if identity(text, moved) == fp else None
             return made[fp, text]
 
         out = [(a, b) for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4))) if (x := tokens(a, ta)) is not None and (y := tokens(b, tb)) is not None and jaccard(x, y) >= similarity]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     links_ = durable(arrow_map(both, verify, "a bigint, b bigint"), "near", TASK_BYTES)
-    return rows.select("doc_id", "fp"), _named(reps, links_)
+    discard(found)
+    return rows.select("doc_id", "fp"), _named(reps, links_), moved
 
 
 def keep_one(docs: DataFrame, tau: int | None = None) -> DataFrame:
@@ -314,14 +356,15 @@ def keep_one(docs: DataFrame, tau: int | None = None) -> DataFrame:
     the first in the order of a hash of all columns.
     """
     known = docs.where("doc_id is not null")
-    found = durable(near_duplicates(known, tau), "found")
+    near, moved = _near(known, tau)
+    found = durable(near, "found")
     if not found.groupBy("doc_id").count().where("count > 1").limit(1).count():
         out = known.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
     else:
         doc, fp, order = fresh(docs, "doc", "fp", "order")
-        hashes = lambda texts: [[words_hash(t) if tau is None else signed(fingerprint(t)) for t in texts]]
+        hashes = lambda texts: [[identity(t, moved) if tau is None else signed(fingerprint(t)) for t in texts]]
         hashed = append_columns(known.withColumn(order, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))), hashes, [(fp, pa.int64(), "bigint")])
-        first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "fp")).alias("x")).select(F.col("x.doc_id").alias(doc), F.col("x.fp").alias(fp))
+        first = found.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("x")).select(F.col("x.doc_id").alias(doc), F.col("x.fp").alias(fp))
         rows = hashed.withColumn(doc, F.col("doc_id").cast("bigint")).join(first, [doc, fp], "left_semi")
         out = rows.groupBy(doc, fp).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), order).alias("row")).select("row.*")
     return out.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where("doc_id is null"))
