@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import discard, durable, split_join, workers_find_us
+from tallyforge.llm.common import durable, split_join, workers_find_us
 
 #: A vector is cut into PARTS; a codebook has at most ENTRIES; a ball of at most LEAF entries is not split.
 PARTS, ENTRIES, ROUNDS, LEAF = 4, 256, 4, 16
