@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import derive as D
-from tallyforge.operators.staging import _tagged
+from tallyforge.operators.staging import with_reason
 
 #: The currency that is staged, and its minor units.
 CURRENCY, MINOR = "USD", 100
@@ -66,7 +66,7 @@ def tag_orders(orders: DataFrame) -> DataFrame:
         surrogate("order", D.normalize_text(o["id"])).alias("order_id"), customer_id(o["customer_id"]).alias("customer_id"), o["created_at"].alias("order_ts"), _country(o).alias("country"), status(o).alias("status"),
         major(o["total_money"]["amount"]).alias("total_usd"), F.coalesce(F.size("line_items"), F.lit(0)).alias("total_products"), F.floor(quantity).cast("int").alias("total_quantity"), "source_ref", "raw_payload", order_fault(o).alias("__fault"),
     )
-    return _tagged(rows, F.col("__fault"), F.concat(F.lit("order cannot be staged: "), F.col("__fault"))).drop("__fault")
+    return with_reason(rows, F.col("__fault"), F.concat(F.lit("order cannot be staged: "), F.col("__fault"))).drop("__fault")
 
 
 def _country(o: DataFrame) -> Column:
@@ -98,11 +98,11 @@ def tag_items(orders: DataFrame) -> DataFrame:
         major(x["base_price_money"]["amount"]).alias("unit_price_usd"), share.alias("discount_pct"), major(gross).alias("gross_usd"), major(gross - off).alias("net_usd"),
         (F.col("source_ref") * LINE_SPAN + F.col("pos") + 1).alias("source_ref"), F.to_json("x").alias("raw_payload"), fault.alias("__why"),
     )
-    return _tagged(rows, F.col("__why"), F.concat(F.lit("line item cannot be staged: "), F.col("__why"))).drop("__why")
+    return with_reason(rows, F.col("__why"), F.concat(F.lit("line item cannot be staged: "), F.col("__why"))).drop("__why")
 
 
 def _untagged(rows: DataFrame) -> DataFrame:
-    return _tagged(rows, F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return with_reason(rows, F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
 def tag_customers(orders: DataFrame) -> DataFrame:

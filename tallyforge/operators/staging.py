@@ -17,7 +17,7 @@ def _reject(df: DataFrame, table: str, code: str | Column, detail: str | Column)
     return df.select(F.lit(table).alias("table_name"), "source_ref", "raw_payload", as_col(code).alias("reason_code"), as_col(detail).alias("reason_detail"))
 
 
-def _tagged(rows: DataFrame, code: Column, detail: Column) -> DataFrame:
+def with_reason(rows: DataFrame, code: Column, detail: Column) -> DataFrame:
     """rows with reason_code and reason_detail: null for those to stage, else why not."""
     return rows.withColumns({"reason_code": code, "reason_detail": F.when(code.isNotNull(), detail)})
 
@@ -43,7 +43,7 @@ def tag_users(users: DataFrame) -> DataFrame:
         F.col("source_ref").cast("bigint").alias("source_ref"),
         "raw_payload",
     )
-    return _tagged(u, F.when(F.col("full_name").isNull(), "missing_name"), F.lit("first and last name are both blank"))
+    return with_reason(u, F.when(F.col("full_name").isNull(), "missing_name"), F.lit("first and last name are both blank"))
 
 
 def map_users(users: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -65,7 +65,7 @@ def tag_products(products: DataFrame) -> DataFrame:
         F.col("source_ref").cast("bigint").alias("source_ref"),
         "raw_payload",
     )
-    return _tagged(rows, F.when(F.col("title").isNull() | F.col("category").isNull(), "missing_product_fields"), F.lit("title or category is blank"))
+    return with_reason(rows, F.when(F.col("title").isNull() | F.col("category").isNull(), "missing_product_fields"), F.lit("title or category is blank"))
 
 
 def map_products(products: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,7 +117,7 @@ def tag_carts(carts: DataFrame, countries: DataFrame, skus: DataFrame) -> tuple[
         F.col("p.discountedTotal").cast("double").alias("discounted"),
         F.to_json("p").alias("raw_payload"),
     )
-    return _tagged(orders, F.lit(None).cast("string"), F.lit(None).cast("string")), tag_lines(lines.join(skus, "product_id", "left"))
+    return with_reason(orders, F.lit(None).cast("string"), F.lit(None).cast("string")), tag_lines(lines.join(skus, "product_id", "left"))
 
 
 def map_carts(carts: DataFrame, users: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -141,7 +141,7 @@ def tag_lines(joined: DataFrame) -> DataFrame:
         D.money(F.col("price")).alias("unit_price_usd"), discount.alias("discount_pct"), gross.alias("gross_usd"),
         D.net_usd(gross, discount, F.col("discounted")).alias("net_usd"), "source_ref", "raw_payload",
     )
-    return _tagged(items, reason, detail)
+    return with_reason(items, reason, detail)
 
 
 def split_lines(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
