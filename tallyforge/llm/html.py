@@ -9,8 +9,8 @@ from typing import NamedTuple
 
 #: What the markup says of a block: in an article; in the main part of a page; nothing; menus, adverts, comments and the like.
 ARTICLE, MAIN, OPEN, MARKED = "article", "main", "open", "marked"
-#: Marked, and so is an article in it.
-HARD = "hard"
+#: Marked, and so is an article in it; and what a class name or an id calls the content.
+HARD, CONTENT = "hard", "content"
 
 #: Elements of HTML by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,6 +31,8 @@ AD_WORDS = "ad ads adv adbox adslot advert* sponsor*"
 #: Words that say nothing by themselves in an id, and words of a class name that say that a header is the article's own.
 NEUTRAL = frozenset("area section list box container wrapper wrap block form main top bottom site page left right inner outer panel bar the global primary secondary".split())
 OWN = frozenset("article post entry story content title section page main".split())
+#: Words of which a class name or an id is made that names the content of a page.
+CALLED = frozenset("article post entry story content main body text".split())
 #: First words of class names that tell of a layout, not of the element's own part.
 LAYOUT = frozenset("has with no without is js".split())
 
@@ -95,6 +97,9 @@ def _element(tag: str, raw: str) -> tuple[str, str | None, str]:
     given = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(_ATTRIBUTE.finditer(raw)))} if raw else {}
     zones = {"article": ARTICLE, "main": MAIN}
     own = zones.get(tag) or zones.get(given.get("role", "").lower()) or (MAIN if "articlebody" in given.get("itemprop", "").lower() else None)
+    if own is None and tag in ("div", "section", "td"):
+        names = [_words(t) for t in [*given.get("class", "").split(), given.get("id", "")]]
+        own = CONTENT if any(n and all(w in CALLED for w in n) and n != ["body"] and n != ["text"] for n in names) else None
     return _cue(tag, given), own, f"{given.get('class', '')}#{given.get('id', '')}" if given.get("class") or given.get("id") else ""
 
 
@@ -121,7 +126,9 @@ def _nested(outer: Open, tag: str, raw: str) -> Open:
     zone = outer.zone
     if zone == HARD or cue == "hard":
         zone = HARD
-    elif own and zone != ARTICLE and not (outer.inside and zone == MARKED):
+    elif own and own != CONTENT and zone != ARTICLE and not (outer.inside and zone == MARKED):
+        zone = own
+    elif own == CONTENT and zone == OPEN and not cue:
         zone = own
     elif cue == "soft" and not (tag == "header" and outer.inside and zone != MARKED):
         zone = MARKED
@@ -244,6 +251,10 @@ def blocks(page: str | None) -> list[Block]:
 
 
 def region(found: list[Block]) -> str:
-    """The zone that holds the page's main text: an article if there is one, else a main part, else all that is not marked."""
+    """The zone that holds the page's main text: an article if there is one, else a main part, else what is called the content, if
+    it has half of the words that are not marked, else all that is not marked."""
     zones = {b.zone for b in found}
+    if CONTENT in zones and not zones & {ARTICLE, MAIN}:
+        words = {z: sum(len(b.text.split(" ")) for b in found if b.zone == z) for z in (CONTENT, OPEN)}
+        return CONTENT if words[CONTENT] >= words[OPEN] else OPEN
     return ARTICLE if ARTICLE in zones else MAIN if MAIN in zones else OPEN

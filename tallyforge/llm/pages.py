@@ -8,9 +8,9 @@ with 8 or more tokens in common: a name on two pages of different content is a r
 of such windows. Names are spread over the cluster whatever their host, so no host, however large, is one task.
 
 Which blocks are the text:
-- the blocks of the article (where there is none, of the main part), without furniture in it: what the markup marks as such, and
+- the blocks of the article (where there is none, of the main part, or of what is called the content), without furniture in it: what the markup marks as such, and
   blocks of elements that carry a class or an id and are no prose, where the repeats cover them from end to end;
-- where the markup names neither, of all unmarked blocks the runs that no repeat covers; prose between the first and the last
+- where the markup names none of them, of all unmarked blocks the runs that no repeat covers; prose between the first and the last
   prose block with something of its own stays whole (a passage that another page quotes), and all prose of a page that has
   nothing of its own. Rows of three or more blocks made of links only are menus. If nothing is left, forms are plain elements.
 
@@ -143,7 +143,7 @@ def main_text(page: str | None, starts: list[int] | None = None, form: bool = Fa
         for link, run in groupby(range(len(found)), lambda i: found[i].linked >= LINKED):
             if link and len(run := list(run)) >= MENU:
                 menus.update(run)
-        plain = [i for i, b in enumerate(found) if b.zone == H.OPEN and i not in menus]
+        plain = [i for i, b in enumerate(found) if b.zone in (H.OPEN, H.CONTENT) and i not in menus]
         unique = [i for i in plain if not hidden[i][1:].all()]
         prose = [i for i in unique if found[i].tag in H.PROSE]
         first, last = (prose[0], prose[-1]) if prose else (len(found), -1) if unique else (0, len(found))

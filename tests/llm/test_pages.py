@@ -38,6 +38,10 @@ def text(page):
         ("plain text &lt;b&gt; only", "plain text <b> only"),
         ("<p>a</p><p hidden>b</p><p style='display: none'>c</p><p>x &copy y &#xD800; &bogus;</p>", "a\nx © y � &bogus;"),
         ("<ul><li><a href=1>Home</a></li><li><a href=2>News</a></li><li><a href=3>About us</a></li></ul><p>The <a href=4>only</a> text</p>", "The only text"),
+        ("<div class=top-line>Today</div><div class='post-content'><p>one two three</p><div class=ad>x</div><p>four</p></div><div>Elsewhere</div>", "one two three\nfour"),
+        ("<div id=content>short</div><p>much longer than what is called the content here</p>", "short\nmuch longer than what is called the content here"),
+        ("<div class=footer><div class=content>all rights</div></div><p>kept</p>", "kept"),
+        ("<div class=content><article><p>in</p></article><p>out</p></div>", "in"),
         ("<form id=aspnet><p>all in a form</p></form>", "all in a form"),
         ("", ""),
         (None, ""),
