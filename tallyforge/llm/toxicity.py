@@ -129,14 +129,14 @@ def toxic_passages(ordinary: list[str], toxic: list[str]) -> dict[tuple[bytes, .
     """Passages that tell toxic texts from ordinary ones, and how often each is to be learned: a word as often as it has contexts, a
     longer one with the words around it, once for each context. Of longer passages only those count whose parts are common
     enough and do not tell by themselves."""
-    texts, others = [_bare(t) for t in toxic], [_bare(t)[1] for t in ordinary]
+    # words are split anew for each length: the driver does not hold them all
     least = max(2, min(6, len(toxic) // 50))
     found: Counter = Counter()
     alive: set = set()
     for n in range(1, PHRASE + 1):
         near: dict[tuple[bytes, ...], set] = defaultdict(set)
         rows: Counter = Counter()
-        for w, bare in texts:
+        for w, bare in map(_bare, toxic):
             places = _places(bare, n, alive)
             for i, g in places:
                 near[g].add((w[i - 1] if i else b"", w[i + n] if i + n < len(w) else b""))
@@ -145,7 +145,7 @@ def toxic_passages(ordinary: list[str], toxic: list[str]) -> dict[tuple[bytes, .
         enough = max(least, len(toxic) // 20) if n > 1 else least
         common = {g for g, c in near.items() if len(c) >= least and rows[g] >= (enough if n == PHRASE else least)}
         plain: Counter = Counter()
-        for bare in others:
+        for _, bare in map(_bare, ordinary):
             plain.update({g for _, g in _places(bare, n, alive)} & common)
         # smoothed share of toxic rows over that of ordinary rows: a few quotes or wrong labels do not take a passage away
         tell = {g for g in common if rows[g] >= enough and (rows[g] + 0.5) / (len(toxic) + 1) * (len(ordinary) + 1) / (plain[g] + 0.5) >= RATE}
