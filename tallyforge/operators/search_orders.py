@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import derive as D
 from tallyforge.operators.staging import with_reason
+from tallyforge.schemas import SEARCH_ORDER
 
 #: The currency that is staged, and its minor units.
 CURRENCY, MINOR = "USD", 100
@@ -18,6 +19,12 @@ CURRENCY, MINOR = "USD", 100
 LINE_SPAN = 10_000
 
 
+def parsed(orders: DataFrame) -> DataFrame:
+    """The fields of each order's raw_payload (JSON), with source_ref and raw_payload. They come out of a generator: a filter on
+    fields of a plain from_json is pushed below it, and then parses the payload again for every field that it names."""
+    return orders.select("source_ref", "raw_payload", F.inline(F.array(F.from_json("raw_payload", SEARCH_ORDER))))
+
+
 def surrogate(kind: str, text: Column) -> Column:
     return F.xxhash64(F.lit(kind), text)
 
@@ -78,19 +85,38 @@ def _lines(orders: DataFrame) -> DataFrame:
     return o.select(surrogate("order", D.normalize_text(o["id"])).alias("order_id"), "__fault", "source_ref", F.posexplode("line_items").alias("pos", "x"))
 
 
+def item_fault(of_order: Column, x: Column) -> Column:
+    qty = x["quantity"].try_cast("decimal(18,5)")
+    return (
+        F.when(of_order.isNotNull(), "rejected_order")
+        .when(qty.isNull() | (qty <= 0), "invalid_quantity")
+        .when(qty != F.floor(qty), "fractional_quantity")
+        .when(product_key(x).isNull(), "unknown_product")
+        .when(foreign(x["base_price_money"]) | foreign(x["gross_sales_money"]) | foreign(x["total_discount_money"]), "unsupported_currency")
+    )
+
+
+def rejects(orders: DataFrame) -> DataFrame:
+    """The rejects of tag_orders and of tag_items, in one pass over the orders: each is followed by its line items."""
+    o = orders.withColumn("__fault", order_fault(orders))
+    items = F.coalesce("line_items", F.array())
+    rows = o.select("__fault", "source_ref", "raw_payload", F.posexplode(F.concat(F.slice(F.array_append(items, F.lit(None)), -1, 1), items)).alias("pos", "x"))
+    whole = F.col("pos") == 0
+    why = F.when(whole, F.col("__fault")).otherwise(item_fault(F.col("__fault"), F.col("x")))
+    bad = rows.withColumn("reason_code", why).where("reason_code is not null")
+    return bad.select(
+        F.when(whole, "stg_orders").otherwise("stg_order_items").alias("table_name"), F.when(whole, F.col("source_ref")).otherwise(F.col("source_ref") * LINE_SPAN + F.col("pos")).alias("source_ref"),
+        F.when(whole, F.col("raw_payload")).otherwise(F.to_json("x")).alias("raw_payload"), "reason_code", F.concat(F.when(whole, "order cannot be staged: ").otherwise("line item cannot be staged: "), "reason_code").alias("reason_detail"),
+    )
+
+
 def tag_items(orders: DataFrame) -> DataFrame:
     """Line items. Items of an order that is not staged are rejected with it."""
     lines = _lines(orders)
     x, qty = F.col("x"), F.col("x.quantity").try_cast("decimal(18,5)")
     gross = F.coalesce(x["gross_sales_money"]["amount"], x["base_price_money"]["amount"] * F.floor(qty).cast("bigint"))
     off = F.greatest(F.lit(0).cast("bigint"), F.least(F.coalesce(x["total_discount_money"]["amount"], F.lit(0)), gross))
-    fault = (
-        F.when(F.col("__fault").isNotNull(), "rejected_order")
-        .when(qty.isNull() | (qty <= 0), "invalid_quantity")
-        .when(qty != F.floor(qty), "fractional_quantity")
-        .when(product_key(x).isNull(), "unknown_product")
-        .when(foreign(x["base_price_money"]) | foreign(x["gross_sales_money"]) | foreign(x["total_discount_money"]), "unsupported_currency")
-    )
+    fault = item_fault(F.col("__fault"), x)
     product = surrogate("product", product_key(x))
     share = D.fraction(F.when(gross > 0, off.cast("decimal(20,6)") / F.when(gross > 0, gross)).otherwise(F.lit(0)))
     rows = lines.select(

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.derive import ORDER_TS_HIGH, order_ts
-from tallyforge.schemas import RECORDS, SEARCH_ORDER
+from tallyforge.operators import search_orders
+from tallyforge.schemas import RECORDS
 from tallyforge.session import counted, package_on_workers
 from tallyforge.sources.landing import Landing
 from tallyforge.sources.pages import PagedResource
@@ -170,7 +171,7 @@ class OrderSearchSource:
         self.validate_watermark_column(window.watermark_column)
         pages, before = landing.pull(lambda cursor: self.page(window, page_size, cursor), self.max_pages)
         raw = landing.records(spark)
-        orders = raw.select(F.from_json("raw_payload", SEARCH_ORDER).alias("r"), "source_ref", "raw_payload").select("r.*", "source_ref", "raw_payload")
+        orders = search_orders.parsed(raw)
         meta = {"source_system": self.source_system, "selection": "search by time, both ends included", "sorted_by": SEARCH_FIELDS[window.watermark_column], "pages": pages, "pages_of_earlier_pulls": before, "landing": landing.path()}
         return PullResult({"orders": orders}, meta | window.meta())
 
