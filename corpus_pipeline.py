@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the share of the other class. Column names that clash with the score's are left alone.
     """
     [column] = fresh(docs, "score")
-    model = toxicity.train(toxicity.labelled_sample(docs, read(spark, sf_dir, "labels")))
+    model = toxicity.learned(docs, read(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, column).where(F.col(column) < 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -11,7 +11,7 @@ largest one; a logistic curve, fitted on labelled rows that trained no dictionar
 the one of CUTS whose curve fits those rows best.
 
 Bounds (documented parameters): at most MAX_ORDINARY + MAX_TOXIC labelled rows of together at most MAX_CHARS characters for
-each class reach the driver, in the order of a hash of doc_id; all their text is used. The model is a few tens of kB and
+each class reach the task that trains, in the order of a hash of doc_id; all their text is used. The model is a few tens of kB and
 travels in the task closure. Scoring reads whole texts, row by row, without a shuffle.
 
 Edge cases: a null or empty text, or one without words, is one empty window and gets the score of zero savings; a null
@@ -25,6 +25,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import append_columns
+from tallyforge.llm.common import ARROW_ROWS, append_columns, workers_find_us
 
 WINDOW, LEVEL, SMOOTH = 6, 3, 20
 #: Thresholds of a window's saving, in bytes, one of which is chosen on the rows that fit the curve.
@@ -183,8 +184,8 @@ def _inputs(saved: float, largest: float) -> tuple[float, float, float]:
     return 1.0, float(np.log1p(20 * saved)), float(np.sqrt(largest))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str | None, int]]:
-    """Labelled rows outside the held-out fold, in the order of a hash of doc_id: at most MAX_ORDINARY and MAX_TOXIC, of at most
+def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """doc_id, text, toxic: labelled rows outside the held-out fold, in the order of a hash of doc_id: at most MAX_ORDINARY and MAX_TOXIC, of at most
     MAX_CHARS characters a class."""
     usable = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0")
     ids = usable.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ORDINARY).union(usable.where("toxic <> 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TOXIC))
@@ -195,10 +196,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str |
             room[bool(r["toxic"])] -= r["n"] or 0
             chosen.append((r["doc_id"], r["toxic"]))
     if not chosen:
-        return []
+        return None
     kept = docs.sparkSession.createDataFrame(chosen, ids.schema)
-    rows = docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
-    return [tuple(r) for r in rows]
+    return docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str | None, int]]:
+    """The labelled rows on the driver."""
+    rows = labelled_rows(docs, labels)
+    return [] if rows is None else [tuple(r) for r in rows.collect()]
+
+
+def learned(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of train() on the labelled rows. One task trains it: their number and characters are bounded whatever the
+    input, and only the model's few tens of kB come to the driver."""
+    rows = labelled_rows(docs, labels)
+    if rows is None:
+        return train([])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = train([r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))])
+        yield pa.RecordBatch.from_arrays([pa.array([m.base], pa.binary()), pa.array([m.tail], pa.binary()), pa.array([list(m.weights)], pa.list_(pa.float64())), pa.array([m.cut], pa.int32())], names=["base", "tail", "weights", "cut"])
+
+    workers_find_us(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    [r] = rows.repartition(1).mapInArrow(fit, "base binary, tail binary, weights array<double>, cut int").collect()
+    return Model(bytes(r["base"]), bytes(r["tail"]), tuple(r["weights"]), r["cut"])
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
@@ -219,6 +242,6 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    model = train(labelled_sample(docs, labels))
+    model = learned(docs, labels)
     scored = score(docs.select("doc_id", "text"), model).select("doc_id", "score")
     return scored.select("doc_id", F.expr("coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
