@@ -16,6 +16,12 @@ neighbours. For distance 2, two fingerprints are linked exactly if they share su
 more than 65 distinct fingerprints share one, and all of those are linked with each other, so a star per neighbour suffices.
 Nothing is capped: both ways give every link's component.
 
+Near copies by words (tau None; the pipeline's stage) are found by the same principle with a wider radius: 128 bits of the
+distinct runs of two words, as two fingerprints of 64; all that are within RADIUS bits of either (and REACH of both) are joined, by
+partitions of thresholds up to 2 and, for these, all values within one bit (two values within two bits have one in common).
+An exact check follows: of each component of fingerprints all texts are compared on their five-word runs, and only texts that
+share SIMILARITY of them are linked. Large probe keys and large components are compared in blocks, so no pair is left out.
+
 Edge cases: null or wordless text: fingerprint zero, linked like any other; fewer words than a shingle: the whole sequence
 is one shingle; repeated rows all keep their rows; a null doc_id is never a class id while its class has another id (a class
 of null ids only has a null id); an empty table gives an empty result. Extra columns are ignored.
@@ -23,22 +29,25 @@ of null ids only has a null id); an empty table gives an empty result. Extra col
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import append_columns, arrow_map, components, discard, durable, fresh, split_join, workers_find_us
-from tallyforge.llm.substring import TASK_BYTES, jaccard, shingles, words_of
+from tallyforge.llm.substring import TASK_BYTES, mixed, shingles, words_of
 
 SHINGLE, SEED, DISTANCE, SMALL = 3, 42, 2, 96
 ROW_COST, PAIR_COST = 1.0, 0.05
-#: Near copies by words: runs of five, Jaccard similarity, min-hash bands (rows of each); a pair at 0.8 shares a band with 0.9998.
-SIMILARITY, BANDS, ROWS = 0.8, 16, 4
-_MIX = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.int64).astype(np.uint64) | np.uint64(1)
+#: Near copies by words: Jaccard similarity of runs of five; bits of 64 and of 128 that may differ; rows that are compared at a
+#: time by fingerprints, texts by words, and words of these.
+SIMILARITY, RADIUS, REACH, BLOCK, TEXTS, WORDS = 0.8, 11, 32, 2048, 256, 1 << 18
+#: Columns of the shared shingles of a block that are multiplied at a time; groups of texts in an Arrow batch.
+COLUMNS, GROUPS = 1 << 14, 16
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -111,28 +120,29 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def choose_thresholds(costs: list[list[float]], tau: int) -> tuple[float, list[int]]:
-    """costs[i][t + 1]: cost of partition i with threshold t (-1..tau). The cheapest T with sum tau - m + 1."""
-    m = len(costs)
+def choose_thresholds(costs: list[list[float]], tau: int, most: int | None = None) -> tuple[float, list[int]]:
+    """costs[i][t + 1]: cost of partition i with threshold t (-1..most, or tau). The cheapest T with sum tau - m + 1."""
+    m, stop = len(costs), (tau if most is None else most) + 1
 
     @lru_cache(None)
     def best(i: int, left: int) -> tuple[float, tuple[int, ...]]:
         if i == m:
             return (0.0, ()) if left == 0 else (float("inf"), ())
-        return min((costs[i][t + 1] + (rest := best(i + 1, left - t))[0], (t, *rest[1])) for t in range(-1, tau + 1))
+        return min((costs[i][t + 1] + (rest := best(i + 1, left - t))[0], (t, *rest[1])) for t in range(-1, stop))
 
     cost, t = best(0, tau - m + 1)
     return cost, list(t)
 
 
-def plan(fps: DataFrame, tau: int = DISTANCE) -> list[tuple[int, list[int]]]:
-    """(mask, bits) of each probe key: a fingerprint's key k is fp & mask."""
+def partitions(fps: DataFrame, tau: int, numbers: range, most: int, keys_of: Callable[[int], list[int]]) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of each partition of the cheapest layout. numbers: of partitions; most: the largest threshold; keys_of:
+    probe keys of a partition of so many bits by threshold."""
     n, both = bit_statistics(fps)
     if n < 2:
         return []
     p = np.diag(both) / n
     agree = 2 * p * (1 - p) / np.maximum(p * p + (1 - p) ** 2, 1e-9)
-    layouts = {m: group_bits(n, both, m) for m in range(2, tau + 3)}
+    layouts = {m: group_bits(n, both, m) for m in numbers}
     parts = [(m, i, bits) for m, groups in layouts.items() for i, bits in enumerate(groups)]
     values = fps.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(mask_of(b)))).alias("v")) for k, (_, _, b) in enumerate(parts)))).alias("x")).select("x.*")
     counts = values.groupBy("k", "v").count().groupBy("k").agg(F.sum(F.expr("cast(count as double) * (count - 1) / 2")).alias("pairs")).collect()
@@ -144,14 +154,19 @@ def plan(fps: DataFrame, tau: int = DISTANCE) -> list[tuple[int, list[int]]]:
             a, w = agree[bits], len(bits)
             e = equal.get(next(k for k, x in enumerate(parts) if x[:2] == (m, i)), 0.0)
             wider = [1.0, 1 + a.sum(), 1 + a.sum() + (a.sum() ** 2 - (a * a).sum()) / 2]
-            keys = [1, w, w * (w - 1) // 2]
-            costs.append([0.0] + [ROW_COST * n * keys[t] + PAIR_COST * e * wider[t] * (1 if t < 1 else keys[t] ** 0.5) for t in range(tau + 1)])
-        cost, t = choose_thresholds(costs, tau)
+            keys = keys_of(w)
+            costs.append([0.0] + [ROW_COST * n * keys[t] + PAIR_COST * e * wider[t] * (1 if t < 1 else keys[t] ** 0.5) for t in range(most + 1)])
+        cost, t = choose_thresholds(costs, tau, most)
         if cost < best[0]:
             best = (cost, m, t)
     _, m, thresholds = best
+    return list(zip(layouts[m], thresholds))
+
+
+def plan(fps: DataFrame, tau: int = DISTANCE) -> list[tuple[int, list[int]]]:
+    """(mask, bits) of each probe key: a fingerprint's key k is fp & mask."""
     keys = []
-    for bits, t in zip(layouts[m], thresholds):
+    for bits, t in partitions(fps, tau, range(2, tau + 3), tau, lambda w: [1, w, w * (w - 1) // 2]):
         if t == 0:
             keys.append(bits)
         elif t == 1:
@@ -164,15 +179,20 @@ def plan(fps: DataFrame, tau: int = DISTANCE) -> list[tuple[int, list[int]]]:
 def _forest(values: np.ndarray, tau: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of the graph of values within tau bits."""
     near = np.bitwise_count(values[:, None] ^ values[None, :]) <= tau
-    left, out = np.ones(len(values), bool), []
-    for k in range(len(values)):
+    return _spanning(len(values), lambda i: near[i])
+
+
+def _spanning(n: int, near: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the graph of n nodes; near(i): which nodes i is linked with."""
+    left, out = np.ones(n, bool), []
+    for k in range(n):
         if not left[k]:
             continue
         left[k] = False
         todo = [k]
         while todo:
             i = todo.pop()
-            for j in np.flatnonzero(near[i] & left).tolist():
+            for j in np.flatnonzero(near(i) & left).tolist():
                 left[j] = False
                 out.append((i, j))
                 todo.append(j)
@@ -270,34 +290,130 @@ def identity(text: str | None, moved: frozenset[int]) -> int:
     return fp
 
 
-def bands(text: str | None) -> tuple[int, int, list[int]]:
-    """Two hashes of the words, and the min-hash bands of their shingles of five (none for fewer words)."""
+def wide(text: str | None) -> tuple[int, int, int, int, int]:
+    """Two hashes of the words, two SimHashes of 64 bits of the distinct runs of two words (signed), and the number of words."""
     words = words_of(text)
-    x = np.unique(shingles(words))
-    fp, other = words_hash(text), second_hash(text)
-    if not len(x):
-        return fp, other, []
-    low = np.full(BANDS * ROWS, ~np.uint64(0))
-    for k in range(0, len(x), 1024):
-        low = np.minimum(low, (x[k : k + 1024, None] * _MIX[0] + _MIX[1]).min(axis=0))
-    keys = np.zeros(BANDS, np.uint64)
-    for column in low.reshape(BANDS, ROWS).T:
-        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(29)
-    return fp, other, keys.view(np.int64).tolist()
-
-
-def alike(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    low = high = 0
+    if words:
+        w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        runs = np.unique(w[:-1] * np.uint64(0x100000001B3) + w[1:]) if len(w) > 1 else w
+        votes = np.zeros(128, np.int64)
+        for k in range(0, len(runs), 8192):
+            both = np.stack([mixed(runs[k : k + 8192], f) for f in (0, 3)], axis=1).view(np.uint8)
+            votes += np.unpackbits(both, axis=1).sum(axis=0, dtype=np.int64)
+        low, high = np.packbits(2 * votes > len(runs)).view(np.int64).tolist()
+    return words_hash(text), second_hash(text), low, high, len(words)
+
+
+def in_blocks(rows: DataFrame, blocks: Column, by: str) -> DataFrame:
+    """rows with i, j: a group of several blocks is met in all pairs of its blocks, each row (by the hash of `by`) in those of its own."""
+    own, other = F.pmod(F.xxhash64(by), F.col("__blocks")), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__blocks") - 1))
+    dealt = rows.withColumn("__blocks", blocks.cast("bigint")).withColumn("__own", own).withColumn("__other", other)
+    return dealt.withColumn("i", F.least("__own", "__other")).withColumn("j", F.greatest("__own", "__other")).drop("__blocks", "__own", "__other")
+
+
+def within(sims: DataFrame, tau: int = RADIUS, reach: int = REACH, block: int = BLOCK) -> DataFrame | None:
+    """a, b: links between rows (id, s1, s2) whose components are those of all pairs within tau bits of s1 or of s2, and reach of both."""
+    least = -(-(tau + 1) // 3)
+    probes = []
+    for own, other in (("s1", "s2"), ("s2", "s1")):
+        probes += [(own, other, bits, t) for bits, t in partitions(sims.select(F.col(own).alias("fp")), tau, range(least, least + 3), 2, lambda w: [1, w + 1, w + 1]) if t >= 0]
+    if not probes:
+        return None
+    parts = F.array(*(F.struct(F.col(own).alias("x"), F.col(other).alias("y"), F.col(own).bitwiseAND(F.lit(signed(mask_of(bits)))).alias("v")) for own, other, bits, _ in probes))
+    flips = F.array(*(F.array(F.lit(0).cast("bigint"), *(F.lit(signed(1 << b)) for b in bits if t)) for _, _, bits, t in probes))
+    valued = sims.select("id", F.posexplode(parts).alias("k", "p")).select("id", "k", "p.x", "p.y", "p.v")
+
+    def around(df: DataFrame) -> DataFrame:
+        return df.withColumn("flip", F.explode(F.element_at(flips, F.col("k") + 1))).withColumn("c", F.col("v").bitwiseXOR(F.col("flip"))).drop("flip", "v")
+
+    # at most as many as the partitions have values, whatever the input
+    large = durable(around(valued.groupBy("k", "v").agg(F.count(F.lit(1)).alias("m"))).groupBy("k", "c").agg(F.sum("m").alias("n")).where(F.col("n") > block), "large")
+    keyed = around(valued)
+    by = ["k", "c"]
+    if large.limit(1).count():
+        keyed = in_blocks(keyed.join(F.broadcast(large), by, "left"), F.coalesce(F.ceil(F.col("n") / block), F.lit(1)), "id")
+        by += ["i", "j"]
+
+    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = batch.column(0)
+        at, members = column.offsets.to_pylist(), column.values.flatten()
+        ids, x, y = members[0].to_numpy(), *(m.to_numpy().view(np.uint64) for m in members[1:])
+        a, b = [], []
+        for lo, hi in zip(at, at[1:]):
+            p, q = x[lo:hi], y[lo:hi]
+            if hi - lo > SMALL:
+                found = np.array(_spanning(hi - lo, lambda i: ((d := np.bitwise_count(p ^ p[i])) <= tau) & (d + np.bitwise_count(q ^ q[i]) <= reach)), np.int64).reshape(-1, 2)
+                i, j = found[:, 0], found[:, 1]
+            else:
+                i, j = np.nonzero((d := np.bitwise_count(p[:, None] ^ p)) <= tau)
+                i, j = i[keep := i < j], j[keep]
+                keep = d[i, j] + np.bitwise_count(q[i] ^ q[j]) <= reach
+                i, j = i[keep], j[keep]
+            if len(i):
+                a.append(ids[i + lo])
+                b.append(ids[j + lo])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in (a, b)], names=["a", "b"])
+
+    groups = keyed.groupBy(*by).agg(F.collect_list(F.struct("id", "x", "y")).alias("g")).where(F.size("g") > 1).select("g")
+    return arrow_map(groups, verify, "a bigint, b bigint")
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of these sets (sorted, without repeats) have at least this Jaccard similarity."""
+    n = np.array([len(s) for s in sets], np.int64)
+    _, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(sets)), n), np.flatnonzero(times > 1)
+    place = np.full(len(times), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[which]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    common = np.zeros((len(sets), len(sets)), np.int64)
+    for k in range(0, len(shared), COLUMNS):
+        lo, hi = np.searchsorted(column, (k, k + COLUMNS))
+        has = np.zeros((len(sets), min(COLUMNS, len(shared) - k)), np.float32)
+        has[owner[lo:hi], column[lo:hi] - k] = 1
+        common += np.rint(has @ has.T).astype(np.int64)
+    np.fill_diagonal(common, n)
+    either = n[:, None] + n - common
+    return (common > 0) & (common >= similarity * either)
+
+
+def checked(docs: DataFrame, members: DataFrame, moved: frozenset[int], similarity: float) -> DataFrame:
+    """a, b: links between the fps of a component whose components are those of all pairs of its texts that are alike enough.
+    members: fp, first, comp, n, w (texts and words of the component)."""
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("first"), "text").join(members, "first")
+    dealt = in_blocks(texts.select("comp", "fp", "text", "n", "w"), F.ceil(F.greatest(F.col("n") / TEXTS, F.col("w") / WORDS)), "fp")
+    groups = dealt.groupBy("comp", "i", "j").agg(F.collect_set(F.struct("fp", "text")).alias("g")).where(F.size("g") > 1).select("g")
+
+    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for k in range(len(batch)):
+            sets: dict[int, np.ndarray] = {}
+            fps, texts = (batch.column(0)[k].values.field(f).to_pylist() for f in (0, 1))
+            for fp, text in zip(fps, texts):
+                if fp not in sets and identity(text, moved) == fp:  # a repeated doc_id may bring other texts
+                    sets[fp] = np.unique(shingles(words_of(text)))
+            if len(sets) > 1:
+                near, names = similar(list(sets.values()), similarity), list(sets)
+                out += [(names[i], names[j]) for i, j in _spanning(len(names), lambda i: near[i])]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    links_ = arrow_map(groups, verify, "a bigint, b bigint")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", GROUPS)
+    return durable(links_, "near", TASK_BYTES)
+
+
+def alike(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, frozenset[int]]:
     """(doc_id, fp) of every row, (fp, component_id), and the hashes that several texts have: classes linked by a Jaccard
-    similarity of five-word shingles of at least `similarity`, verified on the texts. Equal words (by 128 bits) are one fp.
-    Documents that share a min-hash band are compared, all of a small bucket; a larger one is split by the next band, and what
-    stays large is compared with one fp of it, another one in each band (in a large cluster most texts are alike enough to
-    several of these; see the tests for the share of links)."""
-    fields = [("fp", pa.int64(), "bigint"), ("other", pa.int64(), "bigint"), ("keys", pa.list_(pa.int64()), "array<bigint>")]
-    rows = durable(append_columns(docs.select("doc_id", "text"), lambda texts: list(zip(*map(bands, texts))) or [[], [], []], fields).drop("text"), "bands")
+    similarity of five-word shingles of at least `similarity`. Equal words (by 128 bits) are one fp. Texts are compared if links
+    of fingerprints connect them (within()); what share of alike texts these connect is measured in the tests."""
+    fields = [(c, pa.int64(), "bigint") for c in ("fp", "other", "s1", "s2", "words")]
+    rows = durable(append_columns(docs.select("doc_id", "text"), lambda texts: list(zip(*map(wide, texts))) or [[]] * 5, fields).drop("text"), "wide")
     moved: frozenset[int] = frozenset()
     while True:
-        one = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n"), F.min("other").alias("low"), F.max("other").alias("high"))
+        one = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("s1", "s2", "words")), F.count(F.lit(1)).alias("n"), F.min("other").alias("low"), F.max("other").alias("high"))
         reps = durable(one, "words")
         again = {r["fp"] for r in reps.where("low <> high").select("fp").collect()}  # some hundreds for 10^11 texts
         if not again:
@@ -307,45 +423,20 @@ def alike(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -
         before = rows
         rows = durable(rows.withColumn("fp", F.when(F.col("fp").isin(*again), F.xxhash64("fp", "other")).otherwise(F.col("fp"))), "bands")
         discard(before)
-    keyed = reps.select("fp", "keys", F.posexplode("keys").alias("k", "v")).select("fp", "k", "v", F.element_at("keys", (F.col("k") + 1) % BANDS + 1).alias("w"))
-    total = BANDS * reps.count()
-
-    def sized(df: DataFrame, by: list[str]) -> DataFrame:
-        # the first of a large bucket is another one in each band
-        size = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp", "k")).alias("a")).where("n > 1")
-        return split_join(df, size, by, "n", total)
-
-    def pairs(df: DataFrame, by: list[str]) -> DataFrame:
-        groups = df.where(F.col("n") <= small).groupBy(*by).agg(F.sort_array(F.collect_set("fp")).alias("s"))
-        tails = groups.select("s", F.posexplode("s").alias("i", "a")).select("a", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("b"))
-        star = df.where(F.col("n") > small).where("a <> fp").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
-        return tails.union(star)
-
-    live = durable(sized(keyed, ["k", "v"]), "buckets")
-    split = sized(live.where(F.col("n") > small).select("fp", "k", "v", "w"), ["k", "v", "w"])
-    found = durable(pairs(live, ["k", "v"]).union(pairs(split, ["k", "v", "w"])).distinct(), "candidates")
-    discard(live)
-    pairs_in_all = found.count()
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("first"), "text").join(reps.select("fp", "first"), "first")
-    for side in ("a", "b"):  # a text that is in very many pairs is joined in parts, whichever side it is on
-        many = found.groupBy(side).agg(F.count(F.lit(1)).alias(f"m{side}"))
-        held = texts.select(F.col("fp").alias(side), F.col("text").alias(f"t{side}")).join(many, side)
-        both = split_join(found if side == "a" else both, held, side, f"m{side}", pairs_in_all)
-    both = both.select("a", "b", "ta", "tb")
-
-    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made: dict = {}
-
-        def tokens(fp: int, text: str | None) -> np.ndarray | None:  # a repeated doc_id may bring other texts
-            if (fp, text) not in made:
-                made[fp, text] = shingles(words_of(text)) if identity(text, moved) == fp else None
-            return made[fp, text]
-
-        out = [(a, b) for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4))) if (x := tokens(a, ta)) is not None and (y := tokens(b, tb)) is not None and jaccard(x, y) >= similarity]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    links_ = durable(arrow_map(both, verify, "a bigint, b bigint"), "near", TASK_BYTES)
-    discard(found)
+    # equal fingerprints collapse; fewer words than a shingle are alike only if equal
+    long = reps.where("words >= 5")
+    sims = durable(long.groupBy("s1", "s2").agg(F.min("fp").alias("id"), F.count(F.lit(1)).alias("m"), F.sum("words").alias("w")), "sims")
+    found = within(sims)
+    if found is None:
+        comps = sims.select("id", "s1", "s2", "m", "w", F.col("id").alias("comp"))
+    else:
+        roots = durable(components(found), "roots")
+        comps = sims.join(roots, sims.id == roots.node, "left").select("id", "s1", "s2", "m", "w", F.coalesce("root", "id").alias("comp"))
+    sizes = comps.groupBy("comp").agg(F.sum("m").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("ids")).where("n > 1")
+    total = sims.count()
+    several = split_join(comps.select("s1", "s2", "m", "comp"), sizes, "comp", "ids", total)
+    members = split_join(long.select("fp", "first", "s1", "s2"), several, ["s1", "s2"], "m", reps.count()).select("fp", "first", "comp", "n", "w")
+    links_ = checked(docs, durable(members, "members"), moved, similarity)
     return rows.select("doc_id", "fp"), _named(reps, links_), moved
 
 
