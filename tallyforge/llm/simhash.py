@@ -20,7 +20,8 @@ Near copies by words (tau None; the pipeline's stage) are found by the same prin
 distinct runs of two words, as two fingerprints of 64; all that are within RADIUS bits of either (and REACH of both) are joined, by
 partitions of thresholds up to 2 and, for these, all values within one bit (two values within two bits have one in common).
 An exact check follows: of each component of fingerprints all texts are compared on their five-word runs, and only texts that
-share SIMILARITY of them are linked. Large probe keys and large components are compared in blocks, so no pair is left out.
+share SIMILARITY of them are linked. Large probe keys and large components are compared in blocks, so no pair is left out; of what
+is found, links of spanning forests go on, in few times the number of rows whatever the size of a class.
 
 Edge cases: null or wordless text: fingerprint zero, linked like any other; fewer words than a shingle: the whole sequence
 is one shingle; repeated rows all keep their rows; a null doc_id is never a class id while its class has another id (a class
@@ -48,6 +49,8 @@ ROW_COST, PAIR_COST = 1.0, 0.05
 SIMILARITY, RADIUS, REACH, BLOCK, TEXTS, WORDS = 0.8, 11, 32, 2048, 256, 1 << 18
 #: Columns of the shared shingles of a block that are multiplied at a time; groups of texts in an Arrow batch.
 COLUMNS, GROUPS = 1 << 14, 16
+#: Partitions that are joined first.
+FIRST = 1
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -199,6 +202,38 @@ def _spanning(n: int, near: Callable[[int], np.ndarray]) -> list[tuple[int, int]
     return out
 
 
+def _first_links(name: np.ndarray, rows: np.ndarray, columns: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """The links between rows and columns that connect what name (which is changed) does not yet tell to be connected."""
+    out = []
+    for i in rows.tolist():
+        own = name[i]
+        others = columns[name[columns] != own]
+        if not len(others):
+            if rows is columns or (name[rows] == own).all():
+                break
+            continue
+        hit = others[near(i, others)]
+        if len(hit):
+            met, first = np.unique(name[hit], return_index=True)
+            out += [(i, j) for j in hit[first].tolist()]
+            name[np.isin(name, met)] = own
+    return out
+
+
+def forest(root: np.ndarray, lower: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links (places) of a group whose classes, with those of all other groups, are those of all its links. near(i, js): which of
+    js i is linked with. root: rows of one root are known to be connected. lower: which rows are of the lower of the two blocks
+    that meet here. Where two meet, the links within a block are left to the group of that block alone, so that a large group of
+    alike rows has as many links as rows, and not as many for each block."""
+    order, name = np.argsort(root, kind="stable"), root.copy()
+    low, high = order[lower[order]], order[~lower[order]]
+    if not len(low) or not len(high):
+        return _first_links(name, order, order, near)
+    for side in (low, high):
+        _first_links(name, side, side, near)
+    return _first_links(name, low, high, near)
+
+
 def links(fps: DataFrame, tau: int = DISTANCE, small: int = SMALL) -> DataFrame | None:
     """Columns a, b: links between distinct fingerprints whose components are those of all pairs within tau (tau 2 or less)."""
     if tau not in (0, 1, 2):
@@ -306,23 +341,39 @@ def wide(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def in_blocks(rows: DataFrame, blocks: Column, by: str) -> DataFrame:
-    """rows with i, j: a group of several blocks is met in all pairs of its blocks, each row (by the hash of `by`) in those of its own."""
+    """rows with i, j and lower (whether i is the row's block): a group of several blocks is met in all pairs of its blocks, each row
+    (by the hash of `by`) in those of its own."""
     own, other = F.pmod(F.xxhash64(by), F.col("__blocks")), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__blocks") - 1))
     dealt = rows.withColumn("__blocks", blocks.cast("bigint")).withColumn("__own", own).withColumn("__other", other)
-    return dealt.withColumn("i", F.least("__own", "__other")).withColumn("j", F.greatest("__own", "__other")).drop("__blocks", "__own", "__other")
+    return dealt.withColumn("i", F.least("__own", "__other")).withColumn("j", F.greatest("__own", "__other")).withColumn("lower", F.col("__own") <= F.col("__other")).drop("__blocks", "__own", "__other")
 
 
 def within(sims: DataFrame, tau: int = RADIUS, reach: int = REACH, block: int = BLOCK) -> DataFrame | None:
-    """a, b: links between rows (id, s1, s2) whose components are those of all pairs within tau bits of s1 or of s2, and reach of both."""
+    """a, b: of each row (id, s1, s2) that is linked with a smaller one, the smallest that it is connected with. Linked are all pairs
+    within tau bits of s1 or of s2, and reach of both.
+
+    The first partition comes alone. With its classes known, the others look for links between rows of different classes only:
+    rows of a large class have few links then, in however many keys they meet."""
     least = -(-(tau + 1) // 3)
     probes = []
     for own, other in (("s1", "s2"), ("s2", "s1")):
         probes += [(own, other, bits, t) for bits, t in partitions(sims.select(F.col(own).alias("fp")), tau, range(least, least + 3), 2, lambda w: [1, w + 1, w + 1]) if t >= 0]
     if not probes:
         return None
+    known = sims.withColumn("root", F.col("id"))
+    for some in (probes[:FIRST], probes[FIRST:]):
+        if some:
+            roots = durable(components(_between(known, some, tau, reach, block)), "roots")
+            known = known.join(roots, known.root == roots.node, "left").select("id", "s1", "s2", F.coalesce(roots.root, known.root).alias("root"))
+            known = durable(known, "rooted")
+    return known.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+
+
+def _between(rows: DataFrame, probes: list[tuple[str, str, list[int], int]], tau: int, reach: int, block: int) -> DataFrame:
+    """a, b: roots of rows (id, s1, s2, root) that share a key of these probes and are linked."""
     parts = F.array(*(F.struct(F.col(own).alias("x"), F.col(other).alias("y"), F.col(own).bitwiseAND(F.lit(signed(mask_of(bits)))).alias("v")) for own, other, bits, _ in probes))
     flips = F.array(*(F.array(F.lit(0).cast("bigint"), *(F.lit(signed(1 << b)) for b in bits if t)) for _, _, bits, t in probes))
-    valued = sims.select("id", F.posexplode(parts).alias("k", "p")).select("id", "k", "p.x", "p.y", "p.v")
+    valued = rows.select("id", "root", F.posexplode(parts).alias("k", "p")).select("id", "root", "k", "p.x", "p.y", "p.v")
 
     def around(df: DataFrame) -> DataFrame:
         return df.withColumn("flip", F.explode(F.element_at(flips, F.col("k") + 1))).withColumn("c", F.col("v").bitwiseXOR(F.col("flip"))).drop("flip", "v")
@@ -334,28 +385,38 @@ def within(sims: DataFrame, tau: int = RADIUS, reach: int = REACH, block: int =
     if large.limit(1).count():
         keyed = in_blocks(keyed.join(F.broadcast(large), by, "left"), F.coalesce(F.ceil(F.col("n") / block), F.lit(1)), "id")
         by += ["i", "j"]
+    else:
+        keyed = keyed.withColumn("lower", F.lit(True))
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = batch.column(0)
         at, members = column.offsets.to_pylist(), column.values.flatten()
-        ids, x, y = members[0].to_numpy(), *(m.to_numpy().view(np.uint64) for m in members[1:])
-        a, b = [], []
+        root, x, y = members[0].to_numpy(), *(m.to_numpy().view(np.uint64) for m in members[1:3])
+        lower = members[3].to_numpy(zero_copy_only=False)
+        roots, xs, ys = root.tolist(), x.tolist(), y.tolist()
+        out = []
         for lo, hi in zip(at, at[1:]):
-            p, q = x[lo:hi], y[lo:hi]
-            if hi - lo > SMALL:
-                found = np.array(_spanning(hi - lo, lambda i: ((d := np.bitwise_count(p ^ p[i])) <= tau) & (d + np.bitwise_count(q ^ q[i]) <= reach)), np.int64).reshape(-1, 2)
-                i, j = found[:, 0], found[:, 1]
-            else:
-                i, j = np.nonzero((d := np.bitwise_count(p[:, None] ^ p)) <= tau)
-                i, j = i[keep := i < j], j[keep]
+            if hi - lo == 2:
+                if roots[lo] != roots[lo + 1] and (d := (xs[lo] ^ xs[lo + 1]).bit_count()) <= tau and d + (ys[lo] ^ ys[lo + 1]).bit_count() <= reach:
+                    out.append((roots[lo], roots[lo + 1]))
+                continue
+            p, q, r = x[lo:hi], y[lo:hi], root[lo:hi]
+            if hi - lo <= SMALL:
+                d = np.bitwise_count(p[:, None] ^ p)
+                i, j = np.nonzero((d <= tau) & (r[:, None] < r))
+                if not len(i):
+                    continue
                 keep = d[i, j] + np.bitwise_count(q[i] ^ q[j]) <= reach
-                i, j = i[keep], j[keep]
-            if len(i):
-                a.append(ids[i + lo])
-                b.append(ids[j + lo])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in (a, b)], names=["a", "b"])
-
-    groups = keyed.groupBy(*by).agg(F.collect_list(F.struct("id", "x", "y")).alias("g")).where(F.size("g") > 1).select("g")
+                if len(i := i[keep]) == 0:
+                    continue
+                if len(i) == 1:
+                    out.append((int(r[i[0]]), int(r[j[keep][0]])))
+                    continue
+            near = lambda i, js: ((d := np.bitwise_count(p[js] ^ p[i])) <= tau) & (d + np.bitwise_count(q[js] ^ q[i]) <= reach)
+            out += [(roots[lo + i], roots[lo + j]) for i, j in forest(r, lower[lo:hi], near)]
+        return pa.RecordBatch.from_arrays([pa.array([v[k] for v in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    groups = keyed.groupBy(*by).agg(F.collect_list(F.struct("root", "x", "y", "lower")).alias("g")).where(F.size("g") > 1).select("g")
     return arrow_map(groups, verify, "a bigint, b bigint")
 
 
@@ -385,19 +446,20 @@ def checked(docs: DataFrame, members: DataFrame, moved: frozenset[int], similari
     members: fp, first, comp, n, w (texts and words of the component)."""
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("first"), "text").join(members, "first")
     dealt = in_blocks(texts.select("comp", "fp", "text", "n", "w"), F.ceil(F.greatest(F.col("n") / TEXTS, F.col("w") / WORDS)), "fp")
-    groups = dealt.groupBy("comp", "i", "j").agg(F.collect_set(F.struct("fp", "text")).alias("g")).where(F.size("g") > 1).select("g")
+    groups = dealt.groupBy("comp", "i", "j").agg(F.collect_set(F.struct("fp", "text", "lower")).alias("g")).where(F.size("g") > 1).select("g")
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for k in range(len(batch)):
             sets: dict[int, np.ndarray] = {}
-            fps, texts = (batch.column(0)[k].values.field(f).to_pylist() for f in (0, 1))
-            for fp, text in zip(fps, texts):
+            lower: dict[int, bool] = {}
+            for fp, text, low in zip(*(batch.column(0)[k].values.field(f).to_pylist() for f in range(3))):
                 if fp not in sets and identity(text, moved) == fp:  # a repeated doc_id may bring other texts
-                    sets[fp] = np.unique(shingles(words_of(text)))
+                    sets[fp], lower[fp] = np.unique(shingles(words_of(text))), low
             if len(sets) > 1:
                 near, names = similar(list(sets.values()), similarity), list(sets)
-                out += [(names[i], names[j]) for i, j in _spanning(len(names), lambda i: near[i])]
+                found = forest(np.array(names, np.int64), np.array(list(lower.values())), lambda i, js: near[i, js])
+                out += [(names[i], names[j]) for i, j in found]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     links_ = arrow_map(groups, verify, "a bigint, b bigint")
@@ -430,8 +492,7 @@ def alike(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     if found is None:
         comps = sims.select("id", "s1", "s2", "m", "w", F.col("id").alias("comp"))
     else:
-        roots = durable(components(found), "roots")
-        comps = sims.join(roots, sims.id == roots.node, "left").select("id", "s1", "s2", "m", "w", F.coalesce("root", "id").alias("comp"))
+        comps = sims.join(found, sims.id == found.a, "left").select("id", "s1", "s2", "m", "w", F.coalesce("b", "id").alias("comp"))
     sizes = comps.groupBy("comp").agg(F.sum("m").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("ids")).where("n > 1")
     total = sims.count()
     several = split_join(comps.select("s1", "s2", "m", "comp"), sizes, "comp", "ids", total)
